@@ -1,11 +1,9 @@
 """Sentiment and toxicity decision rules on columns."""
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from tidewatch.contracts import PROFANE_WORDS, SENTIMENT_WEIGHTS, SEVERE_WORDS
-from tidewatch.functions.text import is_blank, tokens, word_set
+from tidewatch.functions.text import TOKEN, bind, is_blank, whole_word
 
 # ---------------------------------------------------------------- fixed values
 LABEL_CUT = 0.05
@@ -42,16 +40,22 @@ def lexicon_sentiment(text: Column, weights: dict = SENTIMENT_WEIGHTS) -> Column
     Meant for small word lists; ``operators.enrich.lexicon_sentiment_join``
     takes a lexicon table of any size.
     """
-    words = tokens(text)
+    hits = F.regexp_extract_all(F.lower(text), F.lit(f"({whole_word(weights)})"), F.lit(1))
     valence = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    hits = F.transform(F.filter(words, lambda word: word.isin(*weights)),
-                       lambda word: F.element_at(valence, word))
-    add = lambda acc, value: acc + value
-    total = F.aggregate(hits, F.lit(0.0), add)
-    positive = F.aggregate(F.filter(hits, lambda v: v > 0), F.lit(0.0), lambda a, v: a + v + 1.0)
-    negative = F.aggregate(F.filter(hits, lambda v: v < 0), F.lit(0.0), lambda a, v: a + v - 1.0)
-    neutral = (F.size(words) - F.size(hits)).cast("double")
-    scored = sentiment_from_sums(total, positive, negative, neutral)
+
+    def add(acc, word):
+        value = F.element_at(valence, word)
+        return F.struct(
+            (acc["total"] + value).alias("total"),
+            (acc["positive"] + F.when(value > 0, value + 1).otherwise(0.0)).alias("positive"),
+            (acc["negative"] + F.when(value < 0, value - 1).otherwise(0.0)).alias("negative"),
+            (acc["hits"] + 1.0).alias("hits"))
+
+    names = ("total", "positive", "negative", "hits")
+    sums = F.aggregate(hits, F.struct(*[F.lit(0.0).alias(n) for n in names]), add)
+    words = F.regexp_count(text, F.lit(TOKEN)).cast("double")
+    scored = bind(F.struct(sums.alias("s"), words.alias("n")), lambda x: sentiment_from_sums(
+        x["s"]["total"], x["s"]["positive"], x["s"]["negative"], x["n"] - x["s"]["hits"]))
     return F.when(is_blank(text), neutral_result()).otherwise(scored)
 
 
@@ -77,19 +81,28 @@ def consensus(label: Column, confidence: Column, compound: Column | None = None)
 
 
 def has_word(text: Column, words) -> Column:
-    return F.arrays_overlap(word_set(text), F.array(*[F.lit(w) for w in words]))
+    """True when the word set of ``text`` meets ``words``; phrases never match."""
+    return F.lower(text).rlike(whole_word([w for w in words if " " not in w]))
 
 
 def has_phrase(text: Column, words) -> Column:
     """Phrase mode: entries of several words match consecutive words too."""
-    padded = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-    return reduce(lambda a, b: a | b, [padded.contains(f" {w} ") for w in words])
+    return F.lower(text).rlike(whole_word(words))
 
 
 def _toxicity(text, ml, severe, profane, severe_score, model_cut, high_cut):
+    flags = F.struct(severe.alias("severe"), profane.alias("profane"),
+                     F.coalesce(ml, F.lit(0.0)).alias("model"))
+    empty = F.struct(F.lit(False).alias("is_toxic"), F.lit(0.0).alias("toxicity_score"),
+                     F.array().cast("array<string>").alias("categories"))
+    scored = bind(flags, lambda x: _toxicity_result(
+        x["severe"], x["profane"], x["model"], severe_score, model_cut, high_cut))
+    return F.when(is_blank(text), empty).otherwise(scored)
+
+
+def _toxicity_result(severe, profane, model, severe_score, model_cut, high_cut):
     rule = (F.when(severe, severe_score).otherwise(0.0)
             + F.when(profane, PROFANE_SCORE).otherwise(0.0))
-    model = F.coalesce(ml, F.lit(0.0))
     toxic = (rule >= RULE_CUT) | (model >= model_cut)
     fallback = F.lit("TOXIC_LANGUAGE")
     if high_cut is not None:
@@ -97,11 +110,8 @@ def _toxicity(text, ml, severe, profane, severe_score, model_cut, high_cut):
     named = F.array_compact(F.array(F.when(profane, "PROFANITY"), F.when(severe, "THREAT_SEVERE")))
     categories = F.when(toxic & ~severe & ~profane, F.array(fallback)).otherwise(named)
     score = F.least(F.lit(1.0), F.round(F.greatest(rule, model), 4))
-    empty = F.struct(F.lit(False).alias("is_toxic"), F.lit(0.0).alias("toxicity_score"),
-                     F.array().cast("array<string>").alias("categories"))
-    full = F.struct(toxic.alias("is_toxic"), score.alias("toxicity_score"),
+    return F.struct(toxic.alias("is_toxic"), score.alias("toxicity_score"),
                     categories.alias("categories"))
-    return F.when(is_blank(text), empty).otherwise(full)
 
 
 def toxicity_rules(text: Column, ml: Column | None = None, phrases: bool = False) -> Column:

@@ -35,6 +35,11 @@ _C1 = {0: "�", 13: "\r"} | {
 }
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _literal_map(entries: dict, key_type: str) -> Column:
     """A map constant that stays one node in the plan until it is folded."""
     return F.from_json(F.lit(json.dumps(entries)), f"map<{key_type},string>")
@@ -69,15 +74,15 @@ def _numeric_reference(ref: Column) -> Column:
 
 
 def _named_reference(ref: Column) -> Column:
+    """The whole name, else its longest known prefix, else the reference itself."""
     names = _literal_map(html5, "string")
     name = F.substr(ref, F.lit(2))
-    whole = F.element_at(names, name)
-    prefixes = [
-        F.concat(F.element_at(names, F.substr(name, F.lit(1), F.lit(size))),
-                 F.substr(name, F.lit(size + 1)))
-        for size in range(_MAX_LEGACY_NAME, 1, -1)
-    ]
-    return F.coalesce(whole, *prefixes, ref)
+    prefixes = [F.substr(name, F.lit(1), F.lit(n)) for n in range(_MAX_LEGACY_NAME, 1, -1)]
+    known = F.filter(F.array(name, *prefixes), lambda key: F.element_at(names, key).isNotNull())
+    return bind(
+        F.try_element_at(known, F.lit(1)),
+        lambda key: F.when(key.isNull(), ref).otherwise(
+            F.concat(F.element_at(names, key), F.substr(name, F.length(key) + 1))))
 
 
 def html_unescape(text: Column) -> Column:
@@ -159,6 +164,15 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
+def whole_word(words) -> str:
+    """Pattern for any of ``words`` as whole words of a lower-cased text.
+
+    The words of a phrase may be separated by anything that is not a word.
+    """
+    alternatives = "|".join(word.replace(" ", rf"[^{WORD}]+") for word in words)
+    return rf"(?<![{WORD}])(?:{alternatives})(?![{WORD}])"
+
+
 def content_tokens(text: Column, stop_words=STOP_WORDS) -> Column:
     """Lower-cased words of two or more characters that are not stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(LONG_TOKEN), F.lit(0))
