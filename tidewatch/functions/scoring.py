@@ -128,10 +128,10 @@ def toxicity_model_profile(text: Column, ml: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp((x - top).cast("double")))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = bind(F.array_max(logits),
+                  lambda top: F.transform(logits, lambda x: F.exp((x - top).cast("double"))))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+    return bind(powers, lambda p: bind(total(p), lambda t: F.transform(p, lambda x: x / t)))
 
 
 def label_from_probabilities(probabilities: Column, labels) -> Column:

@@ -130,8 +130,9 @@ def arrival_rate(df: DataFrame, time: str, minutes: int = 60, keys=()) -> DataFr
 
 def poisson_scores(counts: DataFrame, keys=(), minutes: int = 60) -> DataFrame:
     """Score window counts against the mean count of their key."""
-    scored = with_stats(counts, [F.avg("n").alias("rate")], keys)
-    n, rate = F.col("n"), F.col("rate")
+    # The output name ``rate`` must not shadow the input inside the lambdas below.
+    scored = with_stats(counts, [F.avg("n").alias("_rate")], keys)
+    n, rate = F.col("n"), F.col("_rate")
     return scored.select(
         *counts.columns, F.round(rate, 4).alias("rate"),
         F.round(dist.poisson_pmf(n, rate), 5).alias("pmf"),

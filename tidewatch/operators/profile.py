@@ -24,8 +24,8 @@ def with_stats(df: DataFrame, stats, keys=(), of: DataFrame | None = None) -> Da
     if keys:
         return df.join(source.groupBy(*keys).agg(*stats), keys)
     one = source.agg(*stats)
-    packed = one.select(F.struct(*one.columns).alias("_s")).scalar()
-    return df.withColumn("_s", packed).select(*df.columns, "_s.*")
+    packed = one.select(F.struct(*one.columns).alias("_stats")).scalar()
+    return df.withColumn("_stats", packed).select(*df.columns, "_stats.*")
 
 
 def beside(base: DataFrame, other: DataFrame, keys=()) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import enrich, models
 from tidewatch.plans.registry import comment_documents, query, table
-from tidewatch.session import scratch_path
+from tidewatch.session import materialize, scratch_path
 
 
 def _labelled(spark, folder):
@@ -12,7 +12,8 @@ def _labelled(spark, folder):
     docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     named = docs.select(F.col("doc_id").alias("id"), "text", "toxic",
                         F.when(F.col("quality") == 1, "POSITIVE").otherwise("NEGATIVE").alias("sentiment"))
-    return enrich.clean_table(named, "text", "id").select("id", "clean_text", "sentiment", "toxic")
+    cleaned = enrich.clean_table(named, "text", "id").select("id", "clean_text", "sentiment", "toxic")
+    return materialize(cleaned, "labelled")
 
 
 @query("train_naive_bayes")
@@ -65,4 +66,5 @@ def model_save_load_score(spark, folder):
 @query("root_cause_clusters")
 def root_cause_clusters(spark, folder):
     posts = enrich.with_text_features(comment_documents(spark, folder))
-    return models.root_cause_clusters(posts.where("sentiment = 'NEGATIVE'").select("id", "clean_text"))
+    negatives = posts.where("sentiment = 'NEGATIVE'").select("id", "clean_text")
+    return models.root_cause_clusters(materialize(negatives, "negatives"))

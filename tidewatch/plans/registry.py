@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewatch.session import spread
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,8 +18,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; text tables are spread when a few files leave task slots idle."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _platform(number) -> F.Column:

@@ -10,7 +10,7 @@ from tidewatch.plans.registry import (
     CDOC, CEV, CSURGE, comment_documents, comment_events, query, stamp, stamp_sql, surge_events,
     table,
 )
-from tidewatch.plans.sql import clean_sql
+from tidewatch.plans.sql import unescape_sql
 from tidewatch.session import scratch_path
 from tidewatch.sources import files, payloads, store
 
@@ -31,9 +31,7 @@ def scan_csv_headerless(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", "lang", head.alias("head"), "n_chars")
     path = scratch_path(spark, "latin1")
     files.write_csv(rows, path, header=False, encoding="ISO-8859-1")
-    back = (spark.read.schema(rows.schema).option("encoding", "ISO-8859-1")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("emptyValue", "").csv(path))
+    back = files.read_headerless(spark, path, rows.schema, encoding="ISO-8859-1")
     return back.select("doc_id", "lang", F.md5(F.coalesce("head", F.lit(""))).alias("head_md5"), "n_chars")
 
 
@@ -166,8 +164,9 @@ def json_payload_flatten(spark, folder):
 
 
 def _text_sql(expression: str) -> str:
-    """Text of an HTML fragment with single spaces; pages use no reference but ``&amp;``."""
-    return (f"trim(regexp_replace(replace(regexp_replace({expression}, '(?s)(?:<[^>]*>)+', ' ', 'g'), '&amp;', '&'), "
+    """Text of an HTML fragment with single spaces."""
+    bare = unescape_sql(f"regexp_replace({expression}, '(?s)(?:<[^>]*>)+', ' ', 'g')")
+    return (f"trim(regexp_replace({bare}, "
             f"'[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))")
 
 

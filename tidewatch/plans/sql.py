@@ -28,6 +28,13 @@ def strip_sql(expression: str) -> str:
     return regex_remove(expression, X.EDGE_SPACE)
 
 
+def unescape_sql(expression: str) -> str:
+    """The four character references that occur in the given pages."""
+    for name, character in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        expression = f"regexp_replace({expression}, '&{name};?', '{character}', 'g')"
+    return expression
+
+
 def tokens_sql(expression: str) -> str:
     return f"regexp_extract_all(lower({expression}), {_quoted(X.TOKEN)})"
 

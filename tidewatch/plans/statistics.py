@@ -124,11 +124,13 @@ def outliers_iqr_bounds(spark, folder):
 q AS (SELECT platform, quantile_cont(sentiment_score, 0.25) AS q1, quantile_cont(sentiment_score, 0.75) AS q3
   FROM cev GROUP BY platform)
 SELECT platform, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
-  round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound,
+  round(q1 - 1.5 * (q3 - q1), 2) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 2) AS upper_bound,
   count(*) FILTER (sentiment_score < q1 - 1.5 * (q3 - q1) OR sentiment_score > q3 + 1.5 * (q3 - q1)) AS outlier_count
 FROM cev JOIN q USING (platform) GROUP BY platform, q1, q3""")
 def outliers_iqr_by_platform(spark, folder):
-    return outliers.iqr_bounds(comment_events(spark, folder), "sentiment_score", PLATFORM)
+    bounds = outliers.iqr_bounds(comment_events(spark, folder), "sentiment_score", PLATFORM)
+    fences = {c: F.round(c, 2) for c in ("lower_bound", "upper_bound")}  # 4 digits would hit a tie
+    return bounds.withColumns(fences)
 
 
 @query("outliers_zscore", f"""WITH {CEV}, s AS (SELECT avg(sentiment_score) AS m, stddev_pop(sentiment_score) AS sd FROM cev)

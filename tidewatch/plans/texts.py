@@ -12,7 +12,7 @@ from tidewatch.plans.registry import (
 )
 from tidewatch.plans.sql import (
     clean_sql, content_tokens_sql, has_word_sql, regex_remove, strip_sql, terms_cte, tfidf_cte,
-    tokens_sql,
+    tokens_sql, unescape_sql,
 )
 
 PLATFORM = ["platform"]
@@ -30,8 +30,8 @@ def clean_text(spark, folder):
     return _clean_documents(spark, folder).select("id", "clean_text")
 
 
-@query("html_unescape", """SELECT page_id, md5(replace(html, '&amp;', '&')) AS text_md5,
-  length(replace(html, '&amp;', '&')) AS n_chars FROM pages""")
+@query("html_unescape", f"""SELECT page_id, md5({unescape_sql('html')}) AS text_md5,
+  length({unescape_sql('html')}) AS n_chars FROM pages""")
 def html_unescape(spark, folder):
     text = X.html_unescape(F.col("html"))
     return (table(spark, folder, "pages").withColumn("t", text)

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -41,6 +41,25 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="tidewatch-"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out inputs of fewer partitions than task slots.
+
+    Text work costs far more than moving a small input; inputs that already
+    fill the cluster are left as they are, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared scratch folder and read back: short lineage that outlives executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the scratch folder."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidewatch.contracts import TEXT_COLUMN_HINTS
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """CSV with a header, quoted line breaks and doubled quotes."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header, quoted line breaks and doubled quotes.
+
+    Quoted line breaks keep a file in one task; pass ``multi_line=False`` for
+    large files without them, so that Spark can split each file.
+    """
+    reader = (spark.read.option("header", True).option("escape", '"')
+              .option("multiLine", multi_line))
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
@@ -71,7 +76,9 @@ def with_text_column(df: DataFrame, wanted: str | None = None, name: str = "text
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",",
               encoding: str = "UTF-8") -> None:
     (df.write.mode("overwrite").option("header", header).option("sep", sep)
-     .option("encoding", encoding).option("escape", '"').csv(path))
+     .option("encoding", encoding).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
