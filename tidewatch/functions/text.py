@@ -187,8 +187,8 @@ def bigrams(words: Column) -> Column:
 
 def terms(text: Column, stop_words=STOP_WORDS) -> Column:
     """Unigrams followed by the bigrams of what is left after stop-word removal."""
-    words = content_tokens(text, stop_words)
-    return F.concat(words, bigrams(words))
+    return bind(content_tokens(text, stop_words),
+                lambda words: F.concat(words, bigrams(words)))
 
 
 def crisis_keyword_flag(text: Column) -> Column:

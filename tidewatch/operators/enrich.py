@@ -45,8 +45,9 @@ def lexicon_sentiment_join(df: DataFrame, lexicon: DataFrame, text: str = "clean
     Words of one document are summed in the task that reads it, so the shuffle
     carries one row per document.
     """
-    words = df.select(id, is_blank(F.col(text)).alias("_blank"),
-                      F.explode_outer(tokens(F.col(text))).alias("word"))
+    # Two steps: expressions next to a generator would run once per word.
+    listed = df.select(id, is_blank(F.col(text)).alias("_blank"), tokens(F.col(text)).alias("_words"))
+    words = listed.select(id, "_blank", F.explode_outer("_words").alias("word"))
     weight = F.col("weight")
     sums = (words.join(lexicon, "word", "left").groupBy(id).agg(
         F.max("_blank").alias("_blank"),

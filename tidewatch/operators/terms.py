@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.contracts import MAX_TERMS, STOP_WORDS
-from tidewatch.functions.text import bigrams, content_tokens, terms
+from tidewatch.functions.text import bigrams, bind, content_tokens, terms
 from tidewatch.operators.profile import with_stats
 
 
@@ -39,7 +39,8 @@ def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
         vocab = F.broadcast(vocab)
     tf = (rows.join(vocab, [*keys, "term"]).groupBy(*keys, id, "term")
           .agg(F.count(F.lit(1)).alias("tf")))
-    document_frequency = tf.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_df"))
+    # Counting on ``tf`` keeps its column in this branch, so both share one shuffle.
+    document_frequency = tf.groupBy(*keys, "term").agg(F.count("tf").alias("_df"))
     sized = with_stats(document_frequency, [F.count(F.lit(1)).alias("documents")], keys, of=df)
     idf = sized.withColumn(
         "idf", F.ln((1 + F.col("documents")) / (1 + F.col("_df"))) + 1).drop("_df")
@@ -71,5 +72,5 @@ def top_culprits(df: DataFrame, text: str = "clean_text", id: str = "id", n: int
 
 
 def bigram_counts(df: DataFrame, text: str = "clean_text") -> DataFrame:
-    pairs = df.select(F.explode(bigrams(content_tokens(F.col(text)))).alias("term"))
+    pairs = df.select(F.explode(bind(content_tokens(F.col(text)), bigrams)).alias("term"))
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))

@@ -14,6 +14,7 @@ from tidewatch.plans.sql import (
     clean_sql, content_tokens_sql, has_word_sql, regex_remove, strip_sql, terms_cte, tfidf_cte,
     tokens_sql, unescape_sql,
 )
+from tidewatch.session import materialize
 
 PLATFORM = ["platform"]
 CLEAN = f"{CDOC},\nclean AS (SELECT *, {clean_sql('raw_text')} AS clean_text FROM cdoc)"
@@ -358,6 +359,11 @@ def enrich_comments(spark, folder):
 
 # -- term mining -----------------------------------------------------------------
 
+def _stored(rows, *columns):
+    """Clean texts as an ingest job would have stored them: mining reads them more than once."""
+    return materialize(rows.select("id", *columns, "clean_text"), "clean")
+
+
 @query("stopword_filter", f"""WITH {CLEAN}
 SELECT id, array_to_string({content_tokens_sql('clean_text')}, ' ') AS kept FROM clean""")
 def stopword_filter(spark, folder):
@@ -374,14 +380,14 @@ def bigram_counts(spark, folder):
 @query("tfidf_terms", f"""WITH {CLEAN}, {tfidf_cte('clean', 'clean_text')}
 SELECT id, term, tf, round(idf, 6) AS idf, round(tfidf, 6) AS tfidf FROM weights""")
 def tfidf_terms(spark, folder):
-    rows = terms.tfidf(_clean_documents(spark, folder))
+    rows = terms.tfidf(_stored(_clean_documents(spark, folder)))
     return rows.select("id", "term", "tf", F.round("idf", 6).alias("idf"), F.round("tfidf", 6).alias("tfidf"))
 
 
 @query("tfidf_sublinear", f"""WITH {CLEAN}, {tfidf_cte('clean', 'clean_text', max_terms=2500, sublinear=True)}
 SELECT id, term, round(tfidf, 6) AS tfidf FROM weights""")
 def tfidf_sublinear(spark, folder):
-    rows = terms.tfidf(_clean_documents(spark, folder), max_terms=2500, sublinear=True)
+    rows = terms.tfidf(_stored(_clean_documents(spark, folder)), max_terms=2500, sublinear=True)
     return rows.select("id", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
@@ -392,7 +398,7 @@ NEGATIVES = f"{CLEAN},\nneg AS (SELECT * FROM clean WHERE sentiment = 'NEGATIVE'
 s AS (SELECT term, sum(tfidf) AS score FROM weights WHERE documents >= 2 GROUP BY term ORDER BY score DESC, term LIMIT 8)
 SELECT term, round(score, 3) AS tfidf_score, contains(term, ' ') AS is_bigram FROM s WHERE score > 0.01""")
 def top_culprits(spark, folder):
-    return terms.top_culprits(rollup.negative_texts(_clean_documents(spark, folder)), n=8)
+    return terms.top_culprits(_stored(rollup.negative_texts(_clean_documents(spark, folder))), n=8)
 
 
 @query("top_culprits_by_platform", f"""WITH {NEGATIVES}, {tfidf_cte('neg', 'clean_text', keys=PLATFORM)},
@@ -401,4 +407,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY score DESC, te
 SELECT platform, term, round(score, 3) AS tfidf_score, contains(term, ' ') AS is_bigram FROM r WHERE rn <= 5 AND score > 0.01""")
 def top_culprits_by_platform(spark, folder):
     negatives = _clean_documents(spark, folder).where("sentiment = 'NEGATIVE'")
-    return terms.top_culprits(negatives, n=5, keys=PLATFORM)
+    return terms.top_culprits(_stored(negatives, "platform"), n=5, keys=PLATFORM)
