@@ -19,7 +19,7 @@ _TAIL_DENOMINATOR = (
 # ------------------------------------------------------------ end fixed values
 
 _SERIES_LIMIT = 2000   # degrees of freedom up to which the finite t series is summed
-_TABLE_LIMIT = 200     # degrees of freedom up to which t quantiles are tabulated
+_TABLE_LIMIT = 64       # degrees of freedom up to which t quantiles are tabulated
 
 
 def _polynomial(x: Column, coefficients) -> Column:
@@ -198,13 +198,19 @@ def normal_quantile(probability: float) -> float:
     return _bisect(probability, lambda z: 0.5 * math.erfc(-z / math.sqrt(2)), -40.0, 40.0)
 
 
+@lru_cache(maxsize=None)
+def _quantile_table(probability: float) -> str:
+    values = (t_quantile(probability, n) for n in range(1, _TABLE_LIMIT + 1))
+    return f"array({', '.join(f'{value!r}D' for value in values)})"
+
+
 def student_t_quantile(probability: float, df: Column) -> Column:
     """Quantile for a fixed probability above one half.
 
     A constant table up to ``_TABLE_LIMIT`` degrees of freedom, then the
     expansion of Abramowitz & Stegun 26.7.5.
     """
-    table = F.array(*[F.lit(t_quantile(probability, n)) for n in range(1, _TABLE_LIMIT + 1)])
+    table = F.expr(_quantile_table(probability))
     z, nu = normal_quantile(probability), df.cast("double")
     expansion = (
         F.lit(z)

@@ -6,7 +6,7 @@ from tidewatch.contracts import (
     BASELINE_NEGATIVE_RATIO, BASELINE_STD, CRISIS_Z, CRITICAL_RATIO, CRITICAL_Z, ELEVATED_RATIO,
     MIN_EFFECTIVE_STD, TEST_ALPHA, WINDOW_ROWS,
 )
-from tidewatch.operators.inference import interval, t_test_columns
+from tidewatch.operators.inference import half_width, rejects, t_statistic, upper_p_value
 from tidewatch.operators.ordering import ID_SLICE, id_bucket, latest, rolling_mean, with_position
 
 NEGATIVE = "NEGATIVE"
@@ -72,16 +72,13 @@ def evaluate_chunks(chunks: DataFrame, keys=(), baseline: float = BASELINE_NEGAT
         F.count("ratio").alias("chunks"), F.avg("ratio").alias("_mean"),
         F.stddev_samp("ratio").alias("_std"))
     n, mean, std = F.col("chunks"), F.col("_mean"), F.col("_std")
-    ratio = F.coalesce(F.try_divide(negatives, total), F.lit(0.0))
     spread = F.when(std >= MIN_EFFECTIVE_STD, std).otherwise(BASELINE_STD)
-    se, t, _, _ = t_test_columns(n, mean, std, baseline, alpha)
-    facts = (base.withColumn("_ratio", ratio).withColumn("_t", t)
-             .withColumn("_z", F.when(total > 0, (ratio - baseline) / spread).otherwise(0.0)))
-    _, _, p, _ = t_test_columns(n, mean, std, baseline, alpha)
-    low, high = interval(mean, se, 0.95, n - 1)
-    facts = (facts.withColumn("_p", p)
-             .withColumn("_reject", F.coalesce((F.col("_p") < alpha) & (F.col("_t") > 0),
-                                               F.lit(False)))
+    ratio = F.coalesce(F.try_divide(negatives, total), F.lit(0.0))
+    facts = (base.withColumns({"_ratio": ratio, "_t": t_statistic(n, mean, std, baseline)})
+             .withColumns({
+                 "_z": F.when(total > 0, (F.col("_ratio") - baseline) / spread).otherwise(0.0),
+                 "_p": upper_p_value(n, F.col("_t")), "_half": half_width(n, std, 0.95)})
+             .withColumn("_reject", rejects(F.col("_p"), F.col("_t"), alpha))
              .withColumn("alert_level",
                          alert_level(F.col("_z"), F.col("_reject"), F.col("_ratio"))))
     z, level = F.col("_z"), F.col("alert_level")
@@ -98,8 +95,8 @@ def evaluate_chunks(chunks: DataFrame, keys=(), baseline: float = BASELINE_NEGAT
     return facts.select(
         *keys, "alert_level", F.round("_ratio", 4).alias("negative_velocity"), "negative_count",
         "total_comments", "chunks", F.round(z, 3).alias("z_score"), p_shown.alias("p_value"),
-        F.col("_reject").alias("reject_null"), tested(low).alias("ci95_low"),
-        tested(high).alias("ci95_high"), message.alias("message"))
+        F.col("_reject").alias("reject_null"), tested(mean - F.col("_half")).alias("ci95_low"),
+        tested(mean + F.col("_half")).alias("ci95_high"), message.alias("message"))
 
 
 def evaluate_window(df: DataFrame, window: int = WINDOW_ROWS, keys=(), id: str = "id") -> DataFrame:

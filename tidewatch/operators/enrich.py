@@ -18,8 +18,12 @@ def with_text_features(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 def clean_table(df: DataFrame, text: str = "raw_text", order: str = "id") -> DataFrame:
     """Drop missing and blank texts and repeats, add features, drop what cleans to nothing."""
-    present = df.where(~is_blank(F.col(text)))
-    return with_text_features(keep_first(present, text, order), text).where("clean_text <> ''")
+    first = keep_first(df.where(~is_blank(F.col(text))), text, order)
+    # Exploding the non-empty result cleans once; a filter on it would clean twice.
+    kept = F.filter(F.array(clean_text(F.col(text))), lambda clean: clean != "")
+    return (first.select("*", F.explode(kept).alias("clean_text"))
+            .withColumn("char_length", F.char_length(text))
+            .withColumn("word_count", word_count(F.col("clean_text"))))
 
 
 def score_texts(df: DataFrame, text: str = "clean_text") -> DataFrame:

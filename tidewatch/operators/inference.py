@@ -11,65 +11,72 @@ from tidewatch.operators.ordering import ID_SLICE, id_bucket, with_position
 from tidewatch.operators.profile import usable, with_stats
 
 
-def t_test_columns(n, mean, std, mu_0: float, alpha: float):
-    """Unrounded pieces of the right-tailed one-sample test as named columns.
+def t_statistic(n, mean, std, mu_0: float):
+    """One-sample t; NULL below three values.
 
-    Without spread the statistic is infinite in the direction of the mean, and
-    undefined (never rejected) when the mean equals the baseline.
+    Without spread it is infinite in the direction of the mean, and undefined
+    (never rejected) when the mean equals the baseline.
     """
-    se = std / F.sqrt(n)
-    t = (F.when(n < 3, None)
-         .when(std > 0, F.try_divide(mean - mu_0, se))
-         .when(mean > mu_0, float("inf")).when(mean < mu_0, float("-inf")))
-    p = F.when(n < 3, 1.0).otherwise(1 - dist.student_t_cdf(t, n - 1))
-    reject = F.coalesce((p < alpha) & (t > 0), F.lit(False))
-    return se, t, p, reject
+    return (F.when(n < 3, None)
+            .when(std > 0, F.try_divide(mean - mu_0, std / F.sqrt(n)))
+            .when(mean > mu_0, float("inf")).when(mean < mu_0, float("-inf")))
 
 
-def interval(mean, se, level: float, df):
-    """Confidence interval of a mean as (low, high)."""
-    reach = dist.student_t_quantile((1 + level) / 2, df) * se
-    return mean - reach, mean + reach
+def upper_p_value(n, t):
+    """P(T > t); 1 below three values."""
+    return F.when(n < 3, 1.0).otherwise(1 - dist.student_t_cdf(t, n - 1))
+
+
+def rejects(p, t, alpha: float):
+    return F.coalesce((p < alpha) & (t > 0), F.lit(False))
+
+
+def half_width(n, std, level: float):
+    """Half the width of the mean's confidence interval."""
+    return dist.student_t_quantile((1 + level) / 2, n - 1) * std / F.sqrt(n)
 
 
 def one_sample_t_test(df: DataFrame, column: str, keys=(), mu_0: float = BASELINE_NEGATIVE_RATIO,
                       alpha: float = TEST_ALPHA) -> DataFrame:
     """Right-tailed one-sample t-test of the mean of ``column``, one row per group."""
     keys, v = list(keys), usable(column)
-    n, mean, std = F.col("_n"), F.col("_mean"), F.col("_std")
-    se, t, p, reject = t_test_columns(n, mean, std, mu_0, alpha)
-    base = (df.groupBy(*keys)
-            .agg(F.count(v).alias("_n"), F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_std"))
-            .withColumn("_t", t))
-    se, _, p, reject = t_test_columns(n, mean, std, mu_0, alpha)
-    base = base.withColumn("_p", p)
+    n, mean, std, t = (F.col(c) for c in ("_n", "_mean", "_std", "_t"))
+    tested = (df.groupBy(*keys)
+              .agg(F.count(v).alias("_n"), F.avg(v).alias("_mean"),
+                   F.stddev_samp(v).alias("_std"))
+              .withColumn("_t", t_statistic(n, mean, std, mu_0))
+              .withColumns({"_p": upper_p_value(n, t), "_half95": half_width(n, std, 0.95),
+                            "_half99": half_width(n, std, 0.99),
+                            "_critical": dist.student_t_quantile(1 - alpha, n - 1)}))
     enough = n >= 3
-    known = lambda c, digits=4: F.when(enough, F.round(c, digits))
-    bounds = {level: interval(mean, se, level, n - 1) for level in (0.95, 0.99)}
-    rejected = F.coalesce((F.col("_p") < alpha) & (F.col("_t") > 0), F.lit(False))
-    return base.select(
+    known = lambda c: F.when(enough, F.round(c, 4))
+    rejected = rejects(F.col("_p"), t, alpha)
+    return tested.select(
         *keys, F.when(enough, "OK").otherwise("INSUFFICIENT_DATA").alias("status"),
         F.when(enough, H0_TEXT.format(mu_0)).alias("null_hypothesis"),
         F.when(enough, H1_TEXT.format(mu_0)).alias("alt_hypothesis"),
         n.alias("sample_size"), known(mean).alias("sample_mean"), known(std).alias("sample_std"),
-        known(se).alias("standard_error"), F.when(enough, n - 1).alias("degrees_of_freedom"),
-        known(F.col("_t")).alias("t_statistic"),
-        known(dist.student_t_quantile(1 - alpha, n - 1)).alias("t_critical"),
-        F.round("_p", 6).alias("p_value"), rejected.alias("reject_null"),
+        known(std / F.sqrt(n)).alias("standard_error"),
+        F.when(enough, n - 1).alias("degrees_of_freedom"), known(t).alias("t_statistic"),
+        known("_critical").alias("t_critical"), F.round("_p", 6).alias("p_value"),
+        rejected.alias("reject_null"),
         F.when(enough, F.when(rejected, VERDICT_REJECT).otherwise(VERDICT_KEEP)).alias("verdict"),
-        known(bounds[0.95][0]).alias("ci95_low"), known(bounds[0.95][1]).alias("ci95_high"),
-        known(bounds[0.99][0]).alias("ci99_low"), known(bounds[0.99][1]).alias("ci99_high"))
+        known(mean - F.col("_half95")).alias("ci95_low"),
+        known(mean + F.col("_half95")).alias("ci95_high"),
+        known(mean - F.col("_half99")).alias("ci99_low"),
+        known(mean + F.col("_half99")).alias("ci99_high"))
 
 
 def mean_interval(df: DataFrame, column: str, level: float = 0.95, keys=()) -> DataFrame:
     """Confidence interval of the mean at any level."""
     keys, v = list(keys), usable(column)
-    n, mean = F.col("n"), F.col("_mean")
-    low, high = interval(mean, F.col("_std") / F.sqrt("n"), level, n - 1)
+    n, mean, half = F.col("n"), F.col("_mean"), F.col("_half")
     return (df.groupBy(*keys)
             .agg(F.count(v).alias("n"), F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_std"))
-            .select(*keys, "n", F.round(mean, 4).alias("mean"), F.round(low, 4).alias("ci_low"),
-                    F.round(high, 4).alias("ci_high")))
+            .withColumn("_half", half_width(n, F.col("_std"), level))
+            .select(*keys, "n", F.round(mean, 4).alias("mean"),
+                    F.round(mean - half, 4).alias("ci_low"),
+                    F.round(mean + half, 4).alias("ci_high")))
 
 
 def bootstrap_means(df: DataFrame, column: str, id: str = "id", sample_size: int = 30,

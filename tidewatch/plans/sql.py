@@ -68,7 +68,7 @@ def t_cdf_sql(t: str, nu: str) -> str:
             f"ELSE {even} END")
 
 
-def t_quantile_sql(probability: float, nu: str, limit: int = 200) -> str:
+def t_quantile_sql(probability: float, nu: str, limit: int = 64) -> str:
     z = normal_quantile(probability)
     values = ", ".join(repr(t_quantile(probability, n)) for n in range(1, limit + 1))
     tail = (f"{z!r} + {(z**3 + z) / 4!r} / {nu} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r} / pow({nu}, 2)"
