@@ -6,7 +6,8 @@ from tidewatch.session import build_session
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", spark__sql__shuffle__partitions=4,
-                            spark__driver__memory="6g")
+                            spark__driver__memory="6g",
+                            spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -136,7 +136,8 @@ def pearson(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    # least and greatest skip NULLs, so an undefined r is kept out of the clamp.
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def bivariate(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
