@@ -51,8 +51,10 @@ def build_corpus(frames, cap: int | None = None, capped=(), seed: int = SEED,
 def master_corpus(frames) -> DataFrame:
     """Union of sentiment sources with clean text of more than three characters."""
     merged = known_sentiments(union_all(frames))
-    cleaned = merged.withColumn("clean_text", clean_text(F.col("text")))
-    return cleaned.where(F.char_length("clean_text") > MIN_LENGTH)
+    # Exploding what is long enough cleans once; a filter would clean twice.
+    kept = F.filter(F.array(clean_text(F.col("text"))),
+                    lambda clean: F.char_length(clean) > MIN_LENGTH)
+    return merged.select("*", F.explode(kept).alias("clean_text"))
 
 
 def source_counts(df: DataFrame) -> DataFrame:

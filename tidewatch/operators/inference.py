@@ -10,6 +10,8 @@ from tidewatch.functions import distributions as dist
 from tidewatch.operators.ordering import ID_SLICE, id_bucket, with_position
 from tidewatch.operators.profile import usable, with_stats
 
+MAX_BROADCAST_DRAWS = 1_000_000
+
 
 def t_statistic(n, mean, std, mu_0: float):
     """One-sample t; NULL below three values.
@@ -99,7 +101,9 @@ def bootstrap_means(df: DataFrame, column: str, id: str = "id", sample_size: int
         [F.count(F.lit(1)).alias("_size")], of=values)
     drawn = (draws.where("_size > 0")
              .select("sample", (F.col("_hash") % F.col("_size")).alias("_index")))
-    return (rows.join(F.broadcast(drawn), "_index").groupBy("sample")
+    if samples * sample_size <= MAX_BROADCAST_DRAWS:
+        drawn = F.broadcast(drawn)
+    return (rows.join(drawn, "_index").groupBy("sample")
             .agg(F.avg("_v").alias("sample_mean")))
 
 

@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.session import materialize
+
 ID_SLICE = 1 << 20
 HASH_DIGITS = 4
 
@@ -53,7 +55,9 @@ def with_position(df: DataFrame, order, bucket: Column, keys=(), name: str = "po
     tagged = df.withColumn("_bucket", bucket)
     offsets = _slice_offsets(tagged, keys)
     if first is not None:
-        offsets = offsets.where(F.col("_before") < first)
+        # Written first, so that its known size lets Spark drop the other slices by a
+        # broadcast join before rows are shuffled.
+        offsets = materialize(offsets.where(F.col("_before") < first), "slices")
         tagged = tagged.join(offsets, [*keys, "_bucket"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     ranked = tagged.withColumn("_row", F.row_number().over(inside))

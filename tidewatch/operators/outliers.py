@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.operators.profile import beside, exact_quantiles, usable, with_stats
+from tidewatch.operators.profile import attach, beside, exact_quantiles, usable, with_stats
+from tidewatch.session import materialize
 
 QUARTILES = {"_q1": 0.25, "_q3": 0.75}
 
@@ -18,8 +19,8 @@ def mark_iqr(df: DataFrame, column: str, keys=(), name: str = "is_outlier") -> D
     quartiles = exact_quantiles(df, column, QUARTILES, keys)
     low, high = _fences()
     v = usable(column)
-    marked = beside(df, quartiles, keys).withColumn(
-        name, F.coalesce((v < low) | (v > high), F.lit(False)))
+    with_fences = attach(df, quartiles, keys) if keys else beside(df, quartiles)
+    marked = with_fences.withColumn(name, F.coalesce((v < low) | (v > high), F.lit(False)))
     return marked.drop(*QUARTILES)
 
 
@@ -28,7 +29,8 @@ def iqr_bounds(df: DataFrame, column: str, keys=()) -> DataFrame:
     keys = list(keys)
     low, high = _fences()
     quartiles = exact_quantiles(df, column, QUARTILES, keys)
-    bounds = quartiles.select(*keys, "_q1", "_q3", low.alias("_low"), high.alias("_high"))
+    bounds = materialize(quartiles.select(
+        *keys, "_q1", "_q3", low.alias("_low"), high.alias("_high")), "bounds")
     v = usable(column)
     outside = (v < F.col("_low")) | (v > F.col("_high"))
     counted = (beside(df, bounds, keys).groupBy(*keys)

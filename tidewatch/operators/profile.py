@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.contracts import KURTOSIS_LABELS, SKEW_LABELS
 from tidewatch.functions.distributions import student_t_cdf
+from tidewatch.session import materialize
 
 QUANTILE_SLICES = 4096
 
@@ -18,16 +19,26 @@ def with_stats(df: DataFrame, stats, keys=(), of: DataFrame | None = None) -> Da
     """Attach aggregate columns to every row.
 
     Without keys the aggregate is one scalar subquery, evaluated once and handed
-    to every task; per key it is an equi-join that the optimizer sizes itself.
+    to every task; per key it is a small table, see :func:`attach`.
     """
     keys, source = list(keys), df if of is None else of
     if keys:
-        return df.join(source.groupBy(*keys).agg(*stats), keys)
+        return attach(df, source.groupBy(*keys).agg(*stats), keys, "inner")
     one = source.agg(*stats)
     packed = one.select(F.struct(*one.columns).alias("_stats")).scalar()
     return df.withColumn("_stats", packed).select(*df.columns, "_stats.*")
 
 
+def attach(df: DataFrame, summary: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Join a per-key summary to a large table.
+
+    The summary is written first. Its size is then known when the join is
+    planned: below the broadcast threshold the large side, whose keys may be
+    badly skewed, is not shuffled at all; above it Spark shuffles both.
+    """
+    return df.join(materialize(summary, "summary"), list(keys), how)
+
+
 def beside(base: DataFrame, other: DataFrame, keys=()) -> DataFrame:
     """Put the columns of one more aggregate of the same grouping next to ``base``."""
     keys = list(keys)
@@ -66,10 +77,8 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: dict, keys=(),
              .withColumn("_ranks", F.filter(wanted, inside))
              .where(F.size("_ranks") > 0)
              .select(*keys, "_slice", F.col("_start").alias("_slice_start"), "_ranks"))
-    if not keys:
-        sizes = F.broadcast(sizes)  # at most two rows per probability
     within = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    found = (placed.join(sizes, [*keys, "_slice"])
+    found = (attach(placed, sizes, [*keys, "_slice"], "inner")
              .groupBy(*keys, "_slice", "_size", "_slice_start", "_ranks", "_v")
              .agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_start", F.col("_slice_start") + F.sum("_n").over(within) - F.col("_n"))

@@ -6,6 +6,8 @@ from tidewatch.contracts import MAX_TERMS, STOP_WORDS
 from tidewatch.functions.text import bigrams, bind, content_tokens, terms
 from tidewatch.operators.profile import with_stats
 
+MAX_BROADCAST_TERMS = 1 << 18
+
 
 def term_rows(df: DataFrame, text: str, id: str = "id", keys=(),
               stop_words=STOP_WORDS) -> DataFrame:
@@ -30,12 +32,14 @@ def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
     """L2-normalised TF-IDF weights of vocabulary terms, one row per document and term.
 
     idf = ln((1 + n) / (1 + df)) + 1. The vocabulary is at most ``max_terms``
-    rows, so it is broadcast and everything else is dropped before the shuffle.
+    rows, so up to ``MAX_BROADCAST_TERMS`` it is broadcast and everything else is
+    dropped before the shuffle.
     """
     keys = list(keys)
     rows = term_rows(df, text, id, keys, stop_words)
     vocab = vocabulary(rows, max_terms, keys).select(*keys, "term")
-    if not keys:
+    bounded = not keys and max_terms <= MAX_BROADCAST_TERMS
+    if bounded:
         vocab = F.broadcast(vocab)
     tf = (rows.join(vocab, [*keys, "term"]).groupBy(*keys, id, "term")
           .agg(F.count(F.lit(1)).alias("tf")))
@@ -44,7 +48,7 @@ def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
     sized = with_stats(document_frequency, [F.count(F.lit(1)).alias("documents")], keys, of=df)
     idf = sized.withColumn(
         "idf", F.ln((1 + F.col("documents")) / (1 + F.col("_df"))) + 1).drop("_df")
-    if not keys:
+    if bounded:
         idf = F.broadcast(idf)
     weight = (1 + F.ln("tf") if sublinear else F.col("tf")) * F.col("idf")
     document = Window.partitionBy(*keys, id)

@@ -24,6 +24,11 @@ def _clean_documents(spark, folder):
     return enrich.with_text_features(comment_documents(spark, folder))
 
 
+def _stored(rows, *columns):
+    """Clean texts as an ingest job would have stored them: mining reads them more than once."""
+    return materialize(rows.select("id", *columns, "clean_text"), "clean")
+
+
 # -- cleaning --------------------------------------------------------------------
 
 @query("clean_text", f"WITH {CLEAN} SELECT id, clean_text FROM clean")
@@ -314,12 +319,12 @@ ALL_WORDS = [w for w in SEVERE_WORDS + PROFANE_WORDS if " " not in w]
 
 @query("toxic_docs_semi", f"WITH {CLEAN} SELECT id FROM clean WHERE {has_word_sql('clean_text', ALL_WORDS)}")
 def toxic_docs_semi(spark, folder):
-    return enrich.containing(_clean_documents(spark, folder), ALL_WORDS).select("id")
+    return enrich.containing(_stored(_clean_documents(spark, folder)), ALL_WORDS).select("id")
 
 
 @query("clean_docs_anti", f"WITH {CLEAN} SELECT id FROM clean WHERE NOT {has_word_sql('clean_text', ALL_WORDS)}")
 def clean_docs_anti(spark, folder):
-    return enrich.not_containing(_clean_documents(spark, folder), ALL_WORDS).select("id")
+    return enrich.not_containing(_stored(_clean_documents(spark, folder)), ALL_WORDS).select("id")
 
 
 @query("prob_vector_label", """WITH p AS (SELECT vec_id, [abs(embedding[1])::DOUBLE, abs(embedding[2])::DOUBLE, abs(embedding[3])::DOUBLE] AS a FROM embeddings),
@@ -359,11 +364,6 @@ def enrich_comments(spark, folder):
 
 # -- term mining -----------------------------------------------------------------
 
-def _stored(rows, *columns):
-    """Clean texts as an ingest job would have stored them: mining reads them more than once."""
-    return materialize(rows.select("id", *columns, "clean_text"), "clean")
-
-
 @query("stopword_filter", f"""WITH {CLEAN}
 SELECT id, array_to_string({content_tokens_sql('clean_text')}, ' ') AS kept FROM clean""")
 def stopword_filter(spark, folder):
