@@ -21,6 +21,7 @@ from tidewatch.operators.evaluation import accuracy, class_scores, weighted_scor
 from tidewatch.operators.ordering import stratified_split, union_all
 from tidewatch.operators.profile import beside
 from tidewatch.operators.terms import term_rows, vocabulary
+from tidewatch.session import materialize
 
 MAX_VOCABULARY = 1 << 18
 
@@ -157,7 +158,9 @@ def _evaluate(name: str, scored: DataFrame, label: str, train_rows) -> DataFrame
 def model_benchmark(df: DataFrame, text: str = "clean_text", label: str = "sentiment",
                     id: str = "id", test_percent: int = 25) -> DataFrame:
     """Naive Bayes against logistic regression on one stratified split."""
-    parts = stratified_split(df.select(id, text, label), id, test_percent, SEED, label)
+    # Read many times by the fits below, so it is written once.
+    parts = materialize(stratified_split(df.select(id, text, label), id, test_percent, SEED, label),
+                        "split")
     train, test = (parts.where(F.col("split") == side) for side in ("train", "test"))
     rows = train.count()
     results = []
@@ -171,7 +174,9 @@ def model_benchmark(df: DataFrame, text: str = "clean_text", label: str = "senti
 def train_and_report(df: DataFrame, text: str, label: str, path: str | None = None,
                      id: str = "id", test_percent: int = 20, **options):
     """Split, fit, score the held-out part, save; returns the model and its class report."""
-    parts = stratified_split(df.select(id, text, label), id, test_percent, SEED, label)
+    # Read many times by the fits below, so it is written once.
+    parts = materialize(stratified_split(df.select(id, text, label), id, test_percent, SEED, label),
+                        "split")
     train, test = (parts.where(F.col("split") == side) for side in ("train", "test"))
     model = fit_classifier(train, text, label, id=id, **options)
     if path:
