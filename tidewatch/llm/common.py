@@ -73,12 +73,11 @@ def row_key(id: str = "doc_id", text: str = "text") -> list[Column]:
 def without(docs: DataFrame, removed: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` less the rows whose :func:`row_key` is in ``removed`` (a written table).
 
-    The size of ``removed`` is known when the join is planned: small, it is
-    broadcast; beyond Spark's threshold both sides are shuffled.
+    Both sides are shuffled, at every size: ``removed`` grows with the documents.
     """
     id_key, hash_key = row_key(id, text)
     mine = docs.select(F.struct("*").alias("_row"), id_key, hash_key)
-    return mine.join(removed.select("_id", "_hash"), ["_id", "_hash"], "left_anti").select("_row.*")
+    return mine.join(removed.select("_id", "_hash").hint("merge"), ["_id", "_hash"], "left_anti").select("_row.*")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS, id: str = "do
     edits = repeated_lines(docs, min_words, id, text)
     id_key, hash_key = row_key(id, text)
     rows = docs.select(F.struct("*").alias("_row"), id_key, hash_key)
-    joined = rows.join(edits.select("_id", "_hash", "keep"), ["_id", "_hash"], "left")
+    joined = rows.join(edits.select("_id", "_hash", "keep").hint("merge"), ["_id", "_hash"], "left")
     new = F.when(F.col("keep").isNull(), F.col("_text")).otherwise(kept_lines("_text", "keep"))
     out = joined.withColumn("_text", F.col(f"_row.{text}")).withColumn("_new", new)
     columns = []
@@ -211,7 +211,7 @@ def report(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     edits = repeated_lines(docs, min_words)
     id_key, hash_key = row_key()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), id_key, hash_key)
-    joined = rows.join(edits, ["_id", "_hash"], "left")
+    joined = rows.join(edits.hint("merge"), ["_id", "_hash"], "left")
     clean = F.when(F.col("keep").isNull(), F.col("_text")).otherwise(kept_lines("_text", "keep"))
     cut = joined.withColumn("_clean", clean)
     return cut.select(

@@ -219,5 +219,5 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     id_key, hash_key = row_key()
     rows = docs.select(F.struct("*").alias("_row"), id_key, hash_key, F.col("source").alias("_source"))
     same = ((rows["_id"] == chosen["_id"]) & (rows["_hash"] == chosen["_hash"]) & rows["_source"].eqNullSafe(chosen["_of"]))
-    return (rows.join(chosen, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time"))
+    return (rows.join(chosen.hint("merge"), same).select("_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time"))
             .select("_row.*"))

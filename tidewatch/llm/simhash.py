@@ -276,7 +276,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = materialize(picked.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_hash")
                        .agg(F.count(F.lit(1)).alias("_copies")), "kept-documents")
     id_key, hash_key = row_key()
-    rows = docs.select(F.struct("*").alias("_row"), id_key, hash_key).join(kept, ["_id", "_hash"])
+    rows = docs.select(F.struct("*").alias("_row"), id_key, hash_key).join(kept.hint("merge"), ["_id", "_hash"])
     single = rows.where(F.col("_copies") == 1).select("_row.*")
     if kept.where(F.col("_copies") > 1).isEmpty():
         return single

@@ -125,7 +125,7 @@ def with_targets(pages: DataFrame, least: int = LEAST_SHARED_BYTES) -> DataFrame
     groups = (known.where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes")
               .agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
     groups = materialize(groups.select("digest", "n_bytes", "_largest"), "payload-groups")
-    joined = known.join(groups, ["digest", "n_bytes"], "left")
+    joined = known.join(groups.hint("merge"), ["digest", "n_bytes"], "left")
     other = F.col("_largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_largest"))
     return joined.withColumn("refers_to", F.when(other, F.col("_largest"))).drop("_largest")
 
