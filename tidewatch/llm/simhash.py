@@ -192,23 +192,28 @@ COPY_WORDS = 5
 COPY_BITS = 128
 #: Shingle sets of similarity 0.8 differ on about 19 of 128 bits, unrelated texts on 64 (deviation 5.7).
 COPY_RADIUS = 26
-BAND_BITS, BANDS, WEAK_BITS = 21, 6, 8
+#: Shard keys come from a print over shorter shingles, of which an edit touches fewer. So many key bits keep
+#: chance meetings rare up to some ten million documents; take more, and fewer bands, for larger tables.
+KEY_WORDS, BAND_BITS, BANDS, WEAK_BITS = 3, 25, 5, 8
 
 
 def copy_print(text: str | None) -> tuple[int, int, list[int]]:
-    """128-bit SimHash over COPY_WORDS words, as two signed halves, and its shard keys.
+    """128-bit SimHash over COPY_WORDS words, as two signed halves, and the shard keys.
 
-    A key is a band of BAND_BITS bits, as it is or with one of its WEAK_BITS closest votes
-    turned. Edits turn close votes first, so near copies share a key even where two bits of
-    the band differ.
+    A key is a band of BAND_BITS bits of the KEY_WORDS print, as it is or with one of its
+    WEAK_BITS closest votes turned. Edits turn close votes first, so near copies share a key
+    even where two bits of the band differ.
     """
-    n, counts = bit_counts(text, COPY_WORDS, xxhash.xxh3_128_digest, COPY_BITS // 8)
-    bits, margin = counts * 2 > n, np.abs(counts * 2 - n)
-    value = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    size = COPY_BITS // 8
+    n, counts = bit_counts(text, COPY_WORDS, xxhash.xxh3_128_digest, size)
+    value = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    n, counts = bit_counts(text, KEY_WORDS, xxhash.xxh3_128_digest, size)
+    margin = np.abs(counts * 2 - n)
+    probe = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
     keys = []
     for band in range(BANDS):
         low = band * BAND_BITS
-        base = band << BAND_BITS | (value >> low) & ((1 << BAND_BITS) - 1)
+        base = band << BAND_BITS | (probe >> low) & ((1 << BAND_BITS) - 1)
         weak = np.argsort(margin[low:low + BAND_BITS], kind="stable")[:WEAK_BITS] if n > 1 else []
         keys += [base, *(base ^ (1 << int(bit)) for bit in weak)]
     return signed(value >> 64), signed(value & ALL_BITS), keys
