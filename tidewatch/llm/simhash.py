@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
 COPY_WORDS = 5
 COPY_BITS = 128
 #: Shingle sets of similarity 0.8 differ on about 19 of 128 bits, unrelated texts on 64 (deviation 5.7).
-COPY_RADIUS = 26
+COPY_RADIUS = 28
 #: Shard keys come from a print over shorter shingles, of which an edit touches fewer. So many key bits keep
 #: chance meetings rare up to some ten million documents; take more, and fewer bands, for larger tables.
 KEY_WORDS, BAND_BITS, BANDS, WEAK_BITS = 3, 25, 5, 8
