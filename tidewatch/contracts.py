@@ -125,6 +125,14 @@ COMMENTS = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
+# Texts of the alert record.
+ALERT_TEXTS = {
+    "EMPTY": "No comments in buffer.",
+    "CRITICAL": "EMERGENCY: Statistically abnormal crisis backlash detected! (Z=%.2f, p=%.4f)",
+    "ELEVATED": "WARNING: Negative sentiment velocity rising above threshold (Z=%.2f)",
+    "SAFE": "Normal brand sentiment velocity (Z=%.2f)",
+}
+
 COMMENT_DEFAULTS = {
     "platform": "Unknown", "source_target": "Stream", "author": "User",
     "raw_text": "", "clean_text": "", "sentiment": "NEUTRAL",

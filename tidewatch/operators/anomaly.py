@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.contracts import (
-    BASELINE_NEGATIVE_RATIO, BASELINE_STD, CRISIS_Z, CRITICAL_RATIO, CRITICAL_Z, ELEVATED_RATIO,
+    ALERT_TEXTS, BASELINE_NEGATIVE_RATIO, BASELINE_STD, CRISIS_Z, CRITICAL_RATIO, CRITICAL_Z, ELEVATED_RATIO,
     MIN_EFFECTIVE_STD, TEST_ALPHA, WINDOW_ROWS,
 )
 from tidewatch.operators.inference import half_width, rejects, t_statistic, upper_p_value
@@ -58,6 +58,15 @@ def alert_level(z: Column, reject: Column, ratio: Column) -> Column:
             .when((z >= CRISIS_Z) | (ratio >= ELEVATED_RATIO), "ELEVATED").otherwise("SAFE"))
 
 
+def printable(value: Column, digits: int) -> Column:
+    """``value`` to ``digits`` places, a tie (to a millionth of the last place) towards zero.
+
+    Printed values would otherwise depend on the last bit of a ratio such as 1.515.
+    """
+    scale = float(10**digits)
+    return F.signum(value) * F.floor(F.abs(value) * scale + (0.5 - 1e-6)).cast("double") / scale
+
+
 def evaluate_chunks(chunks: DataFrame, keys=(), baseline: float = BASELINE_NEGATIVE_RATIO,
                     alpha: float = TEST_ALPHA) -> DataFrame:
     """Alert level and evidence from chunk ratios, one row per key.
@@ -84,14 +93,12 @@ def evaluate_chunks(chunks: DataFrame, keys=(), baseline: float = BASELINE_NEGAT
     z, level = F.col("_z"), F.col("alert_level")
     p_shown = F.round(F.col("_p"), 6)
     tested = lambda c: F.when(n >= 3, F.round(c, 4)).otherwise(0.0)
+    z_text, p_text = printable(z, 2), printable(p_shown, 4)
     message = (
-        F.when(total == 0, "No comments in buffer.")
-        .when(level == "CRITICAL", F.format_string(
-            "EMERGENCY: Statistically abnormal crisis backlash detected! (Z=%.2f, p=%.4f)",
-            z, p_shown))
-        .when(level == "ELEVATED", F.format_string(
-            "WARNING: Negative sentiment velocity rising above threshold (Z=%.2f)", z))
-        .otherwise(F.format_string("Normal brand sentiment velocity (Z=%.2f)", z)))
+        F.when(total == 0, ALERT_TEXTS["EMPTY"])
+        .when(level == "CRITICAL", F.format_string(ALERT_TEXTS["CRITICAL"], z_text, p_text))
+        .when(level == "ELEVATED", F.format_string(ALERT_TEXTS["ELEVATED"], z_text))
+        .otherwise(F.format_string(ALERT_TEXTS["SAFE"], z_text)))
     return facts.select(
         *keys, "alert_level", F.round("_ratio", 4).alias("negative_velocity"), "negative_count",
         "total_comments", "chunks", F.round(z, 3).alias("z_score"), p_shown.alias("p_value"),

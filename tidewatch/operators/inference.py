@@ -93,7 +93,7 @@ def bootstrap_means(df: DataFrame, column: str, id: str = "id", sample_size: int
     values = df.select(id, usable(column).alias("_v")).where("_v is not null")
     rows = with_position(values, [id], id_bucket(id, width)).select(
         (F.col("pos") - 1).alias("_index"), "_v")
-    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), 1, 8)
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), 1, 15)
     draws = with_stats(
         spark.range(samples * sample_size).select(
             F.floor(F.col("id") / sample_size).alias("sample"),

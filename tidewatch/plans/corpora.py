@@ -127,19 +127,14 @@ def corpus_source_counts(spark, folder):
     return corpus.source_counts(ordering.union_all(_sentiment_sources(spark, folder)))
 
 
-CORPUS_CAP = 200
-
-
 @query("corpus_sentiment_build", f"""WITH {UNION_SQL},
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42-' || id), id) AS cap_rn FROM kept)
-  WHERE source <> 'documents' OR cap_rn <= {CORPUS_CAP}),
-d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY rank, id) AS rn FROM capped WHERE length({strip_sql('text')}) > 3)
+d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY rank, id) AS rn FROM kept WHERE length({strip_sql('text')}) > 3)
 SELECT source, id, sentiment, md5(text) AS text_md5,
   row_number() OVER (ORDER BY md5('42-' || rank || '-' || id), rank || '-' || id) AS pos FROM d WHERE rn = 1""")
 def corpus_sentiment_build(spark, folder):
     names = ("documents", "conversations", "benchmark")
     frames = list(zip(names, _sentiment_sources(spark, folder)))
-    built = corpus.build_corpus(frames, cap=CORPUS_CAP, capped=("documents",))
+    built = corpus.build_corpus(frames)
     return _digest(built).select("source", "id", "sentiment", "text_md5", "pos")
 
 

@@ -7,7 +7,8 @@ from tidewatch.operators import anomaly, inference, ordering, rollup
 from tidewatch.plans.registry import (
     CDOC, CEV, CSURGE, comment_documents, comment_events, query, stamp, stamp_sql, surge_events,
 )
-from tidewatch.plans.sql import t_cdf_sql, t_quantile_sql
+from tidewatch.plans.sql import shown_sql, t_cdf_sql, t_quantile_sql
+from tidewatch.session import materialize, scratch_path
 from tidewatch.sources import store
 
 PLATFORM = ["platform"]
@@ -207,9 +208,9 @@ evaluated AS (SELECT {key}level AS alert_level, round(ratio, 4) AS negative_velo
   total AS total_comments, chunks, round(z, 3) AS z_score, round(p, 6) AS p_value, reject AS reject_null,
   CASE WHEN chunks >= 3 THEN round(m - ({q}) * se, 4) ELSE 0 END AS ci95_low,
   CASE WHEN chunks >= 3 THEN round(m + ({q}) * se, 4) ELSE 0 END AS ci95_high,
-  CASE level WHEN 'CRITICAL' THEN printf('EMERGENCY: Statistically abnormal crisis backlash detected! (Z=%.2f, p=%.4f)', z, round(p, 6))
-    WHEN 'ELEVATED' THEN printf('WARNING: Negative sentiment velocity rising above threshold (Z=%.2f)', z)
-    ELSE printf('Normal brand sentiment velocity (Z=%.2f)', z) END AS message FROM alerts)"""
+  CASE level WHEN 'CRITICAL' THEN printf('EMERGENCY: Statistically abnormal crisis backlash detected! (Z=%.2f, p=%.4f)', {shown_sql('z', 2)}, {shown_sql('round(p, 6)', 4)})
+    WHEN 'ELEVATED' THEN printf('WARNING: Negative sentiment velocity rising above threshold (Z=%.2f)', {shown_sql('z', 2)})
+    ELSE printf('Normal brand sentiment velocity (Z=%.2f)', {shown_sql('z', 2)}) END AS message FROM alerts)"""
 
 
 @query("evaluate_window", f"WITH {CEV}, {evaluate_sql('cev')} SELECT * FROM evaluated")
@@ -238,17 +239,19 @@ def evaluate_window_daily(spark, folder):
 
 
 @query("recent_alerts", f"""WITH {CSURGE}, {DAILY_SOURCE}, {evaluate_sql('daily', DAILY)}
-SELECT id, platform, alert_level, z_score, p_value, negative_ratio, sample_size FROM (
-  SELECT row_number() OVER (ORDER BY day, platform) AS id, platform, alert_level, z_score, p_value,
-    negative_velocity AS negative_ratio, total_comments::INT AS sample_size
-  FROM evaluated WHERE alert_level <> 'SAFE') ORDER BY id DESC LIMIT 10""")
+SELECT day, platform, alert_level, z_score, p_value, negative_velocity AS negative_ratio, total_comments::INT AS sample_size
+FROM evaluated WHERE alert_level <> 'SAFE' ORDER BY day DESC, platform DESC LIMIT 10""")
 def recent_alerts(spark, folder):
-    """Alerts numbered by day and channel; a per-day slice keeps the numbering distributed."""
-    alerts = store.alert_rows(anomaly.evaluate_window(_daily(spark, folder), keys=DAILY))
-    numbered = ordering.with_position(alerts, ["day", "platform"], F.col("day"), name="id")
-    return store.recent_alerts(numbered, 10).select(
-        "id", "platform", "alert_level", "z_score", "p_value", "negative_ratio",
-        F.col("sample_size").cast("int").alias("sample_size"))
+    """Alerts of the surge appended channel by channel, read back newest first."""
+    alerts = materialize(store.alert_rows(anomaly.evaluate_window(_daily(spark, folder), keys=DAILY)), "alerts")
+    root = scratch_path(spark, "store")
+    store.create_tables(spark, root)
+    for channel in sorted(r[0] for r in alerts.select("platform").distinct().collect()):
+        store.append_alerts(alerts.where(F.col("platform") == channel)
+                            .withColumn("triggered_at", F.to_timestamp("day")), root)
+    return store.recent_alerts(store.read_table(spark, root, "crisis_alerts"), 10).select(
+        F.date_format("triggered_at", "yyyy-MM-dd").alias("day"), "platform", "alert_level", "z_score",
+        "p_value", "negative_ratio", "sample_size")
 
 
 @query("brand_report", f"""WITH {CEV}, {evaluate_sql('cev')},
@@ -256,12 +259,10 @@ kpi AS (SELECT count(*) AS volume, round(count(*) FILTER (sentiment = 'NEGATIVE'
   sum(is_toxic)::BIGINT AS toxic_hits FROM cev)
 SELECT alert_level AS status, z_score, volume, negative_ratio, p_value,
   CASE WHEN reject_null THEN 'CRITICAL ANOMALY' ELSE 'NORMAL VARIATION' END AS verdict, toxic_hits,
-  '# BRAND INTELLIGENCE REPORT' || chr(10) || 'System Status: ' || alert_level || printf(' (Z-Score: %.2f)', z_score)
-  || chr(10) || format('Interactions: {{:,}}', volume)
-  || chr(10) || printf('Negative velocity: %.2f%% (Baseline: 12.0%%)', negative_ratio * 100)
-  || chr(10) || printf('Inferential p-Value: %.6f', p_value)
-  || chr(10) || 'Hypothesis Verdict: ' || CASE WHEN reject_null THEN 'CRITICAL ANOMALY' ELSE 'NORMAL VARIATION' END
-  || chr(10) || 'Flagged Threat/Harassment Events: ' || toxic_hits AS report
+  'Channel health: ' || alert_level || printf(', z = %.2f', {shown_sql('z_score', 2)})
+  || chr(10) || format('{{:,}} posts', volume) || printf(', %.2f%% negative against 12.00%% expected', {shown_sql('negative_ratio * 100', 2)})
+  || chr(10) || printf('One-sided test: p = %.6f, ', p_value) || CASE WHEN reject_null THEN 'CRITICAL ANOMALY' ELSE 'NORMAL VARIATION' END
+  || chr(10) || 'Posts flagged as toxic: ' || toxic_hits AS report
 FROM evaluated, kpi""")
 def brand_report(spark, folder):
     rows = comment_events(spark, folder)

@@ -59,7 +59,7 @@ def master_toxicity(spark, folder):
 @query("model_save_load_score")
 def model_save_load_score(spark, folder):
     rows, path = _labelled(spark, folder), scratch_path(spark, "model")
-    models.save_model(models.fit_classifier(rows, "clean_text", "sentiment", max_terms=500), path)
+    models.save_model(models.fit_classifier(rows, "clean_text", "sentiment", max_terms=2500), path)
     return models.predict(models.load_model(path), rows).select("id", "predicted", "score")
 
 

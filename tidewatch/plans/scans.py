@@ -11,7 +11,7 @@ from tidewatch.plans.registry import (
     table,
 )
 from tidewatch.plans.sql import unescape_sql
-from tidewatch.session import scratch_path
+from tidewatch.session import materialize, scratch_path
 from tidewatch.sources import files, payloads, store
 
 
@@ -24,15 +24,15 @@ def scan_csv_roundtrip(spark, folder):
     return files.read_csv(spark, path, rows.schema)
 
 
-@query("scan_csv_headerless", """SELECT doc_id, lang, md5(regexp_replace(substr(text, 1, 40), '[^a-zA-Zà-ÿÀ-ß ]', '', 'g')) AS head_md5, n_chars FROM documents""")
+@query("scan_csv_headerless", r"""SELECT doc_id, lang, md5(regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g')) AS text_md5, n_chars FROM documents""")
 def scan_csv_headerless(spark, folder):
-    """Latin-1 text without a header; the text is a document's first 40 characters."""
-    head = F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Zà-ÿÀ-ß ]", "")
-    rows = table(spark, folder, "documents").select("doc_id", "lang", head.alias("head"), "n_chars")
+    """Latin-1 texts, whole, with their quoted line breaks and without a header; letters outside Latin-1 are marked."""
+    latin = F.regexp_replace("text", r"[^\x00-\xFF]", "?")
+    rows = table(spark, folder, "documents").select("doc_id", "lang", latin.alias("text"), "n_chars")
     path = scratch_path(spark, "latin1")
     files.write_csv(rows, path, header=False, encoding="ISO-8859-1")
     back = files.read_headerless(spark, path, rows.schema, encoding="ISO-8859-1")
-    return back.select("doc_id", "lang", F.md5(F.coalesce("head", F.lit(""))).alias("head_md5"), "n_chars")
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), "n_chars")
 
 
 @query("scan_tsv", "SELECT doc_id, quality, toxic FROM labels")
@@ -116,16 +116,24 @@ def append_with_defaults(spark, folder):
 
 @query("alert_append_defaults", f"""WITH {CSURGE}, {DAILY_SOURCE}, {evaluate_sql('daily', DAILY)}
 SELECT CASE WHEN day LIKE '%-25' THEN 'All' ELSE platform END AS platform, alert_level, z_score, p_value,
-  negative_velocity AS negative_ratio, total_comments::INT AS sample_size, '' AS root_causes
+  negative_velocity AS negative_ratio, total_comments::INT AS sample_size, '' AS root_causes, day >= '2024-01-27' AS later,
+  true AS in_order
 FROM evaluated WHERE alert_level <> 'SAFE'""")
 def alert_append_defaults(spark, folder):
+    """Two appends without ids: every id of the second must be above those of the first."""
     days = surge_events(spark, folder).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
-    alerts = store.alert_rows(anomaly.evaluate_window(days, keys=DAILY))
+    alerts = materialize(store.alert_rows(anomaly.evaluate_window(days, keys=DAILY)), "alerts")
     alerts = alerts.withColumn("platform", F.when(~F.col("day").endswith("-25"), F.col("platform")))
+    later = F.col("day") >= "2024-01-27"
     root = scratch_path(spark, "store")
     store.create_tables(spark, root)
-    store.append_alerts(alerts, root)
-    return store.read_table(spark, root, "crisis_alerts").drop("id", "triggered_at")
+    for batch in (~later, later):
+        store.append_alerts(alerts.where(batch).withColumn("triggered_at", F.to_timestamp("day")), root)
+    stored = store.read_table(spark, root, "crisis_alerts").withColumn(
+        "later", F.col("triggered_at") >= F.to_timestamp(F.lit("2024-01-27")))
+    first_end = stored.where("not later").select(F.max("id")).scalar()
+    return (stored.withColumn("in_order", F.coalesce((F.col("id") > first_end) == F.col("later"), F.lit(True)))
+            .drop("id", "triggered_at"))
 
 
 @query("auto_text_column", """SELECT 'benchmark' AS source, item_id AS id, md5(text) AS text_md5 FROM benchmark
@@ -172,7 +180,7 @@ def _text_sql(expression: str) -> str:
 
 @query("page_text_extract", f"""WITH n AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS nodes FROM pages),
 k AS (SELECT page_id, unnest(range(0, len(nodes))) AS node_no, unnest(nodes) AS node, len(nodes) AS total FROM n),
-t AS (SELECT page_id, node_no, substr({_text_sql('node')}, 1, 500) AS text FROM k WHERE node_no >= total - 40)
+t AS (SELECT page_id, node_no, {_text_sql('node')} AS text FROM k)
 SELECT page_id, node_no::INT AS node_no, text FROM t WHERE text <> ''""")
 def page_text_extract(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "html")
@@ -182,6 +190,6 @@ def page_text_extract(spark, folder):
 @query("page_title_body", f"""WITH t AS (SELECT page_id, url,
   {_text_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS title,
   {_text_sql("regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)")} AS body FROM pages)
-SELECT page_id, url, substr(CASE WHEN length(body) > length(title) THEN title || ' - ' || substr(body, 1, 300) ELSE title END, 1, 500) AS text FROM t""")
+SELECT page_id, url, CASE WHEN length(body) > length(title) THEN title || ' - ' || body ELSE title END AS text FROM t""")
 def page_title_body(spark, folder):
     return payloads.page_title_body(table(spark, folder, "pages"), "html")

@@ -105,3 +105,9 @@ idf AS (SELECT {using}, ln((1 + documents) / (1 + df)) + 1 AS idf, documents
 raw AS (SELECT {document}, term, tf, idf, documents, ({weight}) * idf AS w FROM tf JOIN idf USING ({using})),
 weights AS (SELECT {document}, term, tf, idf, documents,
   w / sqrt(sum(w * w) OVER (PARTITION BY {document})) AS tfidf FROM raw)"""
+
+
+def shown_sql(value: str, digits: int) -> str:
+    """A number to ``digits`` places, ties towards zero."""
+    scale = 10**digits
+    return f"(sign({value}) * floor(abs({value}) * {scale}.0::DOUBLE + (0.5::DOUBLE - 1e-6::DOUBLE)) / {scale}.0::DOUBLE)"

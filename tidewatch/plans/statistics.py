@@ -159,7 +159,7 @@ def standard_scale(spark, folder):
 BOOTSTRAP = f"""WITH {CEV},
 pop AS (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, sentiment_score AS v FROM cev),
 size AS (SELECT count(*) AS n FROM cev),
-draws AS (SELECT d // 30 AS sample, ('0x' || substr(md5('42-' || d), 1, 8))::BIGINT % n AS idx
+draws AS (SELECT d // 30 AS sample, ('0x' || substr(md5('42-' || d), 1, 15))::BIGINT % n AS idx
   FROM range(0, 15000) r(d), size),
 means AS (SELECT sample, avg(v) AS m FROM draws JOIN pop USING (idx) GROUP BY sample)"""
 

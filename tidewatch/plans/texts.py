@@ -327,13 +327,22 @@ def clean_docs_anti(spark, folder):
     return enrich.not_containing(_stored(_clean_documents(spark, folder)), ALL_WORDS).select("id")
 
 
-@query("prob_vector_label", """WITH p AS (SELECT vec_id, [abs(embedding[1])::DOUBLE, abs(embedding[2])::DOUBLE, abs(embedding[3])::DOUBLE] AS a FROM embeddings),
+@query("prob_vector_label", """WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS at, round(abs(unnest(embedding))::DOUBLE, 6)::DECIMAL(18, 6) AS x FROM embeddings),
+p AS (SELECT vec_id, [sum(x) FILTER (at % 3 = 1)::DOUBLE, sum(x) FILTER (at % 3 = 2)::DOUBLE, sum(x) FILTER (at % 3 = 0)::DOUBLE] AS a FROM v GROUP BY vec_id),
 q AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p FROM p)
 SELECT vec_id, (list_position(p, list_max(p)) - 1)::INT AS label_id,
   (['NEGATIVE', 'NEUTRAL', 'POSITIVE'])[list_position(p, list_max(p))] AS label,
   round(list_max(p), 4) AS score, round(p[3] - p[1], 4) AS compound FROM q""")
 def prob_vector_label(spark, folder):
-    first = F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x).cast("double"))
+    """Three scores from all dimensions: every third one is summed, in exact decimals."""
+    sizes = F.transform("embedding", lambda x: F.round(F.abs(x).cast("double"), 6).cast("decimal(18,6)"))
+    zero = F.lit(0).cast("decimal(38,6)")
+
+    def every_third(k):
+        mine = F.filter(sizes, lambda x, i: i % 3 == k)
+        return F.aggregate(mine, zero, lambda acc, x: (acc + x).cast("decimal(38,6)")).cast("double")
+
+    first = F.array(*[every_third(k) for k in range(3)])
     total = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x)
     rows = (table(spark, folder, "embeddings").select("vec_id", first.alias("a"))
             .select("vec_id", F.transform("a", lambda x: x / total).alias("p")))

@@ -20,10 +20,14 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Tru
 
 
 def read_headerless(spark: SparkSession, path: str, schema, sep: str = ",",
-                    encoding: str = "UTF-8") -> DataFrame:
-    """CSV or TSV without a header, columns named by ``schema``."""
+                    encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """CSV or TSV without a header, columns named by ``schema``.
+
+    Quoted line breaks keep a file in one task, as in :func:`read_csv`. A row that does not
+    fit the schema ends the job: it is never read as NULLs.
+    """
     return (spark.read.schema(schema).option("sep", sep).option("encoding", encoding)
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
 
 
 def read_any(spark: SparkSession, path: str, schema=None) -> DataFrame:

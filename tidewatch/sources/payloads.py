@@ -4,7 +4,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.text import html_unescape, normalize_handle, squeeze_spaces, strip
 
-MAX_TEXT, MAX_CONTENT, MAX_NODES = 500, 300, 40
+
+def head(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters; all without a limit."""
+    return text if n is None else F.substring(text, 1, n)
+
 
 COMMENT_THREADS = """
 struct<items: array<struct<snippet: struct<topLevelComment: struct<snippet: struct<
@@ -43,13 +47,15 @@ def inner_html(html: Column, tag: str, css_class: str | None = None) -> Column:
     return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
 
 
-def last_nodes(df: DataFrame, nodes: Column, n: int = MAX_NODES) -> DataFrame:
-    """One row per node for the last ``n`` nodes of each page, in page order.
+def last_nodes(df: DataFrame, nodes: Column, n: int | None = None) -> DataFrame:
+    """One row per node of each page, or of its last ``n``, in page order.
 
     Node lists live inside one row, so the cut needs no shuffle.
     """
-    kept = F.slice(F.col("_nodes"), F.greatest(F.size("_nodes") - n + 1, F.lit(1)), F.lit(n))
-    skipped = F.greatest(F.size("_nodes") - n, F.lit(0))
+    kept, skipped = F.col("_nodes"), F.lit(0)
+    if n is not None:
+        kept = F.slice(kept, F.greatest(F.size("_nodes") - n + 1, F.lit(1)), F.lit(n))
+        skipped = F.greatest(F.size("_nodes") - n, F.lit(0))
     return (df.withColumn("_nodes", nodes)
             .select(*df.columns, skipped.alias("_skipped"),
                     F.posexplode(kept).alias("_at", "node"))
@@ -57,7 +63,8 @@ def last_nodes(df: DataFrame, nodes: Column, n: int = MAX_NODES) -> DataFrame:
             .drop("_skipped", "_at"))
 
 
-def parse_message_pages(df: DataFrame, html: str, handle: str, n: int = MAX_NODES) -> DataFrame:
+def parse_message_pages(df: DataFrame, html: str, handle: str, n: int | None = None,
+                        max_text: int | None = None) -> DataFrame:
     """Public channel pages to one row per message with text."""
     blocks = F.split(F.col(html), r'<div class="[^"]*\btgme_widget_message_wrap\b')
     name = normalize_handle(F.col(handle))
@@ -69,26 +76,27 @@ def parse_message_pages(df: DataFrame, html: str, handle: str, n: int = MAX_NODE
         *[c for c in df.columns if c not in (html, handle)], "node_no",
         F.lit("Telegram").alias("platform"), F.concat(F.lit("@"), name).alias("source_target"),
         F.coalesce(author, F.concat(F.lit("@"), name)).alias("author"),
-        F.substring(text, 1, MAX_TEXT).alias("text"), F.lit(100).alias("views"),
+        head(text, max_text).alias("text"), F.lit(100).alias("views"),
         F.coalesce(attribute_of(node, "time", "datetime"), F.lit("Recent")).alias("published_at"),
     ).where("text <> ''")
 
 
-def title_and_content(title: Column, content: Column) -> Column:
-    """Title, followed by the head of the content when the content is longer."""
+def title_and_content(title: Column, content: Column, max_content: int | None = None,
+                      max_text: int | None = None) -> Column:
+    """Title, followed by the content when the content is longer."""
     longer = F.char_length(content) > F.char_length(title)
-    joined = F.concat(title, F.lit(" - "), F.substring(content, 1, MAX_CONTENT))
-    return F.substring(F.when(longer, joined).otherwise(title), 1, MAX_TEXT)
+    joined = F.concat(title, F.lit(" - "), head(content, max_content))
+    return head(F.when(longer, joined).otherwise(title), max_text)
 
 
-def parse_feeds(df: DataFrame, xml: str, target: str, n: int = MAX_NODES) -> DataFrame:
+def parse_feeds(df: DataFrame, xml: str, target: str, n: int | None = None) -> DataFrame:
     """Syndication feeds to one row per entry with text."""
     entries = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1))
     entry = F.col("entry")
     title = F.coalesce(strip(html_unescape(inner_html(entry, "title"))), F.lit(""))
     content = element_text(html_unescape(inner_html(entry, "content")), "")
     author = html_unescape(inner_html(inner_html(entry, "author"), "name"))
-    return (df.select(*df.columns, F.posexplode(F.slice(entries, 1, n)).alias("entry_no", "entry"))
+    return (df.select(*df.columns, F.posexplode(entries if n is None else F.slice(entries, 1, n)).alias("entry_no", "entry"))
             .select(*[c for c in df.columns if c not in (xml, target)], "entry_no",
                     F.lit("Reddit").alias("platform"), F.col(target).alias("source_target"),
                     F.coalesce(author, F.lit("Reddit User")).alias("author"),
@@ -97,12 +105,12 @@ def parse_feeds(df: DataFrame, xml: str, target: str, n: int = MAX_NODES) -> Dat
             .where("text <> ''"))
 
 
-def page_paragraphs(df: DataFrame, html: str, n: int = MAX_NODES) -> DataFrame:
-    """Last ``n`` paragraphs of web pages as message rows."""
+def page_paragraphs(df: DataFrame, html: str, n: int | None = None, max_text: int | None = None) -> DataFrame:
+    """Paragraphs of web pages, or the last ``n``, as message rows."""
     nodes = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
     text = squeeze_spaces(element_text(F.col("node")))
     return (last_nodes(df, nodes, n)
-            .withColumn("text", F.substring(text, 1, MAX_TEXT)).drop("node", html)
+            .withColumn("text", head(text, max_text)).drop("node", html)
             .where("text <> ''"))
 
 

@@ -3,20 +3,24 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.contracts import ALERT_DEFAULTS, ALERTS, COMMENT_DEFAULTS, COMMENTS
+from tidewatch.operators.anomaly import printable
 from tidewatch.operators.ordering import latest
 from tidewatch.operators.rollup import for_platform
 
 TABLES = {"comments": COMMENTS, "crisis_alerts": ALERTS}
 
 
-def conform(df: DataFrame, schema: T.StructType, defaults: dict, time: str) -> DataFrame:
-    """Cast to the table's columns; absent or NULL fields take their defaults."""
+def conform(df: DataFrame, schema: T.StructType, defaults: dict, time: str, after: int = -1) -> DataFrame:
+    """Cast to the table's columns; absent or NULL fields take their defaults.
+
+    Without an ``id`` column, ids go on from ``after``, growing along the rows of ``df``.
+    """
     columns = []
     for field in schema.fields:
         if field.name in df.columns:
             value = F.col(field.name).cast(field.dataType)
         elif field.name == "id":
-            value = F.monotonically_increasing_id()
+            value = F.monotonically_increasing_id() + (after + 1)
         else:
             value = F.lit(None).cast(field.dataType)
         if field.name in defaults:
@@ -27,12 +31,12 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict, time: str) -> D
     return df.select(*columns)
 
 
-def conform_comments(df: DataFrame) -> DataFrame:
-    return conform(df, COMMENTS, COMMENT_DEFAULTS, "created_at")
+def conform_comments(df: DataFrame, after: int = -1) -> DataFrame:
+    return conform(df, COMMENTS, COMMENT_DEFAULTS, "created_at", after)
 
 
-def conform_alerts(df: DataFrame) -> DataFrame:
-    return conform(df, ALERTS, ALERT_DEFAULTS, "triggered_at")
+def conform_alerts(df: DataFrame, after: int = -1) -> DataFrame:
+    return conform(df, ALERTS, ALERT_DEFAULTS, "triggered_at", after)
 
 
 def alert_rows(evaluated: DataFrame) -> DataFrame:
@@ -60,12 +64,20 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
+def last_id(spark: SparkSession, root: str, name: str) -> int:
+    """Largest stored id, -1 for an empty table; reads the one column."""
+    found = read_table(spark, root, name).agg(F.max("id")).first()[0]
+    return -1 if found is None else found
+
+
 def append_comments(df: DataFrame, root: str) -> None:
-    conform_comments(df).write.mode("append").parquet(f"{root}/comments")
+    """Append; ids that ``df`` does not bring are above all stored ones. One writer at a time."""
+    conform_comments(df, last_id(df.sparkSession, root, "comments")).write.mode("append").parquet(f"{root}/comments")
 
 
 def append_alerts(df: DataFrame, root: str) -> None:
-    conform_alerts(df).write.mode("append").parquet(f"{root}/crisis_alerts")
+    """Append alerts, numbered like comments."""
+    conform_alerts(df, last_id(df.sparkSession, root, "crisis_alerts")).write.mode("append").parquet(f"{root}/crisis_alerts")
 
 
 def recent_comments(df: DataFrame, limit: int = 100, platform: str | None = None) -> DataFrame:
@@ -73,7 +85,8 @@ def recent_comments(df: DataFrame, limit: int = 100, platform: str | None = None
 
 
 def recent_alerts(df: DataFrame, limit: int = 10) -> DataFrame:
-    return latest(df, limit)
+    """Newest alerts by time; of one time, the last appended first."""
+    return df.orderBy(F.desc("triggered_at"), F.desc("id")).limit(limit)
 
 
 def brand_report(headline: DataFrame, evaluated: DataFrame) -> DataFrame:
@@ -82,15 +95,12 @@ def brand_report(headline: DataFrame, evaluated: DataFrame) -> DataFrame:
     facts = headline.withColumn("e", packed)
     verdict = F.when(F.col("e.reject_null"), "CRITICAL ANOMALY").otherwise("NORMAL VARIATION")
     body = F.format_string(
-        "# BRAND INTELLIGENCE REPORT\n"
-        "System Status: %s (Z-Score: %.2f)\n"
-        "Interactions: %,d\n"
-        "Negative velocity: %.2f%% (Baseline: 12.0%%)\n"
-        "Inferential p-Value: %.6f\n"
-        "Hypothesis Verdict: %s\n"
-        "Flagged Threat/Harassment Events: %d",
-        F.col("e.alert_level"), F.col("e.z_score"), F.col("total_comments"),
-        F.col("negative_ratio") * 100, F.col("e.p_value"), verdict, F.col("toxic_count"))
+        "Channel health: %s, z = %.2f\n"
+        "%,d posts, %.2f%% negative against 12.00%% expected\n"
+        "One-sided test: p = %.6f, %s\n"
+        "Posts flagged as toxic: %d",
+        F.col("e.alert_level"), printable(F.col("e.z_score"), 2), F.col("total_comments"),
+        printable(F.col("negative_ratio") * 100, 2), F.col("e.p_value"), verdict, F.col("toxic_count"))
     return facts.select(
         F.col("e.alert_level").alias("status"), F.col("e.z_score").alias("z_score"),
         F.col("total_comments").alias("volume"), "negative_ratio",
