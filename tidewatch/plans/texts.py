@@ -327,8 +327,8 @@ def clean_docs_anti(spark, folder):
     return enrich.not_containing(_stored(_clean_documents(spark, folder)), ALL_WORDS).select("id")
 
 
-@query("prob_vector_label", """WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS at, round(abs(unnest(embedding))::DOUBLE, 6)::DECIMAL(18, 6) AS x FROM embeddings),
-p AS (SELECT vec_id, [sum(x) FILTER (at % 3 = 1)::DOUBLE, sum(x) FILTER (at % 3 = 2)::DOUBLE, sum(x) FILTER (at % 3 = 0)::DOUBLE] AS a FROM v GROUP BY vec_id),
+@query("prob_vector_label", """WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS place, round(abs(unnest(embedding))::DOUBLE, 6)::DECIMAL(18, 6) AS x FROM embeddings),
+p AS (SELECT vec_id, [sum(x) FILTER (place % 3 = 1)::DOUBLE, sum(x) FILTER (place % 3 = 2)::DOUBLE, sum(x) FILTER (place % 3 = 0)::DOUBLE] AS a FROM v GROUP BY vec_id),
 q AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p FROM p)
 SELECT vec_id, (list_position(p, list_max(p)) - 1)::INT AS label_id,
   (['NEGATIVE', 'NEUTRAL', 'POSITIVE'])[list_position(p, list_max(p))] AS label,
