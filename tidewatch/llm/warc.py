@@ -206,7 +206,8 @@ def export(archive: DataFrame, folder: str) -> DataFrame:
         from pyarrow import fs
         store, root = fs.FileSystem.from_uri(folder)
         for name, data in batch:
-            with store.open_output_stream(f"{root}/{name}") as out:
+            # The name would make pyarrow compress the bundle once more.
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(data)
             yield name, len(data)
 
