@@ -73,7 +73,7 @@ def test_message_pages(spark):
         MESSAGE.format(owner="", text=body.format("x" * 600), n=3),
         MESSAGE.format(owner=owner, text="", n=4)]) + "</html>"
     df = spark.createDataFrame([(7, page, "https://t.me/chan/5"), (8, "<html></html>", "@none")], "page int, html string, handle string")
-    got = payloads.parse_message_pages(df, "html", "handle", 3).orderBy("node_no").collect()
+    got = payloads.parse_message_pages(df, "html", "handle", 3, max_text=500).orderBy("node_no").collect()
     assert [(r.page, r.node_no, r.author, r.source_target) for r in got] == [(7, 1, "News & Co", "@chan"), (7, 2, "@chan", "@chan")]
     assert got[0].text == "One two  three  <ok>" and len(got[1].text) == 500
     assert got[0].published_at == "2024-05-02T10:00:00+00:00"
