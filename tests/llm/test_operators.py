@@ -317,7 +317,7 @@ def test_urls(spark):
 
 def test_shards_split(spark, odd):
     rows = extendible.sized(odd)
-    shards = extendible.directory(rows, 1000, round_bits=2).collect()
+    shards = extendible.directory(rows, 1000, round_bits=20).collect()
     assert sum(s.shard_rows for s in shards) == len(ODD)
     assert all(s.shard_bytes <= 1000 or s.oversize for s in shards)
     same = extendible.directory(rows, 1000).collect()
