@@ -39,7 +39,9 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return _LOCAL_ROOTS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="tidewatch-"))
+    if sc.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="tidewatch-")
+    return _LOCAL_ROOTS[sc.applicationId]
 
 
 def spread(df: DataFrame) -> DataFrame:

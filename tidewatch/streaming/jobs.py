@@ -114,10 +114,3 @@ def drop_repeats(stream: DataFrame, text: str = "raw_text", time: str = "created
                  watermark: str = WATERMARK) -> DataFrame:
     """Drop texts repeated within the watermark, which also bounds the state."""
     return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark([text])
-
-
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """Drain what is available into an in-memory table; for tests and small results."""
-    query = (stream.writeStream.format("memory").queryName(name).outputMode(mode)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
