@@ -48,7 +48,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Alignment, fingerprints and token ids cannot be said in SQL; tests/llm compares with brute force.
+#: Alignment, fingerprints and token ids cannot be said in SQL; tests/llm tests the stages and their operators.
 ORACLE_SQL = None
 
 
