@@ -164,7 +164,9 @@ def balanced_sample(units: DataFrame, seed: int = 0, block_units: int = BLOCK_UN
     """
     done, todo = None, units
     while True:
-        sums = todo.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("p") * F.col("size")).alias("goal"))
+        # Summed as decimals: the order in which tasks report must not move the goal, and with it a landing.
+        expected = (F.col("p") * F.col("size")).cast("decimal(28,9)")
+        sums = todo.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"), F.sum(expected).cast("double").alias("goal"))
         blocks = materialize(sums.select("_source", "goal", F.ceil(F.col("_n") / block_units).alias("blocks")), "blocks")
         most = blocks.agg(F.max("blocks")).first()[0]
         if most is None:
