@@ -18,7 +18,8 @@ from tidewatch.session import materialize
 
 SEQUENCE_TOKENS = 1024
 END_ID = 0
-CACHE_PIECES = 400_000
+#: Pieces kept, and characters of the longest one kept: repeated pieces are short, rare ones may be of any length.
+CACHE_PIECES, CACHE_CHARACTERS = 400_000, 64
 
 # The splitting rule of the vocabulary, for texts below U+0250 whose letters and digits can be listed.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -63,9 +64,11 @@ class Tokenizer:
         for piece in self.split(text):
             ids = known.get(piece)
             if ids is None:
-                ids = known[piece] = self.packed(
+                ids = self.packed(
                     self.quick.encode_ordinary(piece) if self.quick
                     else self.whole.encode(piece, add_special_tokens=False).ids)
+                if len(piece) <= CACHE_CHARACTERS:
+                    known[piece] = ids
             out.append(ids)
         return b"".join(out)
 
