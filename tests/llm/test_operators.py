@@ -229,7 +229,8 @@ def test_packing_round_trip(spark, docs):
     assert sorted(sum(n for _, n in p) for p in sequences.values())[1:] == [1024] * (len(sequences) - 1)
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a", "日本語 text", "a\x1cb  \n\n c", "don't WE'LL 12½ x²", "", "ß é x\t\t"])
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "日本語 text", "a\x1cb  \n\n c", "don't WE'LL 12½ x²", "", "ß é x\t\t",
+                                  "q" * 3000 + " " + "q" * 3000, "xyz" * 50 + "\n" * 200])
 def test_tokenizer_equals_the_library(text):
     from tokenizers import Tokenizer
     path, ranks = vocabulary()
