@@ -25,6 +25,21 @@ def test_position_matches_sorting(spark):
     assert {r.id: r.pos for r in down} == expect
 
 
+def test_position_of_sparse_ids(spark, monkeypatch):
+    """Ids far apart: as many slices as rows, summed up span by span."""
+    rng = random.Random(9)
+    ids = sorted(rng.randrange(-2**62, 2**62) for _ in range(400)) + [2**62 + i for i in range(5)]
+    df = spark.createDataFrame([(i, rng.choice("ab")) for i in ids], "id bigint, k string")
+    for span in (O.SPAN_SLICES, 1 << 41):
+        monkeypatch.setattr(O, "SPAN_SLICES", span)
+        got = {r.id: (r.pos, r.n) for r in O.with_position(df, ["id"], O.id_bucket(), total="n").collect()}
+        assert got == {i: (p, len(ids)) for p, i in enumerate(ids, 1)}
+        keyed = O.with_position(df, [F.desc("id")], O.id_bucket(descending=True), ["k"], first=7).collect()
+        for key in "ab":
+            top = sorted((r.id for r in df.where(F.col("k") == key).collect()), reverse=True)[:7]
+            assert {r.id: r.pos for r in keyed if r.k == key} == {i: p for p, i in enumerate(top, 1)}
+
+
 def test_rolling_mean_across_blocks(spark):
     rows, df = frame(spark)
     for keys in ([], ["k"]):

@@ -40,6 +40,19 @@ def test_exact_quantiles_match_numpy(spark):
         assert all(math.isclose(r[n], np.percentile(whole, 100 * p), rel_tol=1e-12) for n, p in wanted.items())
 
 
+def test_quantiles_beside_outliers(spark):
+    """Huge values neither change a quantile nor gather the others in a few slices."""
+    rng = np.random.default_rng(5)
+    data = [*rng.normal(50, 3, 5000).tolist(), 1e12, -1e15, 1e300, *[7.0] * 500]
+    df = spark.createDataFrame([(float(v),) for v in data], "v double")
+    wanted = {"p10": .1, "p50": .5, "p99": .99, "p0": 0.0, "p100": 1.0}
+    for slices in (5, 4096):
+        r = P.exact_quantiles(df, "v", wanted, slices=slices).first()
+        assert all(math.isclose(r[n], np.percentile(data, 100 * p), rel_tol=1e-12) for n, p in wanted.items())
+    constant = P.exact_quantiles(df.where("v = 7"), "v", wanted).first()
+    assert set(constant) == {7.0}
+
+
 def test_profile_matches_moments(spark):
     rows, df = values(spark)
     for r in P.univariate_profile(df, "v", ["k"]).collect():

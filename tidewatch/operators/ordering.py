@@ -9,10 +9,12 @@ their slice only.
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from tidewatch.session import materialize
 
 ID_SLICE = 1 << 20
+SPAN_SLICES = 1 << 22
 HASH_DIGITS = 4
 
 
@@ -33,14 +35,27 @@ def hash_bucket(hashed: str, digits: int = HASH_DIGITS) -> Column:
 
 
 def _slice_offsets(tagged: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows before each slice, and rows per key."""
-    sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    """Rows before each slice, and rows per key.
+
+    Sparse ids may fill as many slices as there are rows, so numbered slices are summed up
+    in spans of SPAN_SLICES: whatever the ids, one task orders the slices of one
+    span, or the spans of one key (at most 2^21 of 64-bit ids).
+    """
+    numbered = not isinstance(tagged.schema["_bucket"].dataType, StringType)
+    span = F.floor(F.col("_bucket") / F.lit(SPAN_SLICES)) if numbered else F.lit(0)
+    sizes = (tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_span", span))
+
+    def before(group, order):
+        earlier = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+
     group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        *keys, "_bucket",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias("_total"))
+    spans = sizes.groupBy(*keys, "_span").agg(F.sum("_n").alias("_n")).select(
+        *keys, "_span", before(group, "_span").alias("_start"), F.sum("_n").over(group).alias("_total"))
+    inside = sizes.select(*keys, "_bucket", "_span", before(Window.partitionBy(*keys, "_span"), "_bucket").alias("_inside"))
+    return inside.join(spans, [*keys, "_span"]).select(
+        *keys, "_bucket", (F.col("_start") + F.col("_inside")).alias("_before"), "_total")
 
 
 def with_position(df: DataFrame, order, bucket: Column, keys=(), name: str = "pos",

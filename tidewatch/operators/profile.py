@@ -52,18 +52,33 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: dict, keys=(),
                     slices: int = QUANTILE_SLICES) -> DataFrame:
     """Exact linear-interpolation quantiles without gathering a column in one task.
 
-    Values are counted in ``slices`` equal-width slices; only the slices that
-    hold a wanted rank are looked at value by value, equal values merged first.
+    Values are counted in ``slices`` slices; only the slices that hold a wanted rank
+    are looked at value by value, equal values merged first. Slices are even on a
+    scale that is linear about the middle of the values and logarithmic far from it, so
+    a few huge values leave the others spread over many slices.
     ``probabilities`` maps output names to probabilities.
     """
     keys = list(keys)
     values = df.select(*keys, usable(column).alias("_v")).where("_v is not null")
-    placed = with_stats(values, [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                 F.count("_v").alias("_size")], keys)
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    # Approximate quartiles set the scale. They may differ from one evaluation to the next, so they are
+    # written once and every use of a slice number sees the same ones.
+    guess = F.percentile_approx("_v", [0.25, 0.5, 0.75], 1000)
+    bounds = materialize(
+        values.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_size"),
+                                  guess.alias("_q"))
+        .withColumn("_mid", F.col("_q")[1]).withColumn("_unit", F.col("_q")[2] - F.col("_q")[0]).drop("_q"), "bounds")
+    placed = values.join(bounds, keys) if keys else with_stats(values, [F.max(c).alias(c) for c in bounds.columns], of=bounds)
+
+    def scaled(v):
+        """Does not decrease with ``v``: built from steps that do not."""
+        away = (v - F.col("_mid")) / F.when(F.col("_unit") > 0, F.col("_unit")).otherwise(1.0)
+        return F.signum(away) * F.log1p(F.abs(away))
+
+    low, high = scaled(F.col("_lo")), scaled(F.col("_hi"))
+    share = (scaled(F.col("_v")) - low) / (high - low)
     placed = placed.withColumn("_slice", F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(F.floor(share * slices), F.lit(slices - 1))).otherwise(F.lit(0)).cast("int"))
+        (high > low) & (high - low < float("inf")),
+        F.least(F.floor(share * slices), F.lit(slices - 1))).otherwise(F.lit(0)).cast("int")).drop("_lo", "_hi", "_mid", "_unit")
 
     def rank(p):
         return F.lit(float(p)) * (F.col("_size") - 1)
