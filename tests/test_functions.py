@@ -150,7 +150,11 @@ def test_student_t(spark):
     for t, df, expect in ((1.0, 1, 0.75), (0.0, 5, 0.5), (2.015048, 5, 0.95), (-2.015048, 5, 0.05),
                           (1.372184, 10, 0.9), (float("inf"), 4, 1.0)):
         assert abs(one(spark, D.student_t_cdf(F.col("t"), F.col("d")), t=t, d=df) - expect) < 1e-6
-    exact = one(spark, D.student_t_cdf(F.col("t"), F.col("d")), t=1.7, d=1999)
-    normal = one(spark, D.student_t_cdf(F.col("t"), F.col("d")), t=1.7, d=2001)
-    assert abs(exact - normal) < 1e-6
+    # Both sides of the limits at which the form changes.
+    cases = [(t, n) for t in (-4.5, 0.3, 1.7, 6.0) for n in (1999, 2000, 2001, 5000)]
+    for r in spark.createDataFrame(cases, "t double, d int").withColumn("p", D.student_t_cdf(F.col("t"), F.col("d"))).collect():
+        assert abs(r.p - D._t_cdf(r.t, r.d)) < 1e-13
+    degrees = spark.createDataFrame([(n,) for n in (64, 65, 100, 1999, 2001)], "d int")
+    for r in degrees.withColumn("q", D.student_t_quantile(0.975, F.col("d"))).collect():
+        assert abs(r.q - D.t_quantile(0.975, r.d)) < 1e-11
     assert abs(1 - one(spark, D.student_t_cdf(F.col("t"), F.col("d")), t=14.8797, d=4) - 5.94e-5) < 1e-7

@@ -53,6 +53,19 @@ def test_rolling_mean_across_blocks(spark):
                 assert got[r[0]] == expect or abs(got[r[0]] - expect) < 1e-12
 
 
+def test_ewma_across_blocks(spark):
+    rows, df = frame(spark)
+    for keys in ([], ["k"]):
+        for alpha in (0.5, 0.2):
+            got = {r.id: r.ewma for r in O.ewma(df, F.col("v"), alpha, keys, width=50, block=3).collect()}
+            assert len(got) == len(rows)
+            for key in {r[1] for r in rows} if keys else {None}:
+                s = None
+                for i, _, v in sorted(r for r in rows if key is None or r[1] == key):
+                    s = v if s is None else alpha * v + (1 - alpha) * s
+                    assert abs(got[i] - s) < 1e-12
+
+
 def test_keep_first_and_duplicates(spark):
     df = spark.createDataFrame([(3, "a", "x"), (1, "b", "y"), (2, "a", "z"), (9, "b", "w")], "id int, t string, o string")
     assert sorted(map(tuple, O.keep_first(df, "t", "id").collect())) == [(1, "b", "y"), (2, "a", "z")]

@@ -21,6 +21,7 @@ AUDIT_MODERATE_RATIO = 0.20
 WINDOW_ROWS = 50
 DASHBOARD_ROWS = 300
 SURGE_PER_MINUTE = 25
+EWMA_ROWS = 12
 
 MAX_TERMS = 150
 CLUSTERS = 3

@@ -3,11 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.contracts import (
-    ALERT_TEXTS, BASELINE_NEGATIVE_RATIO, BASELINE_STD, CRISIS_Z, CRITICAL_RATIO, CRITICAL_Z, ELEVATED_RATIO,
+    ALERT_TEXTS, BASELINE_NEGATIVE_RATIO, BASELINE_STD, CRISIS_Z, CRITICAL_RATIO, CRITICAL_Z, ELEVATED_RATIO, EWMA_ROWS,
     MIN_EFFECTIVE_STD, TEST_ALPHA, WINDOW_ROWS,
 )
 from tidewatch.operators.inference import half_width, rejects, t_statistic, upper_p_value
-from tidewatch.operators.ordering import ID_SLICE, id_bucket, latest, rolling_mean, with_position
+from tidewatch.operators.ordering import ID_SLICE, ewma, id_bucket, latest, rolling_mean, with_position
 
 NEGATIVE = "NEGATIVE"
 
@@ -116,6 +116,11 @@ def rolling_negative(df: DataFrame, keys=(), id: str = "id", width: int = ID_SLI
     return rolling_mean(df, is_negative(), keys=keys, id=id, name="rolling_negative", width=width)
 
 
+def ewma_negative(df: DataFrame, keys=(), rows: int = EWMA_ROWS, id: str = "id", width: int = ID_SLICE) -> DataFrame:
+    """Exponentially weighted negative rate in id order; the newest row weighs 2 / (``rows`` + 1)."""
+    return ewma(df, is_negative(), 2 / (rows + 1), keys, id, "ewma_negative", width)
+
+
 def velocity_band(ratio: Column) -> Column:
     return (F.when(ratio < ELEVATED_RATIO, "safe").when(ratio < CRITICAL_RATIO, "elevated")
             .when(ratio.isNotNull(), "critical"))

@@ -6,6 +6,7 @@ aggregation, summed up over the (small) slice table, and rows are numbered insid
 their slice only.
 """
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,6 +16,7 @@ from tidewatch.session import materialize
 
 ID_SLICE = 1 << 20
 SPAN_SLICES = 1 << 22
+EWMA_BLOCK = 1024
 HASH_DIGITS = 4
 
 
@@ -108,6 +110,33 @@ def rolling_mean(df: DataFrame, value: Column, size: int = 12, min_rows: int = 3
             .drop("_value", "_home", "_block"))
 
 
+def ewma(df: DataFrame, value: Column, alpha: float, keys=(), id: str = "id", name: str = "ewma",
+         width: int = ID_SLICE, block: int = EWMA_BLOCK) -> DataFrame:
+    """Exponentially weighted mean of ``value`` by ``id``: s = alpha * value + (1 - alpha) * previous s.
+
+    The first row of a key starts the series. Rows are cut into blocks of consecutive
+    positions; inside one, a running sum of values that grow by 1 / (1 - alpha) a row, scaled
+    back, is the recursion. A block starts from the last value of the one before, itself
+    started from zero two blocks back: what that leaves out is below double precision.
+    NULL values count as zero.
+    """
+    keys, stay = list(keys), 1.0 - alpha
+    # Growth within a block must stay in a double, and weights a block old must vanish.
+    block = max(int(math.ceil(-40 / math.log(stay))), min(block, int(-600 / math.log(stay))))
+    placed = with_position(df, [id], id_bucket(id, width), keys)
+    inside = F.pmod(F.col("pos") - 1, F.lit(block))
+    weight = F.when(F.col("pos") == 1, 1.0).otherwise(alpha)
+    grown = weight * F.coalesce(value.cast("double"), F.lit(0.0)) * F.pow(F.lit(stay), -inside)
+    running = Window.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = (placed.withColumns({"_block": F.floor((F.col("pos") - 1) / F.lit(block)), "_inside": inside, "_grown": grown})
+             .withColumn("_local", F.pow(F.lit(stay), F.col("_inside")) * F.sum("_grown").over(running)))
+    ends = (local.where(F.col("_inside") == block - 1)
+            .select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_local").alias("_carried")))
+    carried = F.coalesce("_carried", F.lit(0.0)) * F.pow(F.lit(stay), F.col("_inside") + 1)
+    return (local.join(ends, [*keys, "_block"], "left").withColumn(name, F.col("_local") + carried)
+            .select(*df.columns, "pos", name))
+
+
 def latest(df: DataFrame, n: int, keys=(), id: str = "id") -> DataFrame:
     """Newest ``n`` rows, overall or per key.
 

@@ -107,6 +107,15 @@ def rolling_negative_by_platform(spark, folder):
     return rows.select("id", "platform", F.round("rolling_negative", 6).alias("rolling_negative"))
 
 
+@query("ewma_negative", f"""WITH {CEV}
+SELECT id, platform, round(list_reduce(list((sentiment = 'NEGATIVE')::INT::DOUBLE) OVER (
+    PARTITION BY platform ORDER BY id ROWS BETWEEN 299 PRECEDING AND CURRENT ROW),
+    lambda s, x: (11 * s + 2 * x) / 13), 6) AS ewma_negative FROM cev""")
+def ewma_negative(spark, folder):
+    rows = anomaly.ewma_negative(comment_events(spark, folder), PLATFORM)
+    return rows.select("id", "platform", F.round("ewma_negative", 6).alias("ewma_negative"))
+
+
 @query("velocity_bands", f"""WITH {CEV}, {_rolling_sql('PARTITION BY platform ')}
 SELECT id, platform, CASE WHEN r < 0.25 THEN 'safe' WHEN r < 0.40 THEN 'elevated'
   WHEN r IS NOT NULL THEN 'critical' END AS band FROM rolled""")

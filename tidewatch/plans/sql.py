@@ -62,7 +62,10 @@ def t_cdf_sql(t: str, nu: str) -> str:
     even = (f"0.5 + 0.5 * {t} / sqrt({nu} + {t} * {t}) * "
             f"coalesce(list_sum(list_transform(range(0, ({nu} // 2)::BIGINT), lambda k: "
             f"pow({nu} / ({nu} + {t} * {t}), k) / sqrt(pi()) * exp(lgamma(k + 0.5) - lgamma(k + 1.0)))), 0)")
-    z = f"({t} * (1 - 1 / (4 * {nu})) / sqrt(1 + {t} * {t} / (2 * {nu})) / sqrt(2))"
+    y = f"(({nu} - 0.5) * ln(1 + {t} * {t} / {nu}))"
+    b = f"(48 * pow({nu} - 0.5, 2))"
+    z = (f"(sign({t}) * sqrt({y}) / sqrt(2) * (1 + ({y} + 3 + (((-0.4 * {y} - 3.3) * {y} - 24) * {y} - 85.5) / "
+         f"(0.8 * {y} * {y} + 100 + {b})) / {b}))")
     large = f"0.5 + 0.5 * {erf_sql(z)}"
     return (f"CASE WHEN {nu} > 2000 THEN {large} WHEN {nu}::BIGINT % 2 = 1 THEN {odd} "
             f"ELSE {even} END")
