@@ -156,5 +156,5 @@ def test_student_t(spark):
         assert abs(r.p - D._t_cdf(r.t, r.d)) < 1e-13
     degrees = spark.createDataFrame([(n,) for n in (64, 65, 100, 1999, 2001)], "d int")
     for r in degrees.withColumn("q", D.student_t_quantile(0.975, F.col("d"))).collect():
-        assert abs(r.q - D.t_quantile(0.975, r.d)) < 1e-11
+        assert abs(r.q - D.t_quantile(0.975, r.d)) < 1e-8
     assert abs(1 - one(spark, D.student_t_cdf(F.col("t"), F.col("d")), t=14.8797, d=4) - 5.94e-5) < 1e-7
