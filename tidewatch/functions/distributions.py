@@ -162,7 +162,9 @@ def student_t_cdf(t: Column, df: Column) -> Column:
                           lambda i: cos2 * (2.0 * i - 3.0) / (2.0 * (i - 1)))
     series = F.when(odd, 0.5 + (theta + sin * F.sqrt(cos2) * odd_sum) / math.pi) \
               .otherwise(0.5 + 0.5 * sin * even_sum)
-    large = normal_cdf(F.signum(t) * _equivalent_deviate(t, nu))
+    # Bound as a lambda's argument: the deviate is evaluated once, however often the tail names it.
+    deviate = F.array(F.signum(t) * _equivalent_deviate(t, nu))
+    large = F.element_at(F.transform(deviate, lambda z: normal_cdf(z)), 1)
     finite = F.when(nu > _SERIES_LIMIT, large).otherwise(series)
     return (F.when(t == float("inf"), 1.0).when(t == float("-inf"), 0.0).otherwise(finite))
 
