@@ -206,6 +206,25 @@ def test_shards_are_split_exactly(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_near_copies_meet():
+    """Texts with scattered edits, similarity 0.8 to 0.86 over five words, share a shard key and lie within the radius."""
+    rng = np.random.default_rng(11)
+    total = met = 0
+    while total < 60:
+        words = [f"w{i}" for i in rng.zipf(1.3, 300) % 5000]
+        edited = list(words)
+        for at in rng.choice(300, rng.integers(5, 7), replace=False):
+            edited[at] = f"new{at}"
+        grams = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (words, edited)]
+        if not 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.86:
+            continue
+        (h, low, keys), (h2, low2, keys2) = (simhash.copy_print(" ".join(w)) for w in (words, edited))
+        apart = ((h ^ h2) & simhash.ALL_BITS).bit_count() + ((low ^ low2) & simhash.ALL_BITS).bit_count()
+        total, met = total + 1, met + (bool(set(keys) & set(keys2)) and apart <= simhash.COPY_RADIUS)
+        assert max(keys) < 1 << 31
+    assert met >= 57
+
+
 @needs_tables
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer

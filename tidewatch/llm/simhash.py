@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.common import connected_components, map_rows, row_key, utf8
+from tidewatch.llm.repetition import mixed
 from tidewatch.session import materialize
 
 SHINGLE_WORDS = 3
@@ -29,21 +30,27 @@ LEVELS = 4
 ALL_BITS = (1 << 64) - 1
 
 
-def bit_counts(text: str | None, words_each: int, digest, size: int) -> tuple[int, np.ndarray]:
-    """Shingles of a text, and in how many of their ``size``-byte hashes each bit is set."""
+def bit_counts(text: str | None, words_each: int, digest, size: int, doubled: bool = False) -> tuple[int, np.ndarray]:
+    """Shingles of a text, and in how many of their ``size``-byte hashes each bit is set.
+
+    With ``doubled``, every hash is followed by its remixed 64-bit words, which gives twice the bits for one digest.
+    """
     words = utf8(text).lower().split()
-    counts = np.zeros(size * 8, dtype=np.int64)
+    wide = size * 2 if doubled else size
+    counts = np.zeros(wide * 8, dtype=np.int64)
     if not words:
         return 0, counts
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts, ends = [0, *(ends + 1).tolist()], ends.tolist()
     n, width = max(len(words) - words_each, 0) + 1, min(words_each, len(words)) - 1
-    offsets = np.arange(size, dtype=np.int64) * 256
+    offsets = np.arange(wide, dtype=np.int64) * 256
     for low in range(0, n, 1 << 16):
         raw = b"".join(digest(joined[starts[i]:ends[i + width]], SEED) for i in range(low, min(low + (1 << 16), n)))
         block = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
-        tally = np.bincount((block + offsets).ravel(), minlength=256 * size).reshape(size, 256)
+        if doubled:
+            block = np.hstack([block, mixed(block.view("<u8")).view(np.uint8)])
+        tally = np.bincount((block + offsets).ravel(), minlength=256 * wide).reshape(wide, 256)
         counts += (tally @ BITS_OF_BYTE).ravel()
     return n, counts
 
@@ -192,9 +199,9 @@ COPY_WORDS = 5
 COPY_BITS = 128
 #: Shingle sets of similarity 0.8 differ on about 19 of 128 bits, unrelated texts on 64 (deviation 5.7).
 COPY_RADIUS = 28
-#: Shard keys come from a print over shorter shingles, of which an edit touches fewer. So many key bits keep
-#: chance meetings rare up to some ten million documents; take more, and fewer bands, for larger tables.
-KEY_WORDS, BAND_BITS, BANDS, WEAK_BITS = 3, 25, 5, 8
+#: Shard keys come from a 256-bit print over shorter shingles, of which an edit touches fewer. So many key bits keep
+#: chance meetings rare up to some forty million documents; take more, and fewer bands, for larger tables.
+KEY_WORDS, BAND_BITS, BANDS, WEAK_BITS = 3, 27, 9, 8
 
 
 def copy_print(text: str | None) -> tuple[int, int, list[int]]:
@@ -207,7 +214,7 @@ def copy_print(text: str | None) -> tuple[int, int, list[int]]:
     size = COPY_BITS // 8
     n, counts = bit_counts(text, COPY_WORDS, xxhash.xxh3_128_digest, size)
     value = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
-    n, counts = bit_counts(text, KEY_WORDS, xxhash.xxh3_128_digest, size)
+    n, counts = bit_counts(text, KEY_WORDS, xxhash.xxh3_128_digest, size, doubled=True)
     margin = np.abs(counts * 2 - n)
     probe = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
     keys = []
@@ -250,13 +257,16 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
                        .withColumn("node", F.xxhash64("high", "low")), "copy-prints")
     classes = materialize(rows.groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min_by(F.struct("high", "low", "keys"), F.struct("_hash", "doc_id")).alias("p")), "classes")
-    keyed = classes.select("node", F.col("p.high").alias("high"), F.col("p.low").alias("low"), F.explode("p.keys").alias("key"))
-    sizes = classes.select(F.explode("p.keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    keyed = classes.select("node", F.explode("p.keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     blocks = F.ceil(F.col("_n") / limit)
     mine = F.pmod("node", blocks).cast("int")
     met = (keyed.join(sizes, "key").withColumn("_mine", mine)
            .withColumn("_other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))))
-    dealt = (met.select("key", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), "high", "low", "node")
+    # Most keys meet no other: prints are sent for those that do.
+    prints = classes.select("node", F.col("p.high").alias("high"), F.col("p.low").alias("low"))
+    dealt = (met.select("key", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), "node")
+             .join(prints, "node").select("key", "i", "j", "high", "low", "node")
              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "high", "low"))
     edges = map_rows(dealt, lambda batch: _link_copies(batch, radius), "a long, b long")
     roots = connected_components(edges)
