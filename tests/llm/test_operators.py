@@ -225,6 +225,59 @@ def test_near_copies_meet():
     assert met >= 57
 
 
+def edited_pairs():
+    """Texts of random words with scattered edits, in pairs of similarity 0.5 to 0.9, and texts of one print but unlike words."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):
+        words = [f"w{i}" for i in rng.integers(0, 100000, 120 if k % 2 else 300)]
+        edited = list(words)
+        for at in rng.choice(len(words), max(1, len(words) * (1 + k % 8) // 100), replace=False):
+            edited[at] = f"new{at}"
+        texts += [" ".join(words), " ".join(edited)]
+    repeated = "again " * 200
+    texts += [repeated + " ".join(f"{side}{i}" for i in range(60)) for side in "ab"]
+    texts += [texts[0].upper(), "one two", "one two", "", None]
+    return texts
+
+
+def shingle_links(texts, links):
+    grams = [{tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for t in texts]
+    parent, below = list(range(len(texts))), 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+            below += bool(a & b) and 0.5 <= len(a & b) / len(a | b) < 0.8
+    assert below >= links
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("limit", [simhash.SHARD_LIMIT, 1])
+def test_near_copies_against_all_pairs(spark, limit):
+    """Texts below similarity 0.8 stay apart although their prints lie within the radius, whatever the blocks."""
+    texts = edited_pairs()
+    roots = shingle_links(texts, 15)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame, limit=limit).collect()}
+    assert [found[i] for i in range(len(texts))] == roots
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(set(roots))
+
+
+def test_confirmed_links_connect():
+    """A member whose first hit is not alike is linked through its next one."""
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 30, 22, 11, 500)]
+    assert simhash.alike_parts(sets).tolist() == [0, 0, 0, 0, 4]
+    assert simhash.alike_parts(sets[:3]).tolist() == [0, 1, 1]
+
+
 @needs_tables
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
