@@ -388,6 +388,16 @@ def test_urls(spark):
     assert url_templates.judge(rows.limit(0), F.col("_bad")).count() == 0
 
 
+def test_urls_keep_supported_sections(spark):
+    """One bad section among more than BRANCHES sections of a host is rejected alone; rare segments do not change that."""
+    for rare in (0, 40):
+        urls = [(f"http://h.io/s{chr(97 + k // 26)}{chr(97 + k % 26)}/p", k == 7) for k in range(40) for _ in range(30)]
+        urls += [(f"http://h.io/x{chr(97 + k // 26)}{chr(97 + k % 26)}/p", False) for k in range(rare)]
+        rows = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, _bad boolean")
+        got = url_templates.judge(rows, F.col("_bad")).select("path", "verdict").distinct().collect()
+        assert {r.path for r in got if r.verdict == "block"} == {"/sah/p"} and len(got) == 40 + rare
+
+
 def test_shards_split(spark, odd):
     rows = extendible.sized(odd)
     shards = extendible.directory(rows, 1000, round_bits=20).collect()

@@ -1,7 +1,8 @@
 """URL filter: a path-template tree per host, judged by smoothed purity.
 
 The path of a url becomes LEVELS template segments: digits turn into ``{n}``, and where
-a node has more than BRANCHES different segments they all become ``*``. From the
+a node has more than BRANCHES different segments with fewer than SUPPORT labels each, those
+become ``*``; a segment with more labels stays a branch, however many there are. From the
 leaves up, branches of a node whose share of bad labels does not differ
 significantly from the node's own merge into ``*``. A template is rejected if its
 smoothed purity (bad labels, with PRIOR more rows of the overall share) is above one
@@ -21,6 +22,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 LEVELS = 3
 BRANCHES = 32
 PRIOR = 10
+#: Labels from which on a segment is judged by its own: as many as the prior weighs.
+SUPPORT = PRIOR
 DEVIATIONS = 3
 STEPS = [f"t{k}" for k in range(1, LEVELS + 1)]
 
@@ -55,15 +58,17 @@ def with_shape(pages: DataFrame) -> DataFrame:
 
 
 def generalised(shapes: DataFrame) -> DataFrame:
-    """Distinct shapes (host, t1.., n, labelled, bad) with ``g1..``: ``*`` where a node has many branches."""
+    """Distinct shapes (host, t1.., n, labelled, bad) with ``g1..``: ``*`` for segments of little support where a node has many."""
     now = shapes
     for k, name in enumerate(STEPS):
         above = ["host", *[f"g{j}" for j in range(1, k + 1)]]
-        variable = (now.select(*above, name).distinct().groupBy(*above).agg(F.count(F.lit(1)).alias("_branches"))
-                    .where(F.col("_branches") > BRANCHES).select(*above, F.lit(True).alias("_many")))
-        # Joined by node without a grouping on top: a host with very many shapes may be split by AQE.
-        now = (now.join(variable, above, "left")
-               .withColumn(f"g{k + 1}", F.when(F.col("_many"), "*").otherwise(F.col(name))).drop("_many"))
+        rare = materialize(now.groupBy(*above, name).agg(F.sum("labelled").alias("_support"))
+                           .where(F.col("_support") < SUPPORT).select(*above, name), "rare-segments")
+        many = rare.groupBy(*above).agg(F.count(F.lit(1)).alias("_branches")).where(F.col("_branches") > BRANCHES)
+        variable = rare.join(many, above).select(*above, name, F.lit(True).alias("_variable"))
+        # Joined by segment without a grouping on top: a host with very many shapes may be split by AQE.
+        now = materialize(now.join(variable, [*above, name], "left")
+                          .withColumn(f"g{k + 1}", F.when(F.col("_variable"), "*").otherwise(F.col(name))).drop("_variable"), "generalised")
     return now
 
 
@@ -89,7 +94,7 @@ def templates(shapes: DataFrame) -> DataFrame:
     labelled, bad = shapes.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     wide = generalised(shapes)
     steps = [f"g{k}" for k in range(1, LEVELS + 1)]
-    # Beyond this aggregation a host has at most BRANCHES + 1 branches at a node.
+    # Beyond this aggregation a node has BRANCHES + 1 branches at most, and one for each SUPPORT labels.
     nodes = materialize(wide.groupBy("host", *steps).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "template-nodes")
     leaves = nodes.select("*", *[F.col(s).alias(f"m{k}") for k, s in enumerate(steps, 1)])
     for level in range(LEVELS, 0, -1):
