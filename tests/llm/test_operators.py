@@ -398,6 +398,15 @@ def test_urls_keep_supported_sections(spark):
         assert {r.path for r in got if r.verdict == "block"} == {"/sah/p"} and len(got) == 40 + rare
 
 
+def test_urls_below_the_third_segment(spark):
+    """Good and bad differ in the fourth segment only, above a fifth of many values."""
+    urls = [(f"http://d.io/blog/2024/all/{kind}/{chr(97 + k // 26)}{chr(97 + k % 26)}", kind == "casino")
+            for kind in ("casino", "music", "travel") for k in range(60)]
+    rows = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, _bad boolean")
+    got = url_templates.judge(rows, F.col("_bad")).select("path", "verdict").collect()
+    assert len(got) == 180 and all((r.verdict == "block") == ("/casino/" in r.path) for r in got)
+
+
 def test_shards_split(spark, odd):
     rows = extendible.sized(odd)
     shards = extendible.directory(rows, 1000, round_bits=20).collect()

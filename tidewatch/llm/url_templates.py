@@ -1,6 +1,7 @@
 """URL filter: a path-template tree per host, judged by smoothed purity.
 
-The path of a url becomes LEVELS template segments: digits turn into ``{n}``, and where
+The path of a url becomes template segments, as many as the deepest path has (LEVELS at
+least): digits turn into ``{n}``, and where
 a node has more than BRANCHES different segments with fewer than SUPPORT labels each, those
 become ``*``; a segment with more labels stays a branch, however many there are. From the
 leaves up, branches of a node whose share of bad labels does not differ
@@ -19,13 +20,13 @@ from tidewatch.session import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict): a host, with all its subdomains, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Levels of templates on tables without deeper paths.
 LEVELS = 3
 BRANCHES = 32
 PRIOR = 10
 #: Labels from which on a segment is judged by its own: as many as the prior weighs.
 SUPPORT = PRIOR
 DEVIATIONS = 3
-STEPS = [f"t{k}" for k in range(1, LEVELS + 1)]
 
 
 def host_and_path(url: str = "url"):
@@ -51,16 +52,23 @@ def rule_and_verdict(rules=RULES):
 
 
 def with_shape(pages: DataFrame) -> DataFrame:
-    """Add the typed segments t1.. of column path; deeper ones share the last, missing ones are empty."""
-    typed = F.regexp_replace(F.regexp_replace("path", "[0-9]+", "{n}"), "/+$", "")
-    parts = F.split(F.regexp_replace(typed, "^/+", ""), "/+", LEVELS)
-    return pages.select("*", *[F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(name) for k, name in enumerate(STEPS)])
+    """Add ``shape``: column path with typed segments, whole, without outer or repeated slashes."""
+    typed = F.regexp_replace(F.regexp_replace("path", "[0-9]+", "{n}"), "/+", "/")
+    return pages.withColumn("shape", F.regexp_replace(typed, "^/|/$", ""))
 
 
-def generalised(shapes: DataFrame) -> DataFrame:
+def with_steps(shapes: DataFrame) -> tuple[DataFrame, int]:
+    """``shapes`` with the segments t1.. of column shape, missing ones empty, and the number of levels."""
+    parts = F.split("shape", "/")
+    depth = max(LEVELS, shapes.agg(F.max(F.size(parts))).first()[0] or 0)
+    return shapes.select("*", *[F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(f"t{k + 1}") for k in range(depth)]), depth
+
+
+def generalised(shapes: DataFrame, depth: int) -> DataFrame:
     """Distinct shapes (host, t1.., n, labelled, bad) with ``g1..``: ``*`` for segments of little support where a node has many."""
     now = shapes
-    for k, name in enumerate(STEPS):
+    for k in range(depth):
+        name = f"t{k + 1}"
         above = ["host", *[f"g{j}" for j in range(1, k + 1)]]
         rare = materialize(now.groupBy(*above, name).agg(F.sum("labelled").alias("_support"))
                            .where(F.col("_support") < SUPPORT).select(*above, name), "rare-segments")
@@ -90,16 +98,17 @@ def merged(leaves: DataFrame, level: int) -> DataFrame:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """Distinct shapes (host, t1.., n, labelled, bad) with template, template_labelled, template_bad, rejected."""
+    """Distinct shapes (host, shape, labelled, bad) with template, template_labelled, template_bad, rejected."""
     labelled, bad = shapes.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    wide = generalised(shapes)
-    steps = [f"g{k}" for k in range(1, LEVELS + 1)]
+    stepped, depth = with_steps(shapes)
+    wide = generalised(stepped, depth)
+    steps = [f"g{k}" for k in range(1, depth + 1)]
     # Beyond this aggregation a node has BRANCHES + 1 branches at most, and one for each SUPPORT labels.
     nodes = materialize(wide.groupBy("host", *steps).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "template-nodes")
     leaves = nodes.select("*", *[F.col(s).alias(f"m{k}") for k, s in enumerate(steps, 1)])
-    for level in range(LEVELS, 0, -1):
+    for level in range(depth, 0, -1):
         leaves = materialize(merged(leaves, level), "template-level")
-    final = ["host", *[f"m{k}" for k in range(1, LEVELS + 1)]]
+    final = ["host", *[f"m{k}" for k in range(1, depth + 1)]]
     sums = leaves.groupBy(*final).agg(F.sum("labelled").alias("template_labelled"), F.sum("bad").alias("template_bad"))
     # Purity (bad + PRIOR * overall share) / (labelled + PRIOR) over one half, in whole numbers.
     judged = sums.withColumn("rejected", F.lit(labelled > 0) & (
@@ -107,7 +116,7 @@ def templates(shapes: DataFrame) -> DataFrame:
     name = F.concat(F.lit("/"), F.regexp_replace(F.concat_ws("/", *final[1:]), "/+$", ""))
     named = leaves.select("host", *steps, *final[1:]).join(judged, final).withColumn("template", name)
     return wide.join(named, ["host", *steps]).select(
-        "host", *STEPS, "template", "template_labelled", "template_bad", "rejected")
+        "host", "shape", "template", "template_labelled", "template_bad", "rejected")
 
 
 def judge(pages: DataFrame, bad=None, rules=RULES, id: str = "page_id", url: str = "url") -> DataFrame:
@@ -121,7 +130,7 @@ def judge(pages: DataFrame, bad=None, rules=RULES, id: str = "page_id", url: str
     label = F.lit(None).cast("boolean") if bad is None else bad.cast("boolean")
     rows = pages.select(F.col(id).alias("page_id"), host.alias("host"), path.alias("path"), label.alias("_bad"))
     rows = materialize(with_shape(rows), "urls")
-    shape = ["host", *STEPS]
+    shape = ["host", "shape"]
     shapes = materialize(rows.groupBy(*shape).agg(
         F.count("_bad").alias("labelled"), F.count_if("_bad").alias("bad")), "url-shapes")
     known = materialize(templates(shapes), "templates")
