@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
-    edit_embedding, extendible, line_alignment, mixing, packing, quality, repetition, simhash, url_templates, warc,
+    edit_embedding, extendible, language, line_alignment, merkle, mixing, packing, quality, repetition, simhash,
+    url_templates, warc, whitening,
 )
 from tidewatch.session import scratch_path
 
@@ -218,3 +219,57 @@ def op9(spark, folder):
 @query("op10_line_alignment")
 def op10(spark, folder):
     return line_alignment.report(table(spark, folder, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+#: CRC-32 of the ASCII text ``s``, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(s, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _merkle_sql() -> str:
+    def leaf(**changed):
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen(({v})::VARCHAR)::VARCHAR || ':' || ({v})::VARCHAR, '-')"
+            for v in (changed.get(c, c) for c in merkle.COLUMNS)) + ")"
+
+    return f"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('1' || lang, '0') AS key, {leaf()} AS leaf,
+  {leaf(n_chars="n_chars::HUGEINT + 1")} AS other, {_CRC32} % 7 = 0 AS tampered FROM (SELECT *, doc_id::VARCHAR AS s FROM documents)),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY key) AS c FROM d),
+up AS (SELECT key, 0 AS lvl, i, c, leaf AS h FROM n0
+  UNION ALL SELECT key, lvl + 1, i // 2, (c + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE c > 1 GROUP BY key, lvl, c, i // 2),
+sub AS (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS c FROM up WHERE c = 1),
+top AS (SELECT 0 AS lvl, i, c, h FROM sub
+  UNION ALL SELECT lvl + 1, i // 2, (c + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE c > 1 GROUP BY lvl, c, i // 2),
+own AS (SELECT r, up.lvl, up.i FROM n0 JOIN up ON up.key = n0.key AND up.i = n0.i >> up.lvl WHERE up.c > 1),
+far AS (SELECT r, top.lvl, top.i FROM n0 JOIN sub USING (key) JOIN top ON top.i = sub.i >> top.lvl WHERE top.c > 1),
+step AS (SELECT own.r, own.lvl, own.i, up.h FROM own JOIN n0 USING (r) LEFT JOIN up ON up.key = n0.key AND up.lvl = own.lvl AND up.i = xor(own.i, 1)
+  UNION ALL SELECT far.r, 100 + far.lvl, far.i, top.h FROM far LEFT JOIN top ON top.lvl = far.lvl AND top.i = xor(far.i, 1)),
+place AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl) AS k FROM step),
+fold AS (SELECT r, 0 AS k, CASE WHEN tampered THEN other ELSE leaf END AS h FROM n0
+  UNION ALL SELECT r, p.k, sha256(CASE WHEN p.i % 2 = 1 THEN coalesce(p.h, '') || fold.h ELSE fold.h || coalesce(p.h, '') END)
+  FROM fold JOIN place p USING (r) WHERE p.k = fold.k + 1),
+last AS (SELECT r, arg_max(h, k) AS folded_root FROM fold GROUP BY r),
+proof AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof_sha256 FROM step GROUP BY r)
+SELECT doc_id, leaf, sub.h AS subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM n0 JOIN sub USING (key) JOIN last USING (r) LEFT JOIN proof USING (r), (SELECT h FROM top WHERE c = 1) t"""
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12(spark, folder):
+    return merkle.audit(table(spark, folder, "documents"))
+
+
+@query("op13_string_kernel_language")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents")
+    # The id is carried beside the answer: held_out is no input of it.
+    return language.identify(docs, language.fit(docs)).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
