@@ -133,16 +133,17 @@ def _rows(batches):
 def _chosen(docs: DataFrame, text: str, lang: str, id: str, rows: int) -> DataFrame:
     """(lang, text, rank): the first ``rows`` distinct texts of each language by hash, as a written table.
 
-    Only hashes are ranked, and Spark prunes to ``rows`` a language in every task before
-    the shuffle; the chosen rows fetch their texts afterwards.
+    Hashes alone are ranked, and of a large language only those in the lowest part that holds about
+    twice as many as wanted; the chosen rows fetch their texts afterwards.
     """
     usable = docs.where(~held_out(id)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= FIT_CHARACTERS))
-    hashed = usable.select("lang", F.md5("text").alias("mark"), F.length("text").alias("n_chars"))
-    order = Window.partitionBy("lang").orderBy("mark")
     # Copies of a text merge first, so that they take one place.
-    ranked = (hashed.groupBy("lang", "mark", "n_chars").count().drop("count")
-              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows))
+    marks = materialize(usable.groupBy("lang", F.md5("text").alias("mark")).agg(F.lit(1).alias("one")).drop("one"), "language-marks")
+    sizes = materialize(marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    share = F.conv(F.substring("mark", 1, 8), 16, 10).cast("double") / 2 ** 32
+    low = marks.join(sizes, "lang").where(share * F.col("n") < 2 * rows)
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("rank") <= rows)
     ranked = materialize(ranked, "language-ranks")
     texts = usable.withColumn("mark", F.md5("text")).join(ranked.select("lang", "mark", "rank"), ["lang", "mark"])
     one = texts.groupBy("lang", "rank").agg(F.first("text").alias("text"))
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     """Model of the languages of ``lang``, from rows that are not held out; None without any.
 
     Landmarks and fit rows are bounded samples: the first by hash among the distinct texts
-    of a language, ``rows`` of them at most, those without a letter or of more than
+    of a language, ``rows`` of them at most (fewer only if a hash splits very unevenly), those without a letter or of more than
     FIT_CHARACTERS left out, and of these the first ones up to LANDMARK_CHARACTERS as
     landmarks. To the driver come the landmarks and one square matrix for each of a
     fixed number of tasks.
