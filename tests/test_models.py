@@ -1,9 +1,15 @@
+import math
+
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidewatch.functions.linear import LinearScorer
+from tidewatch.operators import enrich, terms
 from tidewatch.operators import models as M
-from tidewatch.operators import terms
 from tidewatch.session import scratch_path
+from tidewatch.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +58,79 @@ def test_clusters(spark, posts):
     assert [r.comment_count for r in found] == sorted((r.comment_count for r in found), reverse=True)
     assert all(" / " in r.theme for r in found)
     assert M.root_cause_clusters(posts.limit(2).select("id", "clean_text")).count() == 0
+
+
+ODD = ["great great smooth phone", "Broken, AWFUL: broken awful phone!", "nothing known here", "", "   ", None,
+       "the of and", "phone " * 3000 + "useless screen", "great smooth phone", "великий phone ünïcode"]
+
+
+def odd_texts(spark):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "id bigint, clean_text string")
+
+
+@pytest.mark.parametrize("kind,sublinear", [("naive_bayes", True), ("naive_bayes", False), ("logistic_regression", True)])
+def test_scorer_equals_the_pipeline(spark, posts, kind, sublinear):
+    model = M.fit_classifier(posts, "clean_text", "sentiment", kind, max_terms=40, sublinear=sublinear, max_iter=50)
+    scorer = M.linear_scorer(model)
+    path = scratch_path(spark, "scorer")
+    M.save_scorer(spark, scorer, path)
+    M.save_scorer(spark, scorer, path)
+    loaded = M.load_scorer(spark, path)
+    told = odd_texts(spark).where("clean_text is not null")
+    rows = posts.select("id", "clean_text").unionByName(told)
+    both = model.transform(rows).select(
+        vector_to_array("probability").alias("p"), "predicted", scorer.probabilities(F.col("clean_text")).alias("q"),
+        loaded.probabilities(F.col("clean_text")).alias("r"), scorer.prediction(F.col("clean_text")).alias("s")).collect()
+    assert len(both) == 69
+    for r in both:
+        assert r.p == pytest.approx(r.q, abs=1e-12) and r.p == pytest.approx(r.r, abs=1e-12)
+        assert r.s.label == r.predicted or max(r.p) - min(r.p) < 1e-12
+
+
+def test_scorer_by_hand(spark):
+    scorer = LinearScorer(("a", "b"), (0.5, -0.25), ("alpha", "alpha beta", "beta"), (2.0, 1.5, 1.0),
+                          ((1.0, -1.0), (0.0, 3.0), (-2.0, 0.5)), True, ("stop",))
+    x = np.array([(1 + math.log(2)) * 2.0, 1.5, 1.0])
+    want = (x / np.sqrt((x * x).sum())) @ np.array(scorer.weights) + np.array(scorer.bias)
+    rows = spark.createDataFrame([("Alpha stop beta; gamma alpha",), ("stop",), ("",)], "t string")
+    got = [r[0] for r in rows.select(scorer.margins(F.col("t"))).collect()]
+    assert got[0] == pytest.approx(want.tolist()) and got[1] == got[2] == list(scorer.bias)
+    with pytest.raises(ValueError):
+        LinearScorer(("a",), (0.0,), ("t",) * ((1 << 18) + 1), (), ())
+
+
+def test_logistic_weights_are_the_optimum(spark, posts):
+    """The gradient of the penalised log-likelihood vanishes at the fitted weights."""
+    c = 1.5
+    model = M.fit_classifier(posts, "clean_text", "sentiment", max_terms=40, c=c, max_iter=500)
+    scorer = M.linear_scorer(model)
+    rows = model.transform(posts).select("sentiment", vector_to_array("features").alias("x")).collect()
+    x = np.array([r.x for r in rows])
+    y = np.array([[float(r.sentiment == label) for label in scorer.labels] for r in rows])
+    w, b = np.array(scorer.weights), np.array(scorer.bias)
+    scores = np.exp(x @ w + b)
+    p = scores / scores.sum(axis=1, keepdims=True)
+    assert np.abs(x.T @ (p - y) / len(x) + w / (c * len(x))).max() < 1e-4
+    assert np.abs((p - y).mean(axis=0)).max() < 1e-4
+
+
+def test_enrichment_with_and_without_models(spark, posts):
+    sentiment = M.linear_scorer(M.fit_classifier(posts, "clean_text", "sentiment", "naive_bayes", max_terms=40))
+    toxic = posts.withColumn("toxic", (F.col("sentiment") == "NEGATIVE").cast("int"))
+    toxicity = M.linear_scorer(M.fit_classifier(toxic, "clean_text", "toxic", "naive_bayes", max_terms=40))
+    plain = enrich.score_texts(odd_texts(spark)).orderBy("id").collect()
+    assert M.load_scorer(spark, "/nowhere/scorer") is None and M.linear_scorer(None) is None
+    assert plain == enrich.score_texts(odd_texts(spark), sentiment=M.load_scorer(spark, "/nowhere/scorer")).orderBy("id").collect()
+    scored = {r.id: r for r in enrich.score_texts(odd_texts(spark), "clean_text", sentiment, toxicity).collect()}
+    for i in (3, 4, 5):
+        assert (scored[i].sentiment, scored[i].sentiment_score, scored[i].is_toxic, scored[i].toxicity_score) == ("NEUTRAL", 0.5, 0, 0.0)
+    # "broken" weighs -2.9, "smooth" 2.5: the lexicon agrees with the model here; without a lexicon word the text is neutral.
+    assert (scored[1].sentiment, scored[0].sentiment, scored[2].sentiment) == ("NEGATIVE", "POSITIVE", "NEUTRAL")
+    assert scored[1].is_toxic == 1 and scored[1].toxicity_score > 0.65 and scored[0].is_toxic == 0
+    assert scored[0].sentiment_score > 0.5 and scored[7].sentiment == "NEGATIVE"
+    folder, out = scratch_path(spark, "posts"), scratch_path(spark, "out")
+    odd_texts(spark).withColumnRenamed("clean_text", "raw_text").repartition(3).write.parquet(folder)
+    stream = jobs.read_folder(spark, folder, "id bigint, raw_text string", files_per_trigger=1)
+    jobs.append_to(jobs.enrich(stream, sentiment, toxicity), out, f"{out}-cp").awaitTermination()
+    batch = enrich.enrich_comments(spark.read.parquet(folder), "raw_text", sentiment, toxicity)
+    assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, batch.collect()))

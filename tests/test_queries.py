@@ -18,8 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables n
 CORPUS = re.compile(r"op\d+_|pipeline$")  # covered by tests/llm, where that package is present
 QUERIES = {n: fn for n, fn in driver.queries().items() if not CORPUS.match(n)}
 ORACLES = {n: sql for n, sql in driver.oracle_sql().items() if not CORPUS.match(n)}
-SLOW = {"model_benchmark", "train_and_report", "master_toxicity", "model_save_load_score", "train_logistic",
-        "model_predict"}  # covered by tests/test_models.py and tools/check.py
+SLOW = {"model_benchmark", "train_and_report", "master_toxicity", "model_save_load_score", "train_logistic"}  # covered by tests/test_models.py and tools/check.py
 
 
 @pytest.fixture(scope="module")

@@ -192,3 +192,14 @@ def test_arrival_scores(spark):
     assert (n.pdf, n.cdf) == (0.39894, 0.5)
     e = I.exponential_scores(spark.createDataFrame([(2.0,), (4.0,)], "gap_seconds double")).collect()
     assert e[0].scale_beta == 3.0 and e[0].cdf == round(1 - math.exp(-2 / 3), 5)
+
+
+def test_histogram_keeps_values_beside_the_bounds(spark):
+    """A share a last bit below zero or above one stays in the outermost bins."""
+    rows = spark.createDataFrame([(i, float(i % 7) / 3) for i in range(300)], "id bigint, x double").repartition(5)
+    means = I.bootstrap_means(rows, "x", samples=80)
+    first, second = means.orderBy("sample").collect(), means.orderBy("sample").collect()
+    assert first == second and len(first) == 80
+    counts = {r.bin: r.n for r in P.histogram(means, "sample_mean", 20).collect()}
+    values = np.array([r.sample_mean for r in first])
+    assert [counts[k] for k in range(20)] == np.histogram(values, 20)[0].tolist() and sum(counts.values()) == 80

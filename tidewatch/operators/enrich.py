@@ -2,9 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.functions.scoring import (
-    has_word, lexicon_sentiment, neutral_result, sentiment_from_sums, toxicity_rules,
-)
+from tidewatch.functions.linear import LinearScorer, model_sentiment
+from tidewatch.functions.scoring import has_word, neutral_result, sentiment_from_sums, toxicity_rules
 from tidewatch.functions.text import clean_text, is_blank, tokens, word_count
 from tidewatch.operators.ordering import keep_first
 
@@ -26,10 +25,15 @@ def clean_table(df: DataFrame, text: str = "raw_text", order: str = "id") -> Dat
             .withColumn("word_count", word_count(F.col("clean_text"))))
 
 
-def score_texts(df: DataFrame, text: str = "clean_text") -> DataFrame:
-    """Add sentiment and toxicity columns for an already cleaned text."""
-    scored = (df.withColumn("_sentiment", lexicon_sentiment(F.col(text)))
-              .withColumn("_toxicity", toxicity_rules(F.col(text))))
+def score_texts(df: DataFrame, text: str = "clean_text", sentiment: LinearScorer | None = None,
+                toxicity: LinearScorer | None = None, toxic_label: str = "1") -> DataFrame:
+    """Add sentiment and toxicity columns for an already cleaned text.
+
+    Trained models blend with the lexicon and the word rules; without them, those alone decide.
+    """
+    ml = toxicity.probability(F.col(text), toxic_label) if toxicity else None
+    scored = (df.withColumn("_sentiment", model_sentiment(F.col(text), sentiment))
+              .withColumn("_toxicity", toxicity_rules(F.col(text), ml)))
     return (scored.withColumn("sentiment", F.col("_sentiment.label"))
             .withColumn("sentiment_score", F.col("_sentiment.score"))
             .withColumn("is_toxic", F.col("_toxicity.is_toxic").cast("int"))
@@ -37,9 +41,10 @@ def score_texts(df: DataFrame, text: str = "clean_text") -> DataFrame:
             .drop("_sentiment", "_toxicity"))
 
 
-def enrich_comments(df: DataFrame, text: str = "raw_text") -> DataFrame:
+def enrich_comments(df: DataFrame, text: str = "raw_text", sentiment: LinearScorer | None = None,
+                    toxicity: LinearScorer | None = None) -> DataFrame:
     """Raw posts to comment rows: clean, score, keep every other column."""
-    return score_texts(df.withColumn("clean_text", clean_text(F.col(text))))
+    return score_texts(df.withColumn("clean_text", clean_text(F.col(text))), sentiment=sentiment, toxicity=toxicity)
 
 
 def lexicon_sentiment_join(df: DataFrame, lexicon: DataFrame, text: str = "clean_text",

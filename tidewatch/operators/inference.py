@@ -9,6 +9,7 @@ from tidewatch.contracts import (
 from tidewatch.functions import distributions as dist
 from tidewatch.operators.ordering import ID_SLICE, id_bucket, with_position
 from tidewatch.operators.profile import usable, with_stats
+from tidewatch.session import materialize
 
 MAX_BROADCAST_DRAWS = 1_000_000
 
@@ -87,7 +88,8 @@ def bootstrap_means(df: DataFrame, column: str, id: str = "id", sample_size: int
 
     Rows are numbered, draws are ``samples * sample_size`` generated indices, and
     an equi-join looks the drawn rows up; the number of draws does not grow with
-    the data.
+    the data. The means are written once, one row for each sample: their last bits depend on
+    the order of the tasks, and whatever is computed from them must see the same ones.
     """
     spark = df.sparkSession
     values = df.select(id, usable(column).alias("_v")).where("_v is not null")
@@ -103,8 +105,8 @@ def bootstrap_means(df: DataFrame, column: str, id: str = "id", sample_size: int
              .select("sample", (F.col("_hash") % F.col("_size")).alias("_index")))
     if samples * sample_size <= MAX_BROADCAST_DRAWS:
         drawn = F.broadcast(drawn)
-    return (rows.join(drawn, "_index").groupBy("sample")
-            .agg(F.avg("_v").alias("sample_mean")))
+    means = rows.join(drawn, "_index").groupBy("sample").agg(F.avg("_v").alias("sample_mean"))
+    return materialize(means, "sample-means")
 
 
 def bootstrap_summary(df: DataFrame, column: str, id: str = "id", sample_size: int = 30,

@@ -2,7 +2,7 @@
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
@@ -15,6 +15,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.contracts import CLUSTERS, ENGLISH_STOP_WORDS, MAX_TERMS, SEED, STOP_WORDS
+from tidewatch.functions.linear import LinearScorer
 from tidewatch.functions.scoring import label_from_probabilities
 from tidewatch.functions.text import LONG_TOKEN, title_case_theme
 from tidewatch.operators.evaluation import accuracy, class_scores, weighted_scores
@@ -148,6 +149,61 @@ def load_model(path: str) -> PipelineModel | None:
         raise
 
 
+def linear_scorer(model: PipelineModel | None) -> LinearScorer | None:
+    """The numbers of a :func:`fit_classifier` pipeline as column expressions; None without a model.
+
+    Probabilities are those of ``model.transform``, for rows of any table or stream.
+    """
+    if model is None:
+        return None
+    stage = lambda kind: next((s for s in model.stages if isinstance(s, kind)), None)
+    naive, logistic = stage(NaiveBayesModel), stage(LogisticRegressionModel)
+    if naive:
+        matrix, bias = naive.theta, naive.pi
+    else:
+        matrix, bias = logistic.coefficientMatrix, logistic.interceptVector
+    return LinearScorer(
+        tuple(stage(IndexToString).getLabels()), tuple(bias.toArray().tolist()), tuple(vocabulary_of(model)),
+        tuple(stage(ElementwiseProduct).getScalingVec().toArray().tolist()),
+        tuple(map(tuple, matrix.toArray().T.tolist())), stage(SublinearTf) is not None,
+        tuple(stage(StopWordsRemover).getStopWords()))
+
+
+def scorer_table(spark, scorer: LinearScorer) -> DataFrame:
+    """The weights as rows (term, label, idf, weight); the constants of the labels have a null term."""
+    cells = [(None, label, None, b) for label, b in zip(scorer.labels, scorer.bias)]
+    cells += [(term, label, idf, w) for term, idf, row in zip(scorer.terms, scorer.idf, scorer.weights)
+              for label, w in zip(scorer.labels, row)]
+    return spark.createDataFrame(cells, "term string, label string, idf double, weight double")
+
+
+def save_scorer(spark, scorer: LinearScorer, path: str) -> None:
+    """Weights as Parquet below ``path``, with the settings beside them; replaces what is there."""
+    scorer_table(spark, scorer).coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+    spark.createDataFrame([(list(scorer.labels), scorer.sublinear, list(scorer.stop_words))],
+                          "labels array<string>, sublinear boolean, stop_words array<string>").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/settings")
+
+
+def load_scorer(spark, path: str) -> LinearScorer | None:
+    """A saved scorer, or None when there is none: enrichment then falls back to the word rules."""
+    try:
+        settings = spark.read.parquet(f"{path}/settings").first()
+        cells = spark.read.parquet(f"{path}/weights").orderBy("term", "label").collect()
+    except Exception as error:  # the reader's error carries its condition in the text
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    column = {label: k for k, label in enumerate(settings.labels)}
+    rows, idf = {}, {}
+    for cell in cells:
+        rows.setdefault(cell.term, [0.0] * len(column))[column[cell.label]] = cell.weight
+        idf[cell.term] = cell.idf
+    bias = rows.pop(None)
+    return LinearScorer(tuple(settings.labels), tuple(bias), tuple(rows), tuple(idf[t] for t in rows),
+                        tuple(map(tuple, rows.values())), settings.sublinear, tuple(settings.stop_words))
+
+
 def _evaluate(name: str, scored: DataFrame, label: str, train_rows) -> DataFrame:
     scored = scored.select(F.col(label).cast("string").alias("actual"), "predicted")
     return beside(accuracy(scored), weighted_scores(scored).drop("support")).select(

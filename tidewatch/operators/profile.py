@@ -194,13 +194,17 @@ def correlation_matrix(df: DataFrame, columns) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 15) -> DataFrame:
-    """Equal-width counts and density between minimum and maximum; the last bin is closed."""
+    """Equal-width counts and density between minimum and maximum; the last bin is closed.
+
+    Computed values may differ in their last bit between the pass that finds the bounds
+    and the one that counts: what falls outside belongs to the outermost bins.
+    """
     v = F.col("_v")
     values = df.select(usable(column).alias("_v")).where("_v is not null")
     bounds = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_size")]
     share = F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     counts = (with_stats(values, bounds)
-              .groupBy(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
+              .groupBy(F.greatest(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0))
                        .cast("int").alias("bin"))
               .agg(F.count(F.lit(1)).alias("n")))
     width = (F.col("_hi") - F.col("_lo")) / bins

@@ -1,6 +1,6 @@
 """SQL fragments for the checks: text cleaning, distribution functions, term mining."""
 
-from tidewatch.contracts import EMOJI_WORDS, STOP_WORDS
+from tidewatch.contracts import EMOJI_WORDS, ENGLISH_STOP_WORDS, STOP_WORDS
 from tidewatch.functions import text as X
 from tidewatch.functions.distributions import normal_quantile, t_quantile
 from tidewatch.plans.registry import words_sql
@@ -80,13 +80,13 @@ def t_quantile_sql(probability: float, nu: str, limit: int = 64) -> str:
     return f"CASE WHEN {nu} <= {limit} THEN ([{values}])[{nu}::INT] ELSE {tail} END"
 
 
-def terms_cte(source: str, text: str, id: str = "id", keys=()) -> str:
+def terms_cte(source: str, text: str, id: str = "id", keys=(), stop_words=STOP_WORDS, prefix: str = "") -> str:
     """``words`` per document and ``occ``, one row per term occurrence."""
     head = "".join(f"{k}, " for k in keys)
     return f"""
-words AS (SELECT {head}{id}, {content_tokens_sql(text)} AS w FROM {source}),
-occ AS (SELECT {head}{id}, unnest(list_concat(w, list_transform(range(1, len(w)),
-  lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words)"""
+{prefix}words AS (SELECT {head}{id}, {content_tokens_sql(text, stop_words)} AS w FROM {source}),
+{prefix}occ AS (SELECT {head}{id}, unnest(list_concat(w, list_transform(range(1, len(w)),
+  lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {prefix}words)"""
 
 
 def tfidf_cte(source: str, text: str, id: str = "id", keys=(), max_terms: int = 150,
@@ -110,6 +110,36 @@ weights AS (SELECT {document}, term, tf, idf, documents,
   w / sqrt(sum(w * w) OVER (PARTITION BY {document})) AS tfidf FROM raw)"""
 
 
+def naive_bayes_cte(train: str, label: str, target: str, text: str, p: str, max_terms: int = 2500,
+                    smoothing: float = 0.1, sublinear: bool = True) -> str:
+    """Adds ``{p}prob`` (id, label, prob): multinomial naive Bayes on TF-IDF weights, learned from ``train``
+    (id, clean_text, ``label``) and applied to every row of ``target`` (id, ``text``)."""
+    damped = "1 + ln(tf)" if sublinear else "tf"
+
+    def weights(name, words):
+        return f"""
+{p}{name}tf AS (SELECT id, term, count(*) AS tf FROM {p}{words}occ JOIN {p}vocab USING (term) GROUP BY id, term),
+{p}{name}raw AS (SELECT id, term, ({damped}) * idf AS w FROM {p}{name}tf JOIN {p}idf USING (term)),
+{p}{name} AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS x FROM {p}{name}raw)"""
+
+    return f"""{terms_cte(train, 'clean_text', stop_words=ENGLISH_STOP_WORDS, prefix=f'{p}l')},
+{terms_cte(target, text, stop_words=ENGLISH_STOP_WORDS, prefix=f'{p}t')},
+{p}vocab AS (SELECT term FROM {p}locc GROUP BY term ORDER BY count(*) DESC, term LIMIT {max_terms}),
+{p}idf AS (SELECT term, ln((1 + (SELECT count(*) FROM {train})) / (1 + count(DISTINCT id))) + 1 AS idf
+  FROM {p}locc JOIN {p}vocab USING (term) GROUP BY term),{weights('learned', 'l')},{weights('asked', 't')},
+{p}class AS (SELECT {label}::VARCHAR AS label, count(*) AS n FROM {train} GROUP BY 1),
+{p}cell AS (SELECT label, term, coalesce(f, 0) AS f FROM {p}class CROSS JOIN {p}vocab
+  LEFT JOIN (SELECT {label}::VARCHAR AS label, term, sum(x) AS f FROM {p}learned JOIN {train} USING (id) GROUP BY 1, 2) USING (label, term)),
+{p}theta AS (SELECT label, term, ln(f + {smoothing}::DOUBLE) - ln(sum(f + {smoothing}::DOUBLE) OVER (PARTITION BY label)) AS w FROM {p}cell),
+{p}pi AS (SELECT label, ln(n + {smoothing}::DOUBLE) - ln(sum(n + {smoothing}::DOUBLE) OVER ()) AS b FROM {p}class),
+{p}margin AS (SELECT id, label, b + coalesce(s, 0) AS m FROM {target} CROSS JOIN {p}pi
+  LEFT JOIN (SELECT id, label, sum(x * w) AS s FROM {p}asked JOIN {p}theta USING (term) GROUP BY id, label) USING (id, label)),
+{p}prob AS (SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS prob
+  FROM (SELECT id, label, exp(m - max(m) OVER (PARTITION BY id)) AS e FROM {p}margin)),
+{p}best AS (SELECT id, max(prob) AS prob, min(label) FILTER (prob = top) AS label
+  FROM (SELECT *, max(prob) OVER (PARTITION BY id) AS top FROM {p}prob) GROUP BY id)"""
+
+
 def shown_sql(value: str, digits: int) -> str:
     """A number to ``digits`` places, ties towards zero."""
     scale = 10**digits

@@ -30,22 +30,25 @@ def _events(spark, folder):
     return jobs.event_time(comment_events(_Landed(spark), folder), "created_at")
 
 
-def _drain(spark, stream, label):
+def drained(spark, stream, label):
     """Run to the end into a Parquet folder and read it back."""
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
     jobs.append_to(stream, path, checkpoint).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def documents_as_posts(spark, folder):
+    """``documents`` as a stream of posts."""
+    return table(_Landed(spark), folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text"))
+
+
 @query("stream_enrich", f"""WITH clean AS (SELECT doc_id AS id, {clean_sql('text')} AS clean_text FROM documents),
 {sentiment_sql('clean', 'clean_text')}, {TOXIC}
 SELECT c.id, md5(c.clean_text) AS clean_md5, CASE WHEN c.clean_text = '' THEN 'NEUTRAL' ELSE coalesce(s.label, 'NEUTRAL') END AS sentiment,
   CASE WHEN c.clean_text = '' THEN 0.5 ELSE coalesce(s.score, 0.1) END AS sentiment_score, t.is_toxic::INT AS is_toxic, t.toxicity_score
 FROM clean c JOIN toxic t USING (id) LEFT JOIN scored s USING (id)""")
 def stream_enrich(spark, folder):
-    posts = table(_Landed(spark), folder, "documents").select(
-        F.col("doc_id").alias("id"), F.col("text").alias("raw_text"))
-    rows = _drain(spark, jobs.enrich(posts), "enriched")
+    rows = drained(spark, jobs.enrich(documents_as_posts(spark, folder)), "enriched")
     return rows.select("id", F.md5("clean_text").alias("clean_md5"), "sentiment", "sentiment_score",
                        "is_toxic", "toxicity_score")
 
@@ -89,7 +92,7 @@ SELECT platform, {stamp_sql('h')} AS window_start, count(*) AS n
 FROM (SELECT platform, date_trunc('hour', created_at) AS h FROM cev) GROUP BY platform, h
 HAVING h + INTERVAL 1 HOUR <= {CLOSED}""")
 def stream_arrival_rate(spark, folder):
-    counts = _drain(spark, jobs.arrival_counts(_events(spark, folder)), "arrivals")
+    counts = drained(spark, jobs.arrival_counts(_events(spark, folder)), "arrivals")
     return counts.withColumn("window_start", stamp("window_start"))
 
 
@@ -100,7 +103,7 @@ SELECT platform, {stamp_sql('w')} AS window_start, count(*) AS n, count(*) FILTE
   round(count(*) FILTER (sentiment = 'NEGATIVE') / count(*), 4) AS negative_ratio
 FROM s GROUP BY platform, w HAVING w + INTERVAL 1 HOUR <= {CLOSED}""")
 def stream_sliding_negative(spark, folder):
-    shares = _drain(spark, jobs.sliding_negative(_events(spark, folder)), "sliding")
+    shares = drained(spark, jobs.sliding_negative(_events(spark, folder)), "sliding")
     return shares.withColumn("window_start", stamp("window_start"))
 
 
@@ -110,4 +113,4 @@ def stream_dedup(spark, folder):
     time = F.timestamp_seconds(F.col("doc_id") + F.lit(1_700_000_000))
     posts = table(_Landed(spark), folder, "documents").select(
         F.md5("text").alias("text_md5"), time.alias("created_at"))
-    return _drain(spark, jobs.drop_repeats(posts, "text_md5"), "distinct").select("text_md5")
+    return drained(spark, jobs.drop_repeats(posts, "text_md5"), "distinct").select("text_md5")

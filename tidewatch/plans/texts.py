@@ -226,8 +226,18 @@ _W = SENTIMENT_WEIGHTS
 _VALENCE = ("CASE w " + " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in _W.items()) + " END")
 # Spiced texts: every document is followed by two lexicon words chosen by its number.
 _SPICE = list(_W) + ["fine", "service", "again"]
-_SPICED_SQL = (f"clean_text || ' ' || ([{words_sql(_SPICE)}])[(id % 20 + 1)::INT] || ' ' || "
-               f"([{words_sql(_SPICE)}])[(id // 20 % 20 + 1)::INT]")
+
+
+def spiced_sql(text: str, id: str) -> str:
+    return (f"{text} || ' ' || ([{words_sql(_SPICE)}])[({id} % 20 + 1)::INT] || ' ' || "
+            f"([{words_sql(_SPICE)}])[({id} // 20 % 20 + 1)::INT]")
+
+
+def with_spice(text: str, id: str = "id") -> F.Column:
+    spice = F.array(*[F.lit(w) for w in _SPICE])
+    pick = lambda n: F.element_at(spice, (n % 20 + 1).cast("int"))
+    return F.concat_ws(" ", text, pick(F.col(id)), pick(F.floor(F.col(id) / 20)))
+
 
 
 def sentiment_sql(source: str, text: str) -> str:
@@ -243,14 +253,11 @@ scored AS (SELECT id, CASE WHEN c >= 0.05 THEN 'POSITIVE' WHEN c <= -0.05 THEN '
   round(c, 4) AS compound FROM polar)"""
 
 
-SPICED = f"{CLEAN},\nspiced AS (SELECT id, {_SPICED_SQL} AS t FROM clean)"
+SPICED = f"{CLEAN},\nspiced AS (SELECT id, {spiced_sql('clean_text', 'id')} AS t FROM clean)"
 
 
 def _spiced(spark, folder):
-    spice = F.array(*[F.lit(w) for w in _SPICE])
-    pick = lambda n: F.element_at(spice, (n % 20 + 1).cast("int"))
-    text = F.concat_ws(" ", "clean_text", pick(F.col("id")), pick(F.floor(F.col("id") / 20)))
-    return _clean_documents(spark, folder).select("id", text.alias("t"))
+    return _clean_documents(spark, folder).select("id", with_spice("clean_text").alias("t"))
 
 
 @query("lexicon_sentiment", f"WITH {SPICED}, {sentiment_sql('spiced', 't')} SELECT id, label, score, compound FROM scored")

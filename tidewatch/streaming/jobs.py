@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.contracts import WINDOW_ROWS
+from tidewatch.functions.linear import LinearScorer
 from tidewatch.operators.anomaly import evaluate_window, is_negative
 from tidewatch.operators.enrich import enrich_comments
 from tidewatch.operators.ordering import latest
@@ -25,9 +26,9 @@ def event_time(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def enrich(stream: DataFrame) -> DataFrame:
-    """Continuous ingest: clean and score each post as it arrives."""
-    return enrich_comments(stream)
+def enrich(stream: DataFrame, sentiment: LinearScorer | None = None, toxicity: LinearScorer | None = None) -> DataFrame:
+    """Continuous ingest: clean and score each post as it arrives, with trained models where there are any."""
+    return enrich_comments(stream, sentiment=sentiment, toxicity=toxicity)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger):
