@@ -1,10 +1,11 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.session import scratch_path, scratch_root
-from tidewatch.sources import files, payloads, store
+from tidewatch.sources import files, ledger, payloads, store
 
 
 def test_csv_keeps_odd_text(spark):
@@ -116,6 +117,50 @@ def test_store(spark):
     assert store.read_table(spark, root, "comments").count() == 0
 
 
+def test_ids_are_dense_and_never_given_twice(spark):
+    root = scratch_path(spark, "store")
+    store.create_tables(spark, root)
+    ids = lambda: sorted(r.id for r in store.read_table(spark, root, "comments").select("id").collect())
+    make = lambda n, parts=3: spark.range(n).select(F.lit("Reddit").alias("platform"), F.col("id").cast("double").alias("sentiment_score")).repartition(parts)
+    store.append_comments(make(10), root)
+    store.append_comments(make(7), root, "a", 0)
+    store.append_comments(make(5), root, "b", 0)
+    store.append_comments(make(7), root, "a", 0)
+    assert ids() == list(range(22))
+    store.append_comments(make(0), root, "a", 1)
+    store.append_comments(spark.createDataFrame([(40, "x"), (31, "y")], "id int, platform string"), root)
+    store.append_comments(make(3, 1), root, "b", 1)
+    store.append_comments(make(3, 1), root, "b", 1)
+    assert ids() == [*range(22), 31, 40, 41, 42, 43]
+    # A batch that is run again with other rows takes new numbers; those of its first run stay unused.
+    store.append_comments(make(4, 1), root, "b", 1)
+    assert ids() == [*range(22), 31, 40, 44, 45, 46, 47]
+    rows = store.read_table(spark, root, "comments").where("id >= 44").orderBy("id").collect()
+    assert [r.sentiment_score for r in rows] == [0.0, 1.0, 2.0, 3.0]
+    store.clear_all(spark, root)
+    store.append_comments(make(2), root)
+    assert ids() == [0, 1]
+
+
+def test_tables_older_than_their_ledger_go_on_above_their_ids(spark):
+    for first in ("numbered", "unnumbered"):
+        root = scratch_path(spark, "store")
+        rows = spark.createDataFrame([(5, "x"), (900, "y")], "id bigint, platform string")
+        store.conform_comments(rows).write.parquet(f"{root}/comments")
+        if first == "numbered":
+            store.append_comments(rows.where("id = 5").withColumn("id", F.lit(7)), root)
+        store.append_comments(rows.drop("id"), root)
+        assert {r.id for r in store.read_table(spark, root, "comments").collect()} >= {900, 901, 902}
+
+
+def test_many_writers_get_ranges_of_their_own(spark):
+    path = scratch_path(spark, "ledger")
+    with ThreadPoolExecutor(6) as pool:
+        starts = list(pool.map(lambda k: (ledger.reserve(spark, path, 1 + k % 4), 1 + k % 4), range(24)))
+    taken = sorted(n for first, size in starts for n in range(first, first + size))
+    assert taken == list(range(sum(size for _, size in starts)))
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     class Conf:
         def __init__(self, value):

@@ -96,8 +96,13 @@ def rolling_mean(df: DataFrame, value: Column, size: int = 12, min_rows: int = 3
     Rows are cut into blocks of consecutive positions, and the last ``size - 1``
     rows of a block are copied into the next one, so each block is complete.
     """
-    keys = list(keys)
-    placed = with_position(df, [id], id_bucket(id, width), keys).withColumn("_value", value)
+    return rolling_over(with_position(df, [id], id_bucket(id, width), keys), value, size, min_rows, keys, name, width)
+
+
+def rolling_over(placed: DataFrame, value: Column, size: int, min_rows: int, keys, name: str,
+                 width: int = ID_SLICE) -> DataFrame:
+    """The same for rows that have their consecutive ``pos`` per key, from any first one on."""
+    keys, placed = list(keys), placed.withColumn("_value", value)
     block = F.floor((F.col("pos") - 1) / F.lit(width))
     edge = (F.col("pos") - 1) % width >= width - (size - 1)
     copied = (placed.withColumn("_home", block)
@@ -120,12 +125,19 @@ def ewma(df: DataFrame, value: Column, alpha: float, keys=(), id: str = "id", na
     started from zero two blocks back: what that leaves out is below double precision.
     NULL values count as zero.
     """
+    placed = with_position(df, [id], id_bucket(id, width), keys)
+    return ewma_over(placed, value, alpha, keys, name, F.col("pos") == 1, block).select(*df.columns, "pos", name)
+
+
+def ewma_over(placed: DataFrame, value: Column, alpha: float, keys, name: str, starts: Column,
+              block: int = EWMA_BLOCK) -> DataFrame:
+    """The same for rows that have their consecutive ``pos`` per key; ``starts`` marks the rows whose value
+    counts whole: the first of a series, or the last result of an earlier part of it."""
     keys, stay = list(keys), 1.0 - alpha
     # Growth within a block must stay in a double, and weights a block old must vanish.
     block = max(int(math.ceil(-40 / math.log(stay))), min(block, int(-600 / math.log(stay))))
-    placed = with_position(df, [id], id_bucket(id, width), keys)
     inside = F.pmod(F.col("pos") - 1, F.lit(block))
-    weight = F.when(F.col("pos") == 1, 1.0).otherwise(alpha)
+    weight = F.when(starts, 1.0).otherwise(alpha)
     grown = weight * F.coalesce(value.cast("double"), F.lit(0.0)) * F.pow(F.lit(stay), -inside)
     running = Window.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = (placed.withColumns({"_block": F.floor((F.col("pos") - 1) / F.lit(block)), "_inside": inside, "_grown": grown})
@@ -134,7 +146,7 @@ def ewma(df: DataFrame, value: Column, alpha: float, keys=(), id: str = "id", na
             .select(*keys, (F.col("_block") + 1).alias("_block"), F.col("_local").alias("_carried")))
     carried = F.coalesce("_carried", F.lit(0.0)) * F.pow(F.lit(stay), F.col("_inside") + 1)
     return (local.join(ends, [*keys, "_block"], "left").withColumn(name, F.col("_local") + carried)
-            .select(*df.columns, "pos", name))
+            .drop("_block", "_inside", "_grown", "_local", "_carried"))
 
 
 def latest(df: DataFrame, n: int, keys=(), id: str = "id") -> DataFrame:

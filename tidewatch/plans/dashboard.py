@@ -85,14 +85,14 @@ def recent_window(spark, folder):
 
 # -- rolling ratios and chunks ---------------------------------------------------
 
-def _rolling_sql(partition: str = "") -> str:
+def rolling_sql(partition: str = "") -> str:
     frame = f"({partition}ORDER BY id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
     return f"""rolled AS (SELECT id, platform, row_number() OVER ({partition}ORDER BY id) AS pos,
   CASE WHEN count(*) OVER {frame} >= 3 THEN avg((sentiment = 'NEGATIVE')::INT) OVER {frame} END AS r
   FROM cev)"""
 
 
-@query("rolling_negative", f"""WITH {CEV}, {_rolling_sql()}
+@query("rolling_negative", f"""WITH {CEV}, {rolling_sql()}
 SELECT id, (pos - 1)::BIGINT AS sequence_no, round(r, 6) AS rolling_negative FROM rolled""")
 def rolling_negative(spark, folder):
     rows = anomaly.rolling_negative(comment_events(spark, folder))
@@ -100,7 +100,7 @@ def rolling_negative(spark, folder):
                        F.round("rolling_negative", 6).alias("rolling_negative"))
 
 
-@query("rolling_negative_by_platform", f"""WITH {CEV}, {_rolling_sql('PARTITION BY platform ')}
+@query("rolling_negative_by_platform", f"""WITH {CEV}, {rolling_sql('PARTITION BY platform ')}
 SELECT id, platform, round(r, 6) AS rolling_negative FROM rolled""")
 def rolling_negative_by_platform(spark, folder):
     rows = anomaly.rolling_negative(comment_events(spark, folder), PLATFORM)
@@ -116,7 +116,7 @@ def ewma_negative(spark, folder):
     return rows.select("id", "platform", F.round("ewma_negative", 6).alias("ewma_negative"))
 
 
-@query("velocity_bands", f"""WITH {CEV}, {_rolling_sql('PARTITION BY platform ')}
+@query("velocity_bands", f"""WITH {CEV}, {rolling_sql('PARTITION BY platform ')}
 SELECT id, platform, CASE WHEN r < 0.25 THEN 'safe' WHEN r < 0.40 THEN 'elevated'
   WHEN r IS NOT NULL THEN 'critical' END AS band FROM rolled""")
 def velocity_bands(spark, folder):

@@ -1,16 +1,22 @@
-"""Streaming queries: drain the given files through a stream, return what it wrote."""
+"""Streaming queries: drain the given files through a stream, return what it wrote.
+
+Where order matters, the rows land in PARTS parts, and the job is run to the end after
+each: several batches, each after a restart from the checkpoint.
+"""
 
 from pyspark.sql import functions as F
 
-from tidewatch.plans.dashboard import evaluate_sql
+from tidewatch.plans.dashboard import evaluate_sql, rolling_sql
 from tidewatch.plans.registry import CEV, CSURGE, comment_events, query, stamp, stamp_sql, table
 from tidewatch.plans.sql import clean_sql
 from tidewatch.plans.texts import TOXIC, sentiment_sql
 from tidewatch.plans import registry
 from tidewatch.session import scratch_path
+from tidewatch.sources import store
 from tidewatch.streaming import jobs
 
 PLATFORM = ["platform"]
+PARTS = 4
 
 
 class _Landed:
@@ -30,6 +36,26 @@ def _events(spark, folder):
     return jobs.event_time(comment_events(_Landed(spark), folder), "created_at")
 
 
+def _in_parts(spark, rows, key, start):
+    """Land ``rows`` part by part along ``key``, a whole number; run the job of ``start`` to its end after each."""
+    landing = scratch_path(spark, "landing")
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    for number in range(PARTS):
+        if low is not None:
+            part = F.floor((key - low) * PARTS / (high - low + 1))
+            rows.where(part == number).write.mode("append").parquet(landing)
+        start(jobs.event_time(jobs.read_folder(spark, landing, rows.schema), "created_at")).awaitTermination()
+
+
+def _by_id(spark, rows, start):
+    _in_parts(spark, rows, F.col("id"), start)
+
+
+def _by_time(spark, rows, start):
+    """Whole seconds: parts follow each other in time, so no row comes behind the watermark."""
+    _in_parts(spark, rows, F.unix_timestamp("created_at"), start)
+
+
 def drained(spark, stream, label):
     """Run to the end into a Parquet folder and read it back."""
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
@@ -57,43 +83,73 @@ def stream_enrich(spark, folder):
 SELECT id, platform, 'Stream' AS source_target, author, sentiment, sentiment_score, is_toxic,
   {stamp_sql('created_at')} AS created_at FROM cev""")
 def stream_append(spark, folder):
-    path = scratch_path(spark, "comments")
-    jobs.append_batches(_events(spark, folder), path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path).select(
+    root = scratch_path(spark, "store")
+    jobs.append_batches(_events(spark, folder), root, f"{root}-checkpoint").awaitTermination()
+    return store.read_table(spark, root, "comments").select(
         "id", "platform", "source_target", "author", "sentiment", "sentiment_score", "is_toxic",
         stamp("created_at").alias("created_at"))
 
 
+@query("stream_append_numbered", f"""WITH {CEV}, p AS (SELECT *, ((id - min(id) OVER ()) * {PARTS}) // (max(id) OVER () - min(id) OVER () + 1) AS part FROM cev)
+SELECT part, count(*) AS n, sum(count(*)) OVER (ORDER BY part)::BIGINT - count(*) AS first_id, sum(count(*)) OVER (ORDER BY part)::BIGINT - 1 AS last_id,
+  count(*) AS ids FROM p GROUP BY part""")
+def stream_append_numbered(spark, folder):
+    """Posts without ids: each part's rows get the consecutive numbers after those of the part before."""
+    root, events = scratch_path(spark, "store"), comment_events(spark, folder)
+    low, high = events.agg(F.min("id"), F.max("id")).first()
+
+    def start(stream):
+        # The id of the source travels as the score, to tell the parts apart afterwards.
+        unnumbered = stream.withColumn("sentiment_score", F.col("id").cast("double")).drop("id")
+        return jobs.append_batches(unnumbered, root, f"{root}-checkpoint")
+
+    _by_id(spark, events, start)
+    part = F.floor((F.col("sentiment_score") - (low or 0)) * PARTS / ((high or 0) - (low or 0) + 1))
+    return store.read_table(spark, root, "comments").groupBy(part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.count_distinct("id").alias("ids"))
+
+
 @query("stream_last_n_alert", f"WITH {CEV}, {evaluate_sql('cev', PLATFORM)} SELECT * FROM evaluated")
 def stream_last_n_alert(spark, folder):
     root = scratch_path(spark, "watch")
-    jobs.watch_channels(_events(spark, folder), root, f"{root}-checkpoint").awaitTermination()
+    _by_id(spark, comment_events(spark, folder), lambda stream: jobs.watch_channels(stream, root, f"{root}-checkpoint"))
     return jobs.last_batch(spark.read.parquet(f"{root}/evaluations"))
 
 
-@query("stream_alerts", f"""WITH {CSURGE}, {evaluate_sql('csurge', PLATFORM)}
-SELECT platform, alert_level, z_score, p_value, negative_velocity AS negative_ratio, total_comments::INT AS sample_size
+@query("stream_alerts", f"""WITH {CSURGE},
+parts AS (SELECT *, ((id - min(id) OVER ()) * {PARTS}) // (max(id) OVER () - min(id) OVER () + 1) AS part FROM csurge),
+seen AS (SELECT batch, parts.* FROM parts JOIN (SELECT unnest(range(0, {PARTS})) AS batch) ON part <= batch),
+{evaluate_sql('seen', ['batch', 'platform'])}
+SELECT row_number() OVER (ORDER BY batch, platform) - 1 AS id, platform, alert_level, z_score, p_value,
+  negative_velocity AS negative_ratio, total_comments::INT AS sample_size
 FROM evaluated WHERE alert_level <> 'SAFE'""")
 def stream_alerts(spark, folder):
-    surge = jobs.event_time(registry.surge_events(_Landed(spark), folder), "created_at")
+    """The alerts of every batch, numbered on from one to the next."""
     root = scratch_path(spark, "watch")
-    jobs.watch_channels(surge, root, f"{root}-checkpoint").awaitTermination()
-    return jobs.last_batch(spark.read.parquet(f"{root}/alerts")).select(
-        "platform", "alert_level", "z_score", "p_value", "negative_ratio", "sample_size")
+    store.create_tables(spark, root)
+    _by_id(spark, registry.surge_events(spark, folder), lambda stream: jobs.watch_channels(stream, root, f"{root}-checkpoint"))
+    return store.read_table(spark, root, "crisis_alerts").select(
+        "id", "platform", "alert_level", "z_score", "p_value", "negative_ratio", "sample_size")
+
+
+def _versions(spark, folder, job, label):
+    root, keys, schemas = scratch_path(spark, label), ["platform", "window_start"], []
 
+    def start(stream):
+        counts = job(stream)
+        schemas.append(counts.schema)
+        return jobs.keep_versions(counts, root, f"{root}-checkpoint", keys)
 
-# Append mode emits a window once the watermark, ten minutes behind the newest
-# row, has passed its end.
-CLOSED = "(SELECT max(created_at) FROM cev) - INTERVAL 10 MINUTE"
+    _by_time(spark, comment_events(spark, folder), start)
+    return jobs.versions(spark, root, schemas[-1], keys).withColumn("window_start", stamp("window_start"))
 
 
 @query("stream_arrival_rate", f"""WITH {CEV}
 SELECT platform, {stamp_sql('h')} AS window_start, count(*) AS n
-FROM (SELECT platform, date_trunc('hour', created_at) AS h FROM cev) GROUP BY platform, h
-HAVING h + INTERVAL 1 HOUR <= {CLOSED}""")
+FROM (SELECT platform, date_trunc('hour', created_at) AS h FROM cev) GROUP BY platform, h""")
 def stream_arrival_rate(spark, folder):
-    counts = drained(spark, jobs.arrival_counts(_events(spark, folder)), "arrivals")
-    return counts.withColumn("window_start", stamp("window_start"))
+    return _versions(spark, folder, jobs.arrival_counts, "arrivals")
 
 
 @query("stream_sliding_negative", f"""WITH {CEV},
@@ -101,10 +157,22 @@ s AS (SELECT platform, sentiment, unnest([time_bucket(INTERVAL 30 MINUTE, create
   time_bucket(INTERVAL 30 MINUTE, created_at) - INTERVAL 30 MINUTE]) AS w FROM cev)
 SELECT platform, {stamp_sql('w')} AS window_start, count(*) AS n, count(*) FILTER (sentiment = 'NEGATIVE') AS negatives,
   round(count(*) FILTER (sentiment = 'NEGATIVE') / count(*), 4) AS negative_ratio
-FROM s GROUP BY platform, w HAVING w + INTERVAL 1 HOUR <= {CLOSED}""")
+FROM s GROUP BY platform, w""")
 def stream_sliding_negative(spark, folder):
-    shares = drained(spark, jobs.sliding_negative(_events(spark, folder)), "sliding")
-    return shares.withColumn("window_start", stamp("window_start"))
+    return _versions(spark, folder, jobs.sliding_negative, "sliding")
+
+
+@query("stream_row_rates", f"""WITH {CEV}, {rolling_sql('PARTITION BY platform ')},
+e AS (SELECT id, list_reduce(list((sentiment = 'NEGATIVE')::INT::DOUBLE) OVER (
+    PARTITION BY platform ORDER BY id ROWS BETWEEN 299 PRECEDING AND CURRENT ROW),
+  lambda s, x: (11 * s + 2 * x) / 13) AS v FROM cev)
+SELECT id, platform, round(r, 6) AS rolling_negative, round(v, 6) AS ewma_negative FROM rolled JOIN e USING (id)""")
+def stream_row_rates(spark, folder):
+    root = scratch_path(spark, "rates")
+    _by_id(spark, comment_events(spark, folder), lambda stream: jobs.row_rates(stream, root, f"{root}-checkpoint"))
+    return spark.read.parquet(f"{root}/rates").select(
+        "id", "platform", F.round("rolling_negative", 6).alias("rolling_negative"),
+        F.round("ewma_negative", 6).alias("ewma_negative"))
 
 
 @query("stream_dedup", "SELECT DISTINCT md5(text) AS text_md5 FROM documents")

@@ -1,26 +1,24 @@
 """The two-table store: comments and alerts as Parquet folders."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidewatch.contracts import ALERT_DEFAULTS, ALERTS, COMMENT_DEFAULTS, COMMENTS
 from tidewatch.operators.anomaly import printable
 from tidewatch.operators.ordering import latest
 from tidewatch.operators.rollup import for_platform
+from tidewatch.sources import ledger
+from tidewatch.sources.folders import Folder
 
 TABLES = {"comments": COMMENTS, "crisis_alerts": ALERTS}
 
 
-def conform(df: DataFrame, schema: T.StructType, defaults: dict, time: str, after: int = -1) -> DataFrame:
-    """Cast to the table's columns; absent or NULL fields take their defaults.
-
-    Without an ``id`` column, ids go on from ``after``, growing along the rows of ``df``.
-    """
+def conform(df: DataFrame, schema: T.StructType, defaults: dict, time: str) -> DataFrame:
+    """Cast to the table's columns; absent or NULL fields take their defaults. An absent id stays NULL."""
     columns = []
     for field in schema.fields:
         if field.name in df.columns:
             value = F.col(field.name).cast(field.dataType)
-        elif field.name == "id":
-            value = F.monotonically_increasing_id() + (after + 1)
         else:
             value = F.lit(None).cast(field.dataType)
         if field.name in defaults:
@@ -31,12 +29,12 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict, time: str, afte
     return df.select(*columns)
 
 
-def conform_comments(df: DataFrame, after: int = -1) -> DataFrame:
-    return conform(df, COMMENTS, COMMENT_DEFAULTS, "created_at", after)
+def conform_comments(df: DataFrame) -> DataFrame:
+    return conform(df, COMMENTS, COMMENT_DEFAULTS, "created_at")
 
 
-def conform_alerts(df: DataFrame, after: int = -1) -> DataFrame:
-    return conform(df, ALERTS, ALERT_DEFAULTS, "triggered_at", after)
+def conform_alerts(df: DataFrame) -> DataFrame:
+    return conform(df, ALERTS, ALERT_DEFAULTS, "triggered_at")
 
 
 def alert_rows(evaluated: DataFrame) -> DataFrame:
@@ -46,9 +44,10 @@ def alert_rows(evaluated: DataFrame) -> DataFrame:
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
-    """Create or reset both tables as empty Parquet folders."""
+    """Create or reset both tables as empty Parquet folders; their numbers start again."""
     for name, schema in TABLES.items():
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
+        Folder(spark, root).remove(f"_ids/{name}")
 
 
 clear_all = create_tables
@@ -61,23 +60,50 @@ def register_tables(spark: SparkSession, root: str) -> None:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+    """The whole table: what was appended to its folder and, by batch, to the folders inside it."""
+    return spark.read.schema(TABLES[name]).option("recursiveFileLookup", "true").parquet(f"{root}/{name}")
 
 
 def last_id(spark: SparkSession, root: str, name: str) -> int:
-    """Largest stored id, -1 for an empty table; reads the one column."""
-    found = read_table(spark, root, name).agg(F.max("id")).first()[0]
+    """Largest stored id, -1 for an empty or absent table; reads the one column."""
+    try:
+        found = read_table(spark, root, name).agg(F.max("id")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = None
     return -1 if found is None else found
 
 
-def append_comments(df: DataFrame, root: str) -> None:
-    """Append; ids that ``df`` does not bring are above all stored ones. One writer at a time."""
-    conform_comments(df, last_id(df.sparkSession, root, "comments")).write.mode("append").parquet(f"{root}/comments")
+def _append(df: DataFrame, root: str, name: str, conformed, writer: str | None, batch: int | None) -> None:
+    """Rows without an ``id`` column get consecutive ids along ``df`` from the table's ledger.
 
-
-def append_alerts(df: DataFrame, root: str) -> None:
+    The table itself is read for the first reservation only. Rows with ids keep them,
+    and the ledger is moved past the largest one. With a writer and a batch number the rows go to
+    a folder of their own, with the same ids each time, so a repeated batch adds nothing twice.
+    """
+    spark, numbers = df.sparkSession, f"{root}/_ids/{name}"
+    target = f"{root}/{name}" if writer is None else f"{root}/{name}/{writer}-{batch}"
+    mode = "append" if writer is None else "overwrite"
+    if "id" in df.columns:
+        seen = Observation()
+        conformed(df).observe(seen, F.max("id").alias("last")).write.mode(mode).parquet(target)
+        if seen.get["last"] is not None:
+            ledger.raise_to(spark, numbers, seen.get["last"] + 1, lambda: last_id(spark, root, name) + 1)
+        return
+    numbered = ledger.number_rows(df, "id", lambda n: ledger.reserve(
+        spark, numbers, n, lambda: last_id(spark, root, name) + 1, writer, batch))
+    conformed(numbered).write.mode(mode).parquet(target)
+
+
+def append_comments(df: DataFrame, root: str, writer: str | None = None, batch: int | None = None) -> None:
+    """Append comment rows; any number of writers at a time. See :func:`_append` for ids and repeated batches."""
+    _append(df, root, "comments", conform_comments, writer, batch)
+
+
+def append_alerts(df: DataFrame, root: str, writer: str | None = None, batch: int | None = None) -> None:
     """Append alerts, numbered like comments."""
-    conform_alerts(df, last_id(df.sparkSession, root, "crisis_alerts")).write.mode("append").parquet(f"{root}/crisis_alerts")
+    _append(df, root, "crisis_alerts", conform_alerts, writer, batch)
 
 
 def recent_comments(df: DataFrame, limit: int = 100, platform: str | None = None) -> DataFrame:
