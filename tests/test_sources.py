@@ -1,4 +1,5 @@
 import json
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -17,12 +18,62 @@ def test_csv_keeps_odd_text(spark):
     assert files.read_csv(spark, path).schema["id"].dataType.simpleString() == "int"
 
 
+def csv_text(rows, header, newline):
+    quoted = lambda v: "" if v is None else '"' + v.replace('"', '""') + '"' if any(c in v for c in '",\r\n') or v == "" else v
+    lines = [",".join([str(i), quoted(t), quoted(u)]) for i, t, u in rows]
+    return newline.join((["id,text,more"] if header else []) + lines) + newline
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("header", [True, False])
+def test_large_csv_is_split_between_tasks(spark, tmp_path, header, newline):
+    rng = random.Random(3)
+    pieces = ["plain", 'quote " and, comma', "line\nbreak", "\n\n", 'ends with "', '"', "windows\r\nbreak", "é😍", "a,b\n\"c\"\n,,d"]
+    everything = []
+    for seed in range(3):
+        rows = []
+        for i in range(300):
+            text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))
+            if i % 97 == 50:
+                text = "long\n" * 900 + '""' * 50  # spans several splits
+            rows.append((1000 * seed + i, text, rng.choice([None, "x", 'y "\n'])))
+        everything += rows
+        (tmp_path / f"part{seed}.csv").write_bytes((csv_text(rows, header, newline) + newline).encode())
+    path, schema = str(tmp_path), "id int, text string, more string"
+    read = (lambda **k: files.read_csv(spark, path, schema, **k)) if header else (lambda **k: files.read_headerless(spark, path, schema, **k))
+    want = sorted(map(str, spark.createDataFrame(everything, schema).collect()))
+    if newline == "\n":  # the reader of whole files rewrites the quoted line breaks of Windows files
+        assert sorted(map(str, read(split=False).collect())) == want
+    assert len(want) == 900 and sorted(map(str, read(split=True).collect())) == want
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (997, 4001, 20011):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            df = read()
+            assert df.rdd.getNumPartitions() > 3
+            assert sorted(map(str, df.collect())) == want
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_split_csv_without_rows_and_with_bad_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    assert files.read_headerless(spark, str(tmp_path), "id int, t string", split=True).count() == 0
+    (tmp_path / "b.csv").write_text("id,t\n")
+    assert files.read_csv(spark, str(tmp_path / "b.csv"), "id int, t string", split=True).count() == 0
+    (tmp_path / "c.csv").write_text('1,"x\ny"\nnone,z\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_headerless(spark, str(tmp_path / "c.csv"), "id int, t string", split=True).collect()
+
+
 def test_headerless_and_dispatch(spark):
     df = spark.createDataFrame([(1, "naïve"), (2, "b")], "id int, text string")
-    for sep, encoding in ((",", "ISO-8859-1"), ("\t", "UTF-8")):
+    for sep, encoding, cut in ((",", "ISO-8859-1", None), ("\t", "UTF-8", None), (",", "ISO-8859-1", True), ("\t", "UTF-8", True)):
         path = scratch_path(spark, "plain")
         files.write_csv(df, path, header=False, sep=sep, encoding=encoding)
-        assert sorted(map(tuple, files.read_headerless(spark, path, df.schema, sep, encoding).collect())) == [(1, "naïve"), (2, "b")]
+        assert sorted(map(tuple, files.read_headerless(spark, path, df.schema, sep, encoding, split=cut).collect())) == [(1, "naïve"), (2, "b")]
     path = scratch_path(spark, "t") + ".parquet"
     files.write_parquet(df, path)
     assert files.read_any(spark, path).count() == 2

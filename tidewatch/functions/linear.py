@@ -6,25 +6,19 @@ label. :class:`LinearScorer` holds these numbers as literals of the plan, so a t
 scored inside its row, in a batch and on a stream alike: no vectors, no join, no Python.
 """
 
-import json
-import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
 from tidewatch.contracts import ENGLISH_STOP_WORDS
 from tidewatch.functions.scoring import consensus, lexicon_sentiment, neutral_result, softmax
-from tidewatch.functions.text import bind, is_blank, terms
+from tidewatch.functions.text import bind, is_blank
+from tidewatch.functions.vectors import constant, damped, places, term_counts
 
 #: The literals travel with every task: some 20 MB of numbers for two labels.
 MAX_SCORER_TERMS = 1 << 18
 
 
-def _constant(value, kind: str) -> Column:
-    """A nested constant that is one node in the plan and folded before tasks start."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
-
-
 @dataclass(frozen=True)
 class LinearScorer:
     """``weights[i][c]`` of term i for label c, ``idf[i]``, ``bias[c]``; ``sublinear`` damps counts to 1 + ln(count)."""
@@ -41,46 +35,21 @@ class LinearScorer:
         if len(self.terms) > MAX_SCORER_TERMS:
             raise ValueError(f"more than {MAX_SCORER_TERMS} terms")
 
-    def _places(self):
-        """Function from a term to its number: buckets by CRC-32, as a map looks its keys up one by one."""
-        size = 1 << max(len(self.terms) - 1, 1).bit_length()
-        buckets: list[dict[str, int]] = [{} for _ in range(size)]
-        for number, term in enumerate(self.terms, start=1):
-            buckets[zlib.crc32(term.encode()) % size][term] = number
-        held = _constant(buckets, "array<map<string,int>>")
-        return lambda term: F.element_at(F.element_at(held, (F.crc32(term) % size + 1).cast("int")), term)
-
-    def _counts(self, text: Column) -> Column:
-        """(place, n) of every known term of a text, by place."""
-        found = F.filter(F.transform(terms(text, self.stop_words), self._places()), lambda place: place.isNotNull())
-        at = lambda places, i: F.element_at(places, i)
-
-        def runs(places):
-            first = F.filter(F.sequence(F.lit(1), F.size(places)),
-                             lambda i: (i == 1) | (at(places, F.greatest(i - 1, F.lit(1))) != at(places, i)))
-            return bind(first, lambda starts: F.zip_with(
-                starts, F.slice(F.array_append(starts, F.size(places) + 1), 2, F.size(starts)),
-                lambda start, end: F.struct(at(places, start).alias("place"), (end - start).alias("n"))))
-
-        none = F.array().cast("array<struct<place:int,n:int>>")
-        return bind(F.array_sort(found), lambda places: F.when(F.size(places) > 0, runs(places)).otherwise(none))
-
     def margins(self, text: Column) -> Column:
         """One number for each label: the bias plus the weights of the normalised TF-IDF vector."""
-        idf, weights = _constant(self.idf, "array<double>"), _constant(self.weights, "array<array<double>>")
-        start = F.struct(F.lit(0.0).alias("square"), _constant([0.0] * len(self.labels), "array<double>").alias("sums"))
+        idf, weights = constant(self.idf, "array<double>"), constant(self.weights, "array<array<double>>")
+        start = F.struct(F.lit(0.0).alias("square"), constant([0.0] * len(self.labels), "array<double>").alias("sums"))
 
         def add(held, term):
-            damped = 1 + F.ln(term["n"].cast("double")) if self.sublinear else term["n"].cast("double")
-            return bind(damped * F.element_at(idf, term["place"]), lambda x: F.struct(
+            return bind(damped(term["n"], self.sublinear) * F.element_at(idf, term["place"]), lambda x: F.struct(
                 (held["square"] + x * x).alias("square"),
                 F.zip_with(held["sums"], F.element_at(weights, term["place"]), lambda s, w: s + x * w).alias("sums")))
 
         def finish(held):
             size = F.when(held["square"] > 0, F.sqrt(held["square"])).otherwise(1.0)
-            return F.zip_with(held["sums"], _constant(self.bias, "array<double>"), lambda s, b: s / size + b)
+            return F.zip_with(held["sums"], constant(self.bias, "array<double>"), lambda s, b: s / size + b)
 
-        return F.aggregate(self._counts(text), start, add, finish)
+        return F.aggregate(term_counts(text, places(self.terms), self.stop_words), start, add, finish)
 
     def probabilities(self, text: Column) -> Column:
         return softmax(self.margins(text))

@@ -21,7 +21,7 @@ from tidewatch.functions.text import LONG_TOKEN, title_case_theme
 from tidewatch.operators.evaluation import accuracy, class_scores, weighted_scores
 from tidewatch.operators.ordering import stratified_split, union_all
 from tidewatch.operators.profile import beside
-from tidewatch.operators.terms import term_rows, vocabulary
+from tidewatch.operators.terms import vocabulary_idf
 from tidewatch.session import materialize
 
 MAX_VOCABULARY = 1 << 18
@@ -49,17 +49,10 @@ def fit_tfidf(df: DataFrame, text: str, id: str = "id", max_terms: int = MAX_TER
     """
     if max_terms > MAX_VOCABULARY:
         raise ValueError(f"max_terms above {MAX_VOCABULARY}")
-    rows = term_rows(df, text, id, (), stop_words)
-    vocab = vocabulary(rows, max_terms).select("term")
-    found = (rows.join(F.broadcast(vocab), "term").select(id, "term").distinct()
-             .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-             .withColumn("documents", df.agg(F.count(F.lit(1))).scalar())
-             .select("term", (F.ln((1 + F.col("documents")) / (1 + F.col("df"))) + 1).alias("idf"))
-             .orderBy("term").collect())
+    found, idf, _ = vocabulary_idf(df, text, max_terms, stop_words)
     if not found:
         raise ValueError("empty vocabulary")
-    counts = CountVectorizerModel.from_vocabulary(
-        [r.term for r in found], inputCol="_terms", outputCol="_tf")
+    counts = CountVectorizerModel.from_vocabulary(found, inputCol="_terms", outputCol="_tf")
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=LONG_TOKEN, gaps=False),
         StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stop_words),
@@ -74,7 +67,7 @@ def fit_tfidf(df: DataFrame, text: str, id: str = "id", max_terms: int = MAX_TER
                    VectorAssembler(inputCols=["_damped"], outputCol="_sparse")]
         tf = "_sparse"
     stages += [
-        ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in found]), inputCol=tf,
+        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=tf,
                            outputCol="_weighted"),
         Normalizer(p=2.0, inputCol="_weighted", outputCol="features"),
     ]

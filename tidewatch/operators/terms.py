@@ -1,10 +1,11 @@
-"""TF-IDF term mining as joins and aggregations on a long (document, term) table."""
+"""TF-IDF term mining: one counting shuffle for the vocabulary, weights inside each document's row."""
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.contracts import MAX_TERMS, STOP_WORDS
 from tidewatch.functions.text import bigrams, bind, content_tokens, terms
-from tidewatch.operators.profile import with_stats
+from tidewatch.functions.vectors import constant, places, sorted_terms, term_counts, tfidf_vector
+from tidewatch.operators.profile import attach, with_stats
 
 MAX_BROADCAST_TERMS = 1 << 18
 
@@ -26,30 +27,78 @@ def vocabulary(rows: DataFrame, max_terms: int = MAX_TERMS, keys=()) -> DataFram
             .where(F.col("_rn") <= max_terms).drop("_rn"))
 
 
+def counted_vocabulary(df: DataFrame, text: str, max_terms: int = MAX_TERMS, keys=(), stop_words=STOP_WORDS) -> DataFrame:
+    """(keys, term, term_count, df) of the most frequent terms, ties in term order.
+
+    A document's terms are sorted in its row, so that one pass counts occurrences and documents; the
+    shuffle carries what is left of them after each task has merged its own.
+    """
+    keys = list(keys)
+    occurrences = (df.select(*keys, F.explode(sorted_terms(F.col(text), stop_words)).alias("_o"))
+                   .select(*keys, "_o.term", F.col("_o.first").cast("int").alias("_first")))
+    counts = occurrences.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("term_count"), F.sum("_first").alias("df"))
+    if not keys:
+        return counts.orderBy(F.desc("term_count"), "term").limit(max_terms)
+    order = Window.partitionBy(*keys).orderBy(F.desc("term_count"), "term")
+    return counts.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= max_terms).drop("_rn")
+
+
+def _idf(documents, df):
+    return F.ln((1 + documents) / (1 + df)) + 1
+
+
+def vocabulary_idf(df: DataFrame, text: str, max_terms: int = MAX_TERMS, stop_words=STOP_WORDS) -> tuple[list[str], list[float], int]:
+    """Terms in order, their idf, and the number of documents; at most ``max_terms`` rows come to the driver."""
+    documents = df.count()
+    found = (counted_vocabulary(df, text, max_terms, (), stop_words)
+             .select("term", _idf(F.lit(documents), F.col("df")).alias("idf")).orderBy("term").collect())
+    return [r.term for r in found], [r.idf for r in found], documents
+
+
 def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
           max_terms: int = MAX_TERMS, sublinear: bool = False,
           stop_words=STOP_WORDS) -> DataFrame:
     """L2-normalised TF-IDF weights of vocabulary terms, one row per document and term.
 
-    idf = ln((1 + n) / (1 + df)) + 1. The vocabulary is at most ``max_terms``
-    rows, so up to ``MAX_BROADCAST_TERMS`` it is broadcast and everything else is
-    dropped before the shuffle.
+    idf = ln((1 + n) / (1 + df)) + 1. The vocabulary is a literal of the plan, or with keys
+    one small row for each key, and a document is counted and weighted inside its row: nothing but
+    the counts of :func:`counted_vocabulary` is shuffled. Vocabularies beyond MAX_BROADCAST_TERMS are joined.
     """
     keys = list(keys)
+    if max_terms > MAX_BROADCAST_TERMS:
+        return _tfidf_joined(df, text, id, keys, max_terms, sublinear, stop_words)
+    narrow = df.select(*keys, id, F.col(text).alias("_text"))
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("documents"))
+        held = counted_vocabulary(df, text, max_terms, keys, stop_words).groupBy(*keys).agg(
+            F.array_sort(F.collect_list(F.struct("term", "df"))).alias("_v")).join(sizes, keys)
+        numbers = F.map_from_arrays(F.col("_v.term"), F.sequence(F.lit(1), F.size("_v")))
+        held = held.select(*keys, "documents", F.col("_v.term").alias("_terms"), numbers.alias("_places"),
+                           F.transform("_v", lambda v: _idf(F.col("documents"), v["df"])).alias("_idf"))
+        narrow = attach(narrow, held, keys, "inner")
+        place, idf, names, documents = (lambda term: F.element_at(F.col("_places"), term)), F.col("_idf"), F.col("_terms"), F.col("documents")
+    else:
+        found, weights, size = vocabulary_idf(df, text, max_terms, stop_words)
+        place, names, documents = places(found), constant(found, "array<string>"), F.lit(size)
+        idf = constant(weights, "array<double>")
+    counted = narrow.withColumn("_counts", term_counts(F.col("_text"), place, stop_words))
+    cells = counted.select(*keys, id, documents.alias("documents"), idf.alias("_weights"), names.alias("_words"),
+                           F.explode(tfidf_vector(F.col("_counts"), idf, sublinear)).alias("_c"))
+    return cells.select(*keys, id, F.element_at("_words", F.col("_c.place")).alias("term"), F.col("_c.n").cast("bigint").alias("tf"),
+                        F.element_at("_weights", F.col("_c.place")).alias("idf"), F.col("documents").cast("bigint").alias("documents"),
+                        F.col("_c.weight").alias("tfidf"))
+
+
+def _tfidf_joined(df, text, id, keys, max_terms, sublinear, stop_words) -> DataFrame:
+    """The same for vocabularies too large for a plan: joins on the long (document, term) table."""
     rows = term_rows(df, text, id, keys, stop_words)
     vocab = vocabulary(rows, max_terms, keys).select(*keys, "term")
-    bounded = not keys and max_terms <= MAX_BROADCAST_TERMS
-    if bounded:
-        vocab = F.broadcast(vocab)
     tf = (rows.join(vocab, [*keys, "term"]).groupBy(*keys, id, "term")
           .agg(F.count(F.lit(1)).alias("tf")))
     # Counting on ``tf`` keeps its column in this branch, so both share one shuffle.
     document_frequency = tf.groupBy(*keys, "term").agg(F.count("tf").alias("_df"))
     sized = with_stats(document_frequency, [F.count(F.lit(1)).alias("documents")], keys, of=df)
-    idf = sized.withColumn(
-        "idf", F.ln((1 + F.col("documents")) / (1 + F.col("_df"))) + 1).drop("_df")
-    if bounded:
-        idf = F.broadcast(idf)
+    idf = sized.withColumn("idf", _idf(F.col("documents"), F.col("_df"))).drop("_df")
     weight = (1 + F.ln("tf") if sublinear else F.col("tf")) * F.col("idf")
     document = Window.partitionBy(*keys, id)
     return (tf.join(idf, [*keys, "term"]).withColumn("_w", weight)

@@ -35,6 +35,16 @@ def scan_csv_headerless(spark, folder):
     return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), "n_chars")
 
 
+@query("scan_csv_split", "SELECT doc_id, lang, md5(text) AS text_md5, n_chars FROM documents")
+def scan_csv_split(spark, folder):
+    """The reader of large files: splits are cut into records, whatever their texts hold between quotes."""
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "text", "n_chars")
+    path = scratch_path(spark, "csv")
+    files.write_csv(rows, path)
+    back = files.read_csv(spark, path, rows.schema, split=True)
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), "n_chars")
+
+
 @query("scan_tsv", "SELECT doc_id, quality, toxic FROM labels")
 def scan_tsv(spark, folder):
     rows = table(spark, folder, "labels")

@@ -4,14 +4,28 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.contracts import TEXT_COLUMN_HINTS
+from tidewatch.sources.records import read_records
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+def _spans_splits(spark: SparkSession, path: str) -> bool:
+    """Whether a file at ``path`` is larger than what one task reads; file lengths only are looked at."""
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return largest > limit
+
+
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True, split: bool | None = None) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes.
 
-    Quoted line breaks keep a file in one task; pass ``multi_line=False`` for
-    large files without them, so that Spark can split each file.
+    Files larger than a split are cut into records by ``split_records``, smaller ones are read
+    whole; ``split`` decides instead of the size. Without quoted line breaks,
+    ``multi_line=False`` saves a pass. Without a schema, its inference reads every file whole.
     """
+    if multi_line and (_spans_splits(spark, path) if split is None else split):
+        if schema is None:
+            schema = read_csv(spark, path, split=False).schema
+        return read_records(spark, path, schema, header=True)
     reader = (spark.read.option("header", True).option("escape", '"')
               .option("multiLine", multi_line))
     if schema is None:
@@ -20,12 +34,14 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Tru
 
 
 def read_headerless(spark: SparkSession, path: str, schema, sep: str = ",",
-                    encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+                    encoding: str = "UTF-8", multi_line: bool = True, split: bool | None = None) -> DataFrame:
     """CSV or TSV without a header, columns named by ``schema``.
 
-    Quoted line breaks keep a file in one task, as in :func:`read_csv`. A row that does not
-    fit the schema ends the job: it is never read as NULLs.
+    Large files are split as in :func:`read_csv`. A row that does not fit the schema ends
+    the job: it is never read as NULLs.
     """
+    if multi_line and (_spans_splits(spark, path) if split is None else split):
+        return read_records(spark, path, schema, sep=sep, encoding=encoding, mode="FAILFAST")
     return (spark.read.schema(schema).option("sep", sep).option("encoding", encoding)
             .option("escape", '"').option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
 
