@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.contracts import SENTIMENT_WEIGHTS, STOP_WORDS
@@ -59,10 +60,49 @@ def test_top_culprits(spark):
     assert terms.top_culprits(frame(spark, TEXTS[:1])).count() == 0
 
 
-def test_the_two_passes_share_a_shuffle(spark):
-    rows = terms.tfidf(frame(spark).repartition(2))
+def test_weights_need_no_shuffle_and_large_vocabularies_share_one(spark):
+    rows = terms.tfidf(frame(spark).repartition(2).persist())
     rows.collect()
-    assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    joined = terms.tfidf(frame(spark).repartition(2), max_terms=terms.MAX_BROADCAST_TERMS + 1)
+    joined.collect()
+    assert "ReusedExchange" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_with_keys_and_by_join(spark):
+    df = frame(spark).withColumn("k", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b")).withColumn("clean_text", F.when(F.col("id") != 2, F.col("clean_text")))
+    for sublinear in (False, True):
+        row = {(r.k, r.id, r.term): r for r in terms.tfidf(df, keys=["k"], max_terms=9, sublinear=sublinear).collect()}
+        for key in ("a", "b"):
+            alone = terms.tfidf(df.where(F.col("k") == key), max_terms=9, sublinear=sublinear).collect()
+            assert {(key, r.id, r.term) for r in alone} == {c for c in row if c[0] == key}
+            for r in alone:
+                assert row[(key, r.id, r.term)].tfidf == pytest.approx(r.tfidf) and row[(key, r.id, r.term)].tf == r.tf
+        assert not any(k is None for k, _, _ in row)
+        joined = {(r.id, r.term): (r.tf, r.documents, r.idf, r.tfidf) for r in terms._tfidf_joined(df, "clean_text", "id", [], 9, sublinear, terms.STOP_WORDS).collect()}
+        inside = {(r.id, r.term): (r.tf, r.documents, r.idf, r.tfidf) for r in terms.tfidf(df, max_terms=9, sublinear=sublinear).collect()}
+        assert joined.keys() == inside.keys() and all(joined[k] == pytest.approx(inside[k]) for k in joined)
+    assert terms.tfidf(df.limit(0)).count() == 0 and terms.tfidf(df.limit(0), keys=["k"]).count() == 0
+
+
+def test_valence_rules_by_hand(spark):
+    def compound(total):
+        return round(total / (total * total + 15) ** 0.5, 4)
+
+    worst, smooth = SENTIMENT_WEIGHTS["worst"], SENTIMENT_WEIGHTS["smooth"]
+    cases = {
+        "worst": worst, "not worst": worst * -0.74, "It isn't the worst": worst * -0.74, "never so smooth": (smooth + 0.293) * -0.74,
+        "very smooth": smooth + 0.293, "slightly smooth": smooth - 0.293, "very very smooth": smooth + 0.293 + 0.293 * 0.95,
+        "extremely worst": worst - 0.293, "a WORST thing": worst - 0.733, "WORST THING": worst,
+        "VERY smooth thing": smooth + 0.293 + 0.733, "smooth but worst": smooth * 0.5 + worst * 1.5,
+        "smooth!": smooth + 0.292, "worst!!": worst - 2 * 0.292, "smooth!!!!!!": smooth + 4 * 0.292,
+        "smooth??": smooth + 2 * 0.18, "smooth?????": smooth + 0.96, "smooth?": smooth, "not a b c smooth": smooth, "": 0.0, "!!": 0.0,
+    }
+    df = frame(spark, list(cases)).withColumn("s", scoring.lexicon_sentiment_rules(F.col("clean_text")))
+    got = {r.clean_text: r.s for r in df.collect()}
+    for text, total in cases.items():
+        assert got[text].compound == pytest.approx(compound(total), abs=1e-4), text
+    assert (got[""].label, got[""].score) == ("NEUTRAL", 0.5) and got["not worst"].label == "POSITIVE"
 
 
 def test_lexicon_join_equals_inline(spark):

@@ -156,3 +156,22 @@ ALERT_DEFAULTS = {
     "platform": "All", "alert_level": "CRITICAL", "z_score": 0.0, "p_value": 1.0,
     "negative_ratio": 0.0, "sample_size": 0, "root_causes": "",
 }
+
+
+# Valence rules of Hutto & Gilbert (2014): fixed values.
+BOOST, CAPITALS, NEGATED, EXCLAMATION, QUESTION, MANY_QUESTIONS = 0.293, 0.733, -0.74, 0.292, 0.18, 0.96
+BEFORE_BUT, AFTER_BUT = 0.5, 1.5
+BOOST_BY_DISTANCE = (1.0, 0.95, 0.9)
+NEGATIONS = tuple("""
+aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't doesn't dont hadnt hasnt
+havent isnt mightnt mustnt neither don't hadn't hasn't haven't isn't mightn't mustn't neednt needn't never none nope nor
+not nothing nowhere oughtnt shant shouldnt wasnt werent oughtn't shan't shouldn't wasn't weren't without wont wouldnt
+won't wouldn't rarely seldom despite
+""".split())
+INTENSIFIERS = tuple("""
+absolutely amazingly awfully completely considerably decidedly deeply enormously entirely especially exceptionally
+extremely fabulously flipping frickin fully greatly hella highly hugely incredibly intensely majorly more most
+particularly purely quite really remarkably so substantially thoroughly totally tremendously uber unbelievably unusually
+utterly very
+""".split())
+DIMINISHERS = tuple("almost barely hardly kinda less little marginally occasionally partly scarcely slightly somewhat sorta".split())

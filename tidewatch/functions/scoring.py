@@ -2,8 +2,13 @@
 
 from pyspark.sql import Column, functions as F
 
-from tidewatch.contracts import PROFANE_WORDS, SENTIMENT_WEIGHTS, SEVERE_WORDS
-from tidewatch.functions.text import TOKEN, bind, is_blank, whole_word
+from tidewatch.contracts import (
+    AFTER_BUT, BEFORE_BUT, BOOST, BOOST_BY_DISTANCE, CAPITALS, DIMINISHERS, EXCLAMATION, INTENSIFIERS, MANY_QUESTIONS, NEGATED,
+    NEGATIONS, PROFANE_WORDS, QUESTION, SENTIMENT_WEIGHTS, SEVERE_WORDS,
+)
+from tidewatch.functions.text import TOKEN, WORD, bind, is_blank, whole_word
+
+SPOKEN_WORD = rf"[{WORD}]+(?:'[{WORD}]+)*"
 
 # ---------------------------------------------------------------- fixed values
 LABEL_CUT = 0.05
@@ -59,6 +64,84 @@ def lexicon_sentiment(text: Column, weights: dict = SENTIMENT_WEIGHTS) -> Column
     return F.when(is_blank(text), neutral_result()).otherwise(scored)
 
 
+def _constants(entries: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def valences(text: Column, weights: dict = SENTIMENT_WEIGHTS) -> Column:
+    """(word, v) along a text: v is the weight of a lexicon word after the words around it, NULL for others.
+
+    Capitals in a text that is not all capitals push a weight outwards; up to three words
+    back, intensifiers and diminishers add to it, less with distance, unless they are
+    lexicon words themselves, and a negation turns it around. Before "but" weights count half, after it
+    half as much again.
+    """
+    lexicon, boosts = _constants(weights), _constants({w: BOOST for w in INTENSIFIERS} | {w: -BOOST for w in DIMINISHERS})
+
+    def along(said):
+        spoken, lowered, mixed = said["spoken"], said["lowered"], said["mixed"]
+        butted = F.array_position(lowered, F.lit("but"))
+
+        def loud(word, size):
+            capital = (F.upper(word) == word) & (F.lower(word) != word)
+            return F.when(mixed & capital, size).otherwise(0.0)
+
+        def at(i, distance):
+            """The word ``distance`` before the 0-based ``i``."""
+            place = F.greatest(i - distance + 1, F.lit(1))
+            return F.element_at(spoken, place), F.element_at(lowered, place)
+
+        def one(word, i):
+            base = F.element_at(lexicon, F.element_at(lowered, i + 1))
+            away = F.signum(base)
+            value, negated = base + away * loud(word, CAPITALS), F.lit(False)
+            for distance, reach in enumerate(BOOST_BY_DISTANCE, start=1):
+                before, low = at(i, distance)
+                there = i >= distance
+                boost = F.element_at(boosts, low)
+                shout = F.signum(boost) * loud(before, CAPITALS)
+                heard = there & boost.isNotNull() & F.element_at(lexicon, low).isNull()
+                value = value + F.when(heard, away * (boost + shout) * reach).otherwise(0.0)
+                negated = negated | (there & low.isin(*NEGATIONS))
+            turned = value * F.when(negated, NEGATED).otherwise(1.0)
+            side = F.when((butted == 0) | (butted == i + 1), 1.0).when(i + 1 < butted, BEFORE_BUT).otherwise(AFTER_BUT)
+            return F.struct(word.alias("word"), (turned * side).alias("v"))
+
+        return F.transform(spoken, one)
+
+    words = F.regexp_extract_all(text, F.lit(SPOKEN_WORD), F.lit(0))
+    prepared = bind(words, lambda spoken: F.struct(
+        spoken.alias("spoken"), F.transform(spoken, F.lower).alias("lowered"),
+        F.exists(spoken, lambda w: F.upper(w) != w).alias("mixed")))
+    return bind(prepared, along)
+
+
+def lexicon_sentiment_rules(text: Column, weights: dict = SENTIMENT_WEIGHTS) -> Column:
+    """Lexicon sentiment with the rules of :func:`valences` and the emphasis of ``!`` and ``?``, inside the row."""
+    bangs, asked = F.length(text) - F.length(F.replace(text, F.lit("!"))), F.length(text) - F.length(F.replace(text, F.lit("?")))
+    emphasis = F.least(bangs, F.lit(4)) * EXCLAMATION + F.when(asked > 3, MANY_QUESTIONS).when(asked > 1, asked * QUESTION).otherwise(0.0)
+
+    def add(held, cell):
+        v = F.coalesce(cell["v"], F.lit(0.0))
+        return F.struct((held["total"] + v).alias("total"),
+                        (held["positive"] + F.when(v > 0, v + 1).otherwise(0.0)).alias("positive"),
+                        (held["negative"] + F.when(v < 0, v - 1).otherwise(0.0)).alias("negative"),
+                        (held["neutral"] + F.when(v == 0, 1.0).otherwise(0.0)).alias("neutral"))
+
+    start = F.struct(*[F.lit(0.0).alias(n) for n in ("total", "positive", "negative", "neutral")])
+    sums = F.aggregate(valences(text, weights), start, add)
+
+    def scored(x):
+        s, e = x["sums"], x["emphasis"]
+        strong = F.signum(s["positive"] + s["negative"])
+        return sentiment_from_sums(
+            s["total"] + F.signum(s["total"]) * e, s["positive"] + F.when(strong > 0, e).otherwise(0.0),
+            s["negative"] - F.when(strong < 0, e).otherwise(0.0), s["neutral"])
+
+    both = F.struct(sums.alias("sums"), emphasis.alias("emphasis"))
+    return F.when(is_blank(text), neutral_result()).otherwise(bind(both, scored))
+
+
 def neutral_result() -> Column:
     return F.struct(F.lit("NEUTRAL").alias("label"), F.lit(0.5).alias("score"),
                     F.lit(0.0).alias("compound"))

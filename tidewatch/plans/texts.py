@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidewatch.contracts import (
-    CRISIS_KEYWORDS, EMOJI_WORDS, PROFANE_WORDS, SENTIMENT_WEIGHTS, SEVERE_WORDS,
+    AFTER_BUT, BEFORE_BUT, BOOST, BOOST_BY_DISTANCE, CAPITALS, CRISIS_KEYWORDS, DIMINISHERS, EMOJI_WORDS, EXCLAMATION,
+    INTENSIFIERS, MANY_QUESTIONS, NEGATED, NEGATIONS, PROFANE_WORDS, QUESTION, SENTIMENT_WEIGHTS, SEVERE_WORDS,
 )
 from tidewatch.functions import scoring, text as X
 from tidewatch.operators import enrich, ordering, rollup, terms
@@ -266,6 +267,63 @@ def lexicon_sentiment(spark, folder):
     return rows.select("id", "s.*")
 
 
+# Talk around lexicon words, chosen by the number of the document: negation, degree, capitals, contrast, emphasis.
+_LEADS = ["not", "very", "never so", "VERY", "slightly", "it", "isn't really", "extremely", "smooth but", "hardly a"]
+_ENDS = ["", "!", "!!", "?", "???", "?????", "!!!!!!", " but refund", " BUT never flawless!"]
+
+
+def _talk_sql() -> str:
+    words = words_sql([w.upper() if k % 4 == 3 else w for k, w in enumerate(_W)])
+    leads, ends = words_sql(_LEADS), words_sql(_ENDS)
+    return (f"clean_text || ' ' || ([{leads}])[(id % {len(_LEADS)} + 1)::INT] || ' ' || ([{words}])[(id // 3 % {len(_W)} + 1)::INT] || "
+            f"([{ends}])[(id // 7 % {len(_ENDS)} + 1)::INT]")
+
+
+def _talk():
+    pick = lambda items, n: F.element_at(F.array(*[F.lit(x) for x in items]), (F.floor(n) % len(items) + 1).cast("int"))
+    words = [w.upper() if k % 4 == 3 else w for k, w in enumerate(_W)]
+    return F.concat("clean_text", F.lit(" "), pick(_LEADS, F.col("id")), F.lit(" "), pick(words, F.col("id") / 3), pick(_ENDS, F.col("id") / 7))
+
+
+_VALENCE_OF = lambda w: "CASE " + w + " " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _W.items()) + " END"
+_BOOST_OF = lambda w: (f"CASE WHEN {w} IN ({words_sql(INTENSIFIERS)}) THEN {BOOST}::DOUBLE "
+                       f"WHEN {w} IN ({words_sql(DIMINISHERS)}) THEN -{BOOST}::DOUBLE END")
+_LOUD = lambda w: f"(mixed AND upper({w}) = {w} AND lower({w}) <> {w})::INT * {CAPITALS}::DOUBLE"
+
+
+def rules_sql(source: str, text: str) -> str:
+    """``scored`` (id, label, score, compound) by windows over word positions."""
+    lags = ", ".join(f"lag(w, {k}) OVER p AS w{k}" for k in (1, 2, 3))
+    boosts = " + ".join(
+        f"coalesce(CASE WHEN {_VALENCE_OF(f'lower(w{k})')} IS NULL THEN sign(v) * {reach}::DOUBLE * ({_BOOST_OF(f'lower(w{k})')} "
+        f"+ sign({_BOOST_OF(f'lower(w{k})')}) * {_LOUD(f'w{k}')}) END, 0)" for k, reach in enumerate(BOOST_BY_DISTANCE, start=1))
+    negated = " OR ".join(f"coalesce(lower(w{k}) IN ({words_sql(NEGATIONS)}), false)" for k in (1, 2, 3))
+    return f"""said AS (SELECT id, {text} AS t, regexp_extract_all({text}, '{scoring.SPOKEN_WORD.replace("'", "''")}') AS ws FROM {source}),
+tok AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, list_position(list_transform(ws, lambda x: lower(x)), 'but') AS b,
+  len(list_filter(ws, lambda x: upper(x) <> x)) > 0 AS mixed FROM said),
+near AS (SELECT *, {_VALENCE_OF('lower(w)')} AS v, {lags} FROM tok WINDOW p AS (PARTITION BY id ORDER BY i)),
+val AS (SELECT id, coalesce((v + sign(v) * {_LOUD('w')} + {boosts}) * CASE WHEN {negated} THEN {NEGATED}::DOUBLE ELSE 1 END
+  * CASE WHEN coalesce(b, 0) = 0 OR b = i THEN 1 WHEN i < b THEN {BEFORE_BUT}::DOUBLE ELSE {AFTER_BUT}::DOUBLE END, 0) AS v FROM near),
+raw AS (SELECT id, sum(v) AS total, coalesce(sum(v + 1) FILTER (v > 0), 0) AS pos, coalesce(sum(v - 1) FILTER (v < 0), 0) AS neg,
+  count(*) FILTER (v = 0) AS neu FROM val GROUP BY id),
+mark AS (SELECT id, length(t) - length(replace(t, '!', '')) AS x, length(t) - length(replace(t, '?', '')) AS q FROM said),
+sums AS (SELECT id, pos, neg, neu, total, least(x, 4) * {EXCLAMATION}::DOUBLE
+  + CASE WHEN q > 3 THEN {MANY_QUESTIONS}::DOUBLE WHEN q > 1 THEN q * {QUESTION}::DOUBLE ELSE 0 END AS e FROM raw JOIN mark USING (id)),
+moved AS (SELECT id, total + sign(total) * e AS total, pos + (pos + neg > 0)::INT * e AS pos, neg - (pos + neg < 0)::INT * e AS neg, neu FROM sums),
+polar AS (SELECT id, total / sqrt(total * total + 15) AS c, pos, neg, neu, nullif(pos + abs(neg) + neu, 0) AS size FROM moved),
+scored AS (SELECT id, CASE WHEN c >= 0.05 THEN 'POSITIVE' WHEN c <= -0.05 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label,
+  least(1.0::DOUBLE, greatest(0.1::DOUBLE, round(CASE WHEN c >= 0.05 THEN round(coalesce(pos / size, 0), 3) + 0.1::DOUBLE
+    WHEN c <= -0.05 THEN round(coalesce(abs(neg) / size, 0), 3) + 0.1::DOUBLE
+    ELSE round(coalesce(neu / size, 0), 3) END, 4))) AS score, round(c, 4) AS compound FROM polar)"""
+
+
+@query("lexicon_sentiment_rules", f"""WITH {CLEAN}, talk AS (SELECT id, {_talk_sql()} AS t FROM clean), {rules_sql('talk', 't')}
+SELECT id, label, score, compound FROM scored""")
+def lexicon_sentiment_rules(spark, folder):
+    rows = _clean_documents(spark, folder).select("id", _talk().alias("t"))
+    return rows.withColumn("s", scoring.lexicon_sentiment_rules(F.col("t"))).select("id", "s.*")
+
+
 @query("lexicon_sentiment_join", f"WITH {SPICED}, {sentiment_sql('spiced', 't')} SELECT id, label, score, compound FROM scored")
 def lexicon_sentiment_join(spark, folder):
     lexicon = spark.createDataFrame(list(SENTIMENT_WEIGHTS.items()), "word string, weight double")
