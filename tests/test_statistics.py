@@ -203,3 +203,22 @@ def test_histogram_keeps_values_beside_the_bounds(spark):
     counts = {r.bin: r.n for r in P.histogram(means, "sample_mean", 20).collect()}
     values = np.array([r.sample_mean for r in first])
     assert [counts[k] for k in range(20)] == np.histogram(values, 20)[0].tolist() and sum(counts.values()) == 80
+
+
+def test_quantiles_of_tight_clusters_stay_bounded(spark, monkeypatch):
+    """Two clusters a million apart would fill one slice each; they are cut until every slice is small."""
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.normal(0, 1e-3, 3000), rng.normal(1e6, 1e-3, 2000), np.full(1500, 7.25), [1e300, -1e300, 5e-324, 1.7e308, -1.7e308]])
+    rows = [(("x", "y")[i % 2] if i % 11 else None, float(v)) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    wanted = {"a": 0.0, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.77, "f": 1.0}
+    seen, narrowed = [], P._narrowed
+    monkeypatch.setattr(P, "SLICE_ROWS", 40)
+    monkeypatch.setattr(P, "_narrowed", lambda *args: seen.append(narrowed(*args)) or seen[-1])
+    got = P.exact_quantiles(df, "v", wanted, slices=64).first()
+    assert [got[n] for n in wanted] == np.quantile(data, list(wanted.values())).tolist()
+    for r in P.exact_quantiles(df.where("k is not null"), "v", wanted, ["k"], 64).collect():
+        own = [v for k, v in rows if k == r.k]
+        assert [r[n] for n in wanted] == np.quantile(own, list(wanted.values())).tolist()
+    for _, sizes in seen:
+        assert sizes.where("_least < _most").agg(F.max("_n")).first()[0] <= 40

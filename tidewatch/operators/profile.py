@@ -7,6 +7,8 @@ from tidewatch.functions.distributions import student_t_cdf
 from tidewatch.session import materialize
 
 QUANTILE_SLICES = 4096
+#: Rows of different values that one task may put in order; fuller slices are cut again.
+SLICE_ROWS = 1 << 20
 
 
 def usable(column: str) -> Column:
@@ -55,7 +57,8 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: dict, keys=(),
     Values are counted in ``slices`` slices; only the slices that hold a wanted rank
     are looked at value by value, equal values merged first. Slices are even on a
     scale that is linear about the middle of the values and logarithmic far from it, so
-    a few huge values leave the others spread over many slices.
+    a few huge values leave the others spread over many slices. A slice of more than SLICE_ROWS
+    rows is cut again between its own least and largest value, until none is left.
     ``probabilities`` maps output names to probabilities.
     """
     keys = list(keys)
@@ -85,18 +88,13 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: dict, keys=(),
 
     wanted = F.array_distinct(F.array(*[
         edge(rank(p)).cast("bigint") for p in probabilities.values() for edge in (F.floor, F.ceil)]))
+    rows, sizes = _narrowed(placed.withColumns({"_no": F.lit(0), "_before": F.lit(0).cast("bigint"), "_ranks": wanted}), keys, slices)
     inside = lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice")
-    sizes = (placed.groupBy(*keys, "_slice", "_size").agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_start", F.sum("_n").over(before) - F.col("_n"))
-             .withColumn("_ranks", F.filter(wanted, inside))
-             .where(F.size("_ranks") > 0)
-             .select(*keys, "_slice", F.col("_start").alias("_slice_start"), "_ranks"))
     within = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    found = (attach(placed, sizes, [*keys, "_slice"], "inner")
-             .groupBy(*keys, "_slice", "_size", "_slice_start", "_ranks", "_v")
+    found = (attach(rows.drop("_no", "_before", "_ranks"), sizes.drop("_n", "_least", "_most"), [*keys, "_slice"], "inner")
+             .groupBy(*keys, "_slice", "_size", "_before", "_ranks", "_v")
              .agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_start", F.col("_slice_start") + F.sum("_n").over(within) - F.col("_n"))
+             .withColumn("_start", F.col("_before") + F.sum("_n").over(within) - F.col("_n"))
              .withColumn("_rank", F.explode(F.filter("_ranks", inside))))
     table = found.groupBy(*keys).agg(
         F.max("_size").alias("_size"),
@@ -109,6 +107,35 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: dict, keys=(),
     return table.select(*keys, *[quantile(p).alias(n) for n, p in probabilities.items()])
 
 
+def _narrowed(rows: DataFrame, keys: list, slices: int, most_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, sizes): rows with their ``_slice``, and of each slice that holds a wanted rank its number ``_no`` per
+    key, the rows ``_before`` it, its ``_ranks``, size and bounds.
+
+    ``rows`` come with the slice they lie in and with ``_no``, ``_before`` and ``_ranks`` of what it was cut
+    from. As the least and the largest value of a cut slice end in different parts, every round makes
+    the full ones smaller; rows outside them are dropped, the others written.
+    """
+    most_rows = SLICE_ROWS if most_rows is None else most_rows
+    inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
+    earlier = Window.partitionBy(*keys, "_no").orderBy("_slice")
+    while True:
+        counted = (rows.groupBy(*keys, "_slice", "_no", "_before", "_ranks")
+                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+                   .withColumn("_before", F.col("_before") + F.sum("_n").over(earlier) - F.col("_n"))
+                   .withColumn("_ranks", F.filter("_ranks", inside)).where(F.size("_ranks") > 0)
+                   .withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_slice")) - 1))
+        sizes = materialize(counted, "slices")
+        fullest = sizes.where("_least < _most").agg(F.max("_n")).first()[0]
+        if fullest is None or fullest <= most_rows:
+            return rows, sizes
+        held = rows.drop("_no", "_before", "_ranks").join(sizes, [*keys, "_slice"])
+        # Halves, so that no range overflows.
+        share = (F.col("_v") / 2 - F.col("_least") / 2) / (F.col("_most") / 2 - F.col("_least") / 2)
+        part = F.when(F.col("_least") < F.col("_most"), F.least(F.floor(share * slices), F.lit(slices - 1))).otherwise(0)
+        rows = materialize(held.withColumn("_slice", (F.col("_no") * slices + F.coalesce(part, F.lit(0))).cast("int"))
+                           .drop("_n", "_least", "_most"), "narrowed")
+
+
 def most_common(df: DataFrame, column: str, keys=(), name: str = "mode") -> DataFrame:
     """Most frequent value, the smallest one on ties; counted before it is compared."""
     keys = list(keys)
