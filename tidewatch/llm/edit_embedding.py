@@ -9,12 +9,12 @@ share of equal samples, corrected for chance. Samples form BANDS: texts that sha
 band are candidates, and the likeness verifies them.
 """
 
+import bisect
 import hashlib
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from tidewatch.llm.common import map_rows
 
@@ -113,16 +113,9 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return map_rows(narrow, rows, f"doc_id {docs.schema[id].dataType.simpleString()}, fingerprint string")
 
 
-def _bucket_of(bounds: np.ndarray):
-    """Range number of an id; null ids come with the smallest."""
-    @pandas_udf("int")
-    def number(ids):
-        import pandas as pd
-        missing = ids.isna().to_numpy()
-        found = np.searchsorted(bounds, ids.fillna(0).to_numpy().astype(np.int64), side="left")
-        return pd.Series(np.where(missing, 0, found).astype(np.int32))
-
-    return number
+def _bucket_of(bounds: list[int]):
+    """Range number of an id, in whole numbers at any size; null ids come with the smallest."""
+    return lambda doc_id: 0 if doc_id is None else bisect.bisect_left(bounds, doc_id)
 
 
 def with_next(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -136,24 +129,22 @@ def with_next(docs: DataFrame, id: str, text: str) -> DataFrame:
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id).alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10000, 20 * ranges))).first()[0]
-    number = _bucket_of(np.unique(np.array(cuts or [], dtype=np.int64)))
-    firsts = (ids.select("doc_id", number("doc_id").alias("bucket")).groupBy("bucket")
-              .agg(F.max("doc_id").alias("first")).orderBy(F.desc("bucket")).collect())
+    number, kind = _bucket_of(sorted(set(cuts or []))), docs.schema[id].dataType.simpleString()
+    # The same rule numbers the ranges here and deals out the rows below.
+    dealt = map_rows(ids, lambda rows: ((number(doc_id), doc_id) for doc_id, in rows), f"bucket int, doc_id {kind}")
+    firsts = dealt.groupBy("bucket").agg(F.max("doc_id").alias("first")).orderBy(F.desc("bucket")).collect()
     # In descending order the row after the last of a range is the first of the next lower one.
     goes = {row["first"]: firsts[k - 1]["bucket"] for k, row in enumerate(firsts)}
-    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
     narrow = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
 
     def rows(batch):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for doc_id, value in batch:
             packed = squeeze((value or "").encode("utf-8", "surrogatepass"))
-            bucket = 0 if doc_id is None else int(np.searchsorted(bounds, doc_id, side="left"))
-            yield bucket, False, doc_id, packed
+            yield number(doc_id), False, doc_id, packed
             if doc_id in goes:
                 yield goes[doc_id], True, doc_id, packed
 
-    kind = docs.schema[id].dataType.simpleString()
     moved = map_rows(narrow, rows, f"bucket int, ghost boolean, doc_id {kind}, packed binary")
     return moved.repartition("bucket").sortWithinPartitions(
         "bucket", "ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("packed"), "packed")
@@ -164,7 +155,7 @@ def compare_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     The edited form has its last third replaced by the start of the next text by
     descending id (after the last comes the first; null ids are last, ties go by text
-    hash). Columns: doc_id, n_chars, edited_text_sha256, fingerprint, edited_fingerprint,
+    hash). Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, bands_edited, bands_next. Null texts are empty. Repeated rows
     follow one another. A lone row is its own next. An empty table gives none.
     """
