@@ -1,4 +1,4 @@
-"""Whitening, manifest and language identification against brute force, and on odd tables."""
+"""Whitening, manifest and language identification against brute force, and on odd tables; cases once missed elsewhere."""
 
 import hashlib
 import math
@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language, merkle, whitening
+from tidewatch.llm import edit_embedding, language, line_alignment, merkle, whitening
 from tidewatch.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -281,3 +281,58 @@ def test_language_query_on_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [r for r in rows if r.held_out]
     assert held and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+
+
+# --- earlier operators on cases that they once missed
+
+@pytest.mark.parametrize("ids", [
+    [2 ** 53 + 1 + k for k in range(60)] + [None],
+    list(range(60)) + [None, None, None],
+    [-5, 2 ** 62, 2 ** 62 + 1, 7, 7, 7, None] + list(range(100, 150)),
+])
+def test_edited_texts_follow_any_order_of_ids(spark, ids):
+    rows = [(i, f"text {k} " * (k % 5) + "é" * (k % 3), "extra") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket string").repartition(5)
+    found = edit_embedding.compare_edits(docs).collect()
+    assert len(found) == len(rows)
+    texts = defaultdict(set)
+    for i, text, _ in rows:
+        texts[i].add(text)
+    # Rows of one id may follow each other in any order, so each has a set of possible next texts.
+    order = sorted({i for i in ids if i is not None}, reverse=True) + ([None] if None in ids else [])
+    told = defaultdict(list)
+    for r in found:
+        told[r.doc_id].append(r.edited_sha256)
+    for at, i in enumerate(order):
+        after = texts[order[(at + 1) % len(order)]] | (texts[i] if len(texts[i]) > 1 or ids.count(i) > 1 else set())
+        possible = {hashlib.sha256(edited(t, n).encode()).hexdigest() for t in texts[i] for n in after}
+        assert set(told[i]) <= possible and len(told[i]) == ids.count(i)
+        if ids.count(i) == 1 and len(after) == 1:
+            assert len(set(told[i])) == 1
+
+
+def edited(text, following):
+    third = len(text) // 3
+    return text[:len(text) - third] + following[:third]
+
+
+def test_blocks_are_found_where_their_run_stands():
+    line = lambda name: " ".join(f"{name}{k}" for k in range(10))
+    a = [line(n) for n in ("l1", "x", "l2", "y", "l3", "z", "l1", "l2", "l3")]
+    b = [line(n) for n in ("q", "l1", "l2", "l3", "r")]
+    assert line_alignment.common_blocks(a, b, [10] * 5, 25) == [1, 2, 3]
+    assert line_alignment.common_blocks(a, b, [10] * 5, 31) == []
+    # The same run twice in the later text, around an empty line, and in another order than in the earlier one.
+    b = [line("l2"), line("l3"), "", line("q"), line("l1"), line("l2"), line("l3"), line("l1"), line("l2"), line("l3")]
+    words = [10, 10, 0, 10, 10, 10, 10, 10, 10, 10]
+    assert line_alignment.common_blocks(a, b, words, 25) == [4, 5, 6, 7, 8, 9]
+    assert line_alignment.common_blocks([], b, words, 25) == [] and line_alignment.common_blocks(a, [], [], 25) == []
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = ([line(f"w{n}") for n in rng.integers(0, 6, rng.integers(1, 14))] for _ in range(2))
+        found = line_alignment.common_blocks(a, b, [10] * len(b), 30)
+        runs = {tuple(a[i:i + 3]) for i in range(len(a) - 2)}
+        # Every line found lies in a shared run; no shared run is left whole.
+        covered = {j + k for j in range(len(b) - 2) if tuple(b[j:j + 3]) in runs for k in range(3)}
+        assert set(found) <= covered
+        assert not any(tuple(b[j:j + 3]) in runs and not set(range(j, j + 3)) & set(found) for j in range(len(b) - 2))

@@ -93,7 +93,7 @@ def common_blocks(a: list, b: list, words: list, min_words: int) -> list[int]:
     """Lines of ``b`` in aligned blocks (consecutive on both sides) of ``min_words`` words or more.
 
     A run that patience diff cannot place, because its lines repeat or the texts are
-    reordered, is found by extending every other equal pair of runs as a block of its own.
+    reordered, is found by its shortest run of ``min_words`` words, wherever ``a`` holds that, and extended from there.
     """
     found, block = set(), []
 
@@ -107,24 +107,34 @@ def common_blocks(a: list, b: list, words: list, min_words: int) -> list[int]:
             block = []
         block.append((i, j))
     close()
-    # Blocks out of order: walk b once; from each line not found yet, extend along its first place in a.
+    # Blocks out of order: walk b once; from each line not found yet, extend from where a holds the run that starts there.
+    size = dict(zip(b, words))
+
+    def run(lines, at):
+        """The shortest run of ``min_words`` words from a line on; None where there is none, or a line is not in b."""
+        total, end = 0, at
+        while total < min_words:
+            if end == len(lines) or lines[end] not in size:
+                return None
+            total, end = total + size[lines[end]], end + 1
+        return tuple(lines[at:end])
+
     first: dict = {}
     for i, line in enumerate(a):
-        first.setdefault(line, i)
+        held = run(a, i) if size.get(line) else None
+        if held is not None:
+            first.setdefault(held, i)
     j = 0
     while j < len(b):
-        i = first.get(b[j]) if words[j] and j not in found else None
+        i = first.get(run(b, j)) if words[j] and j not in found else None
         if i is None:
             j += 1
             continue
         length = 0
         while i + length < len(a) and j + length < len(b) and a[i + length] == b[j + length]:
             length += 1
-        if sum(words[j:j + length]) >= min_words:
-            found.update(range(j, j + length))
-            j += length
-        else:
-            j += 1
+        found.update(range(j, j + length))
+        j += length
     return sorted(found)
 
 
