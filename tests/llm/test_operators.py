@@ -121,6 +121,38 @@ def test_flight_keeps_totals():
     assert abs(sum(t for *_, t in decided) + sum(u[2] for u in pool) - 148) < 1e-6
 
 
+def shares(sizes, weights=mixing.WEIGHTS, percent=150, most=2):
+    """Targets by raising the common level in small steps: what mixing.source_targets must find."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    budget, low, high = sum(sizes.values()) * percent / 100, 0.0, 2.0 * sum(sizes.values()) * most
+    for _ in range(200):
+        level = (low + high) / 2
+        spent = sum(min(most * sizes[s], level * weight[s]) for s in sizes)
+        low, high = (level, high) if spent < budget else (low, level)
+    return {s: min(most * sizes[s], low * weight[s]) for s in sizes}
+
+
+def test_mix_takes_copies_of_one_row_apart(spark):
+    """A source that is nearly all one repeated row ends near its target, in the counts and in the mixed table."""
+    rows = [(1, "w " * 2000, "hot", i) for i in range(60)] + [(i + 2, "v " * (20 + i), "hot", 0) for i in range(100)]
+    rows += [(200 + i, "u " * (50 + i), ("cold", None)[i % 2], 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key int").repartition(7)
+    sizes, taken, targets, again = defaultdict(int), defaultdict(int), {}, defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        assert r.times <= 2
+        sizes[r.source] += r.size
+        taken[r.source] += r.size * r.times
+        targets[r.source] = r.target
+    want = shares(sizes)
+    for source in sizes:
+        assert targets[source] == pytest.approx(want[source], rel=1e-6)
+        assert abs(taken[source] - targets[source]) <= 2000
+    for r in mixing.apply_mix(docs).collect():
+        again[r.source] += len(r.text.split())
+    assert again == taken
+
+
 @needs_tables
 def test_mix_meets_targets(spark):
     rows = QUERIES["op2_balanced_mix"](spark, FOLDER).collect()

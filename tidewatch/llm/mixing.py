@@ -188,38 +188,93 @@ def balanced_sample(units: DataFrame, seed: int = 0, block_units: int = BLOCK_UN
     return done if done is not None else units.select("key", F.lit(0).alias("taken")).limit(0)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, percent: int = SHARE_PERCENT, most: int = MOST_TIMES, seed: int = 0,
-        id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """How often each row is taken: (doc_id, _id, _hash, source, size, source_size, target, times), as a written table.
+def numbered(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """Number the rows of each key from 0 on (``_copy``); ``place`` is a written monotonically_increasing_id.
 
-    Rows equal in id, text and source are one unit and share its fate. A null source is
-    a source of its own, after the others. Texts without words have size zero and are
-    taken like others. No words at all: every target is zero. An empty table gives none.
+    A key's rows are numbered inside the partition that wrote them, beyond the rows of the partitions
+    before it, so that no task gets all rows of a frequent key.
+    """
+    parts = rows.withColumn("_part", F.shiftright(place, 33))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (parts.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+              .select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(place))
+    return (parts.withColumn("_inside", inside).join(starts, [key, "_part"])
+            .withColumn("_copy", F.col("_start") + F.col("_inside") - 1).drop("_part", "_inside", "_start"))
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, percent: int = SHARE_PERCENT, most: int = MOST_TIMES, seed: int = 0,
+         id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` without texts, and how often each *unit* is taken, as written tables.
+
+    A unit holds the rows that are equal in id, text and source: (key, _id, _hash, source, source_size, target,
+    copies, whole, extra). Each of its copies is taken ``whole`` times and ``extra`` of them once more:
+    of the copies' expected number the whole part is certain, and only the fraction flies.
     """
     id_key, hash_key = row_key(id, text)
-    rows = materialize(docs.select(F.col(id).alias("doc_id"), id_key, hash_key, F.col(source).alias("source"),
-                                   word_count(text).alias("size")), "sizes")
-    targets = materialize(source_targets(rows, weights, percent, most), "targets")
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    rows = materialize(
+        docs.select(F.col(id).alias("doc_id"), id_key, hash_key, F.col(source).alias("source"),
+                    word_count(text).alias("size"), F.monotonically_increasing_id().alias("_place"))
+        .withColumn("_source", named)
+        .withColumn("key", F.concat_ws("|", "_source", F.col("_hash").cast("string"), "_id")), "sizes")
+    targets = materialize(source_targets(rows, weights, percent, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = materialize(
-        rows.withColumn("_source", named)
+    expected = F.col("copies") * F.greatest(F.col("_ratio") - F.col("whole"), F.lit(0.0))
+    units = materialize(
+        rows.groupBy("_source", "key").agg(*[F.first(c).alias(c) for c in ("_id", "_hash", "source")],
+                                           F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"))
         .join(targets.select("_source", "source_size", "target"), "_source")
-        .withColumn("_ratio", ratio).withColumn("_whole", F.floor(F.col("_ratio") + NEARLY)).withColumn("_p", F.col("_ratio") - F.col("_whole"))
-        .withColumn("key", F.concat_ws("|", "_source", F.col("_hash").cast("string"), "_id")), "mix")
-    units = (joined.where(F.col("_p") > NEARLY).groupBy("_source", "key")
-             .agg(F.sum("size").alias("size"), F.first("_p").alias("p")))
-    sample = balanced_sample(materialize(units, "units"), seed).where(F.col("taken") == 1)
-    times = F.col("_whole") + F.coalesce("taken", F.lit(0))
-    return materialize(joined.join(sample, "key", "left").select(
-        "doc_id", "_id", "_hash", "source", "size", "source_size", "target", times.cast("long").alias("times")), "mixed")
+        .withColumn("_ratio", ratio).withColumn("whole", F.floor(F.col("_ratio") + NEARLY))
+        .withColumn("_sure", F.floor(expected + NEARLY)).withColumn("p", expected - F.col("_sure")).drop("_ratio"), "units")
+    flying = units.where(F.col("p") > NEARLY).select("_source", "key", "size", "p")
+    sample = balanced_sample(flying, seed).where(F.col("taken") == 1)
+    extra = F.col("_sure") + F.coalesce("taken", F.lit(0))
+    return rows, materialize(units.join(sample, "key", "left").select(
+        "key", "_id", "_hash", "source", "source_size", "target", "copies", "whole", extra.alias("extra")), "plan")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, percent: int = SHARE_PERCENT, most: int = MOST_TIMES, seed: int = 0,
+        id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """How often each row is taken: (doc_id, _id, _hash, source, size, source_size, target, times), as a written table.
+
+    Rows equal in id, text and source are told apart by their place only: as many of them
+    are taken as their expected number says, so that a source of mostly one row meets its target too. A null
+    source is a source of its own, after the others. Texts without words have size zero and are
+    taken like others. No words at all: every target is zero. An empty table gives none.
+    """
+    rows, units = plan(docs, weights, percent, most, seed, id, text, source)
+    fate = units.select("key", "source_size", "target", "whole", "extra", "copies")
+    torn = (F.col("extra") > 0) & (F.col("extra") < F.col("copies"))
+    even = rows.join(fate.where(~torn), "key").withColumn("times", F.col("whole") + F.col("extra").cast("boolean").cast("int"))
+    uneven = numbered(rows.join(fate.where(torn), "key"), "key", "_place").withColumn(
+        "times", F.col("whole") + (F.col("_copy") < F.col("extra")).cast("int"))
+    columns = ["doc_id", "_id", "_hash", "source", "size", "source_size", "target", F.col("times").cast("long").alias("times")]
+    return materialize(even.select(*columns).unionByName(uneven.select(*columns)), "mixed")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; columns stay as they are."""
-    chosen = mix(docs, **options).where(F.col("times") > 0).select("_id", "_hash", F.col("source").alias("_of"), "times").distinct()
-    id_key, hash_key = row_key()
-    rows = docs.select(F.struct("*").alias("_row"), id_key, hash_key, F.col("source").alias("_source"))
-    same = ((rows["_id"] == chosen["_id"]) & (rows["_hash"] == chosen["_hash"]) & rows["_source"].eqNullSafe(chosen["_of"]))
-    return (rows.join(chosen.hint("merge"), same).select("_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time"))
+    """``docs`` with every row as often as the mix takes it; columns stay as they are.
+
+    Of rows equal in id, text and source, the first in the table are those taken once more.
+    """
+    units = plan(docs, **options)[1].withColumnRenamed("source", "_of")
+    id_key, hash_key = row_key(*[options.get(name, name_of) for name, name_of in (("id", "doc_id"), ("text", "text"))])
+    rows = docs.select(F.struct("*").alias("_row"), id_key, hash_key,
+                       F.col(options.get("source", "source")).alias("_source"))
+
+    def meet(part):
+        same = ((rows["_id"] == part["_id"]) & (rows["_hash"] == part["_hash"]) & rows["_source"].eqNullSafe(part["_of"]))
+        return rows.join(part.hint("merge"), same)
+
+    torn = (F.col("extra") > 0) & (F.col("extra") < F.col("copies"))
+    even = meet(units.where(~torn & (F.col("whole") + F.col("extra") > 0))).select(
+        "_row", (F.col("whole") + F.col("extra").cast("boolean").cast("int")).alias("_times"))
+    few = units.where(torn)
+    if not few.isEmpty():
+        # Written before they are numbered: a task that runs again must find every copy at its place.
+        copies = materialize(meet(few).select("_row", "key", "whole", "extra", F.monotonically_increasing_id().alias("_place")), "copies")
+        even = even.union(numbered(copies, "key", "_place").select(
+            "_row", F.col("whole") + (F.col("_copy") < F.col("extra")).cast("int")))
+    return (even.where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long"))).alias("_time"))
             .select("_row.*"))
