@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -420,14 +421,88 @@ def test_urls(spark):
     assert url_templates.judge(rows.limit(0), F.col("_bad")).count() == 0
 
 
-def test_urls_keep_supported_sections(spark):
-    """One bad section among more than BRANCHES sections of a host is rejected alone; rare segments do not change that."""
-    for rare in (0, 40):
-        urls = [(f"http://h.io/s{chr(97 + k // 26)}{chr(97 + k % 26)}/p", k == 7) for k in range(40) for _ in range(30)]
-        urls += [(f"http://h.io/x{chr(97 + k // 26)}{chr(97 + k % 26)}/p", False) for k in range(rare)]
-        rows = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, _bad boolean")
-        got = url_templates.judge(rows, F.col("_bad")).select("path", "verdict").distinct().collect()
-        assert {r.path for r in got if r.verdict == "block"} == {"/sah/p"} and len(got) == 40 + rare
+def url_rows(spark, urls):
+    return spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, _bad boolean")
+
+
+def letters(k):
+    return chr(97 + k // 26 % 26) + chr(97 + k % 26)
+
+
+def test_urls_ignore_the_number_of_siblings(spark):
+    """One bad section is rejected alone among any number of sections, with labels and without."""
+    for sections, rare in ((31, 0), (32, 1), (33, 0), (40, 40)):
+        urls = [(f"http://h.io/s{letters(k)}/p", k == 7) for k in range(sections) for _ in range(12)]
+        urls += [(f"http://h.io/x{letters(k)}/p", False) for k in range(rare)] + [("http://h.io/new/p", None)]
+        got = url_templates.judge(url_rows(spark, urls), F.col("_bad")).select("path", "verdict").distinct().collect()
+        assert {r.path for r in got if r.verdict == "block"} == {"/sah/p"} and len(got) == sections + rare + 1
+
+
+def brute_templates(rows):
+    """(host, path) to (template, labelled, bad, rejected), node by node in plain Python."""
+    shapes = {key: re.sub("^/|/$", "", re.sub("/+", "/", re.sub("[0-9]+", "{n}", key[1]))) for key, _ in rows}
+    facts = [(key[0], shapes[key], bad) for key, bad in rows]
+    known = [bad for *_, bad in facts if bad is not None]
+    least = 10 * abs(len(known) - 2 * sum(known)) // len(known) + 1
+
+    def labels_of(node):
+        return [bad for *_, bad in node if bad is not None]
+
+    def leaves(node, at):
+        if len(labels_of(node)) < least or len({tuple(s[at:]) for s, _ in node}) == 1:
+            return [((), node)]
+        kinds = defaultdict(list)
+        for segments, bad in node:
+            kinds[segments[at] if at < len(segments) else ""].append((segments, bad))
+        named = defaultdict(list)
+        for kind, part in kinds.items():
+            named[kind if len(labels_of(part)) >= least else "*"] += part
+        total = labels_of(node)
+        out = []
+        for name, part in named.items():
+            own = labels_of(part)
+            gap = sum(own) * len(total) - sum(total) * len(own)
+            differs = gap**2 > 9 * sum(total) * (len(total) - sum(total)) * len(own)
+            out += [((name if differs else "*", *rest), leaf) for rest, leaf in leaves(part, at + 1)]
+        return out
+
+    groups, answer = defaultdict(list), {}
+    for host in {h for h, *_ in facts}:
+        for merged, leaf in leaves([(tuple(s.split("/")), bad) for h, s, bad in facts if h == host], 0):
+            groups[host, merged] += leaf
+    for (host, merged), leaf in groups.items():
+        own = labels_of(leaf)
+        rejected = 2 * (sum(own) * len(known) + 10 * sum(known)) > len(known) * (len(own) + 10)
+        for segments, _ in leaf:
+            answer[host, "/".join(segments)] = ("/" + "/".join(merged).rstrip("/"), len(own), sum(own), rejected)
+    return {key: answer[key[0], shape] for key, shape in shapes.items()}
+
+
+def test_urls_against_brute_force(spark):
+    rng, urls = np.random.default_rng(5), []
+    for _ in range(1500):
+        host = ("a.io", "b.io", "c.io")[rng.choice(3, p=[0.7, 0.2, 0.1])]
+        steps = [f"{'uvwxyz'[rng.integers(0, 6)]}{'' if rng.random() < 0.7 else rng.integers(0, 99)}" for _ in range(rng.integers(0, 6))]
+        bad = "w" in steps[:2] and rng.random() < 0.9 or "y/z" in "/".join(steps) and rng.random() < 0.8 or rng.random() < 0.02
+        urls.append((f"http://{host}/" + "/".join(steps) + "/" * int(rng.integers(0, 3)), bool(bad) if rng.random() < 0.8 else None))
+    got = url_templates.judge(url_rows(spark, urls), F.col("_bad"), rules=()).collect()
+    want = brute_templates([((r.host, r.path), urls[r.page_id][1]) for r in got])
+    assert len(got) == 1500 and len({w[0] for w in want.values()}) > 4
+    for r in got:
+        assert (r.template, r.template_labelled, r.template_bad, r.verdict == "block") == want[r.host, r.path]
+
+
+def test_urls_of_any_depth(spark):
+    """A url of hundreds of segments costs no levels: its node has too few labels, or no second path."""
+    deep = "http://h.io/" + "/".join(letters(k) for k in range(400))
+    urls = [(f"http://h.io/good/{letters(k)}", False) for k in range(60)] + [(deep, True)] * 30 + [(deep[:-200] + "/zz", None)] * 2
+    rows = url_rows(spark, urls)
+    shapes = url_templates.with_shape(rows.select(*[c.alias(n) for c, n in zip(url_templates.host_and_path(), ("host", "path"))], "_bad"))
+    sums = shapes.groupBy("host", "shape").agg(F.count("_bad").alias("labelled"), F.count_if("_bad").alias("bad"))
+    assert url_templates.grown(sums.where(F.length("shape") < 1100), 4)[1] <= 2
+    assert url_templates.grown(sums.where("bad = 0 or labelled = 30").where("labelled > 0"), 4)[1] <= 2
+    got = url_templates.judge(rows.where("_bad is not null"), F.col("_bad")).collect()
+    assert all((r.verdict == "block") == (len(r.path) > 100) for r in got)
 
 
 def test_urls_below_the_third_segment(spark):

@@ -88,38 +88,36 @@ def op2(spark, folder):
 _PAGE_NUMBER = r"^[^?#]*/([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#]|$)"
 
 
+#: Levels of the tree in the SQL; the operator has as many as the data need.
+_URL_LEVELS = 4
+
+
 def _url_sql() -> str:
     rule = verdict = "NULL"
     for name, says in sorted(url_templates.RULES, key=lambda r: (len(r[0]), r[0])):
         host, _, path = name.partition("/")
-        fits = f"((host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '/{path}'))"
+        fits = f"((r.host = '{host}' OR r.host LIKE '%.{host}') AND starts_with(path, '/{path}'))"
         rule, verdict = f"CASE WHEN {fits} THEN '{name}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{says}' ELSE {verdict} END"
-    levels = range(1, url_templates.LEVELS + 1)
-    t = ", ".join(f"t{k}" for k in levels)
     ctes = []
-    for k in levels:
-        before = "shape" if k == 1 else f"wide{k - 1}"
-        above = ", ".join(["host", *[f"g{j}" for j in range(1, k)]])
-        ctes.append(f"many{k} AS (SELECT {above} FROM (SELECT DISTINCT {above}, t{k} FROM {before}) "
-                    f"GROUP BY {above} HAVING count(*) > {url_templates.BRANCHES})")
-        ctes.append(f"wide{k} AS (SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM many{k} m WHERE "
-                    + " AND ".join(f"m.{c} = s.{c}" for c in above.split(", ")) + f") THEN '*' ELSE t{k} END AS g{k} FROM {before} s)")
-    g = ", ".join(f"g{k}" for k in levels)
-    last = f"wide{levels[-1]}"
-    ctes.append(f"leaf{levels[-1] + 1} AS (SELECT host, {g}, {', '.join(f'g{k} AS m{k}' for k in levels)}, "
-                f"sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad FROM {last} GROUP BY ALL)")
-    for k in reversed(levels):
-        above = ", ".join(["host", *[f"m{j}" for j in range(1, k)]])
-        m = ", ".join(f"m{j}" for j in levels if j != k)
-        ctes.append(f"branch{k} AS (SELECT {above}, m{k}, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b "
-                    f"FROM leaf{k + 1} GROUP BY ALL)")
-        ctes.append(f"fate{k} AS (SELECT *, sum(n) OVER w AS nn, sum(b) OVER w AS bb FROM branch{k} WINDOW w AS (PARTITION BY {above}))")
-        ctes.append(f"leaf{k} AS (SELECT l.host, {g}, {m}, labelled, bad, CASE WHEN (b * nn - bb * n) * (b * nn - bb * n) > "
-                    f"{url_templates.DEVIATIONS ** 2} * bb * (nn - bb) * n THEN l.m{k} ELSE '*' END AS m{k} "
-                    f"FROM (SELECT * FROM leaf{k + 1}) l JOIN (SELECT {', '.join(f'{c} AS f_{c}' for c in (above + f', m{k}').split(', '))}, n, b, nn, bb FROM fate{k}) f ON "
-                    + " AND ".join(f"l.{c} = f.f_{c}" for c in (above + f", m{k}").split(", ")) + ")")
-    m = ", ".join(f"m{k}" for k in levels)
-    on_g = " AND ".join(f"w.{c} = l.{c}" for c in ["host", *g.split(", ")])
+    for k in range(1, _URL_LEVELS + 1):
+        ctes.append(f"""cut{k} AS (SELECT host, steps, split_part(tail, '/', 1) AS seg, sum(labelled) AS n, min(tail) AS lo, max(tail) AS hi
+  FROM tree{k - 1} WHERE open GROUP BY ALL),
+named{k} AS (SELECT host, steps, seg, CASE WHEN n >= least THEN seg ELSE '*' END AS name,
+  sum(n) OVER w >= least AND min(lo) OVER w <> max(hi) OVER w AS grows FROM cut{k}, lim WINDOW w AS (PARTITION BY host, steps)),
+tree{k} AS (SELECT s.host, shape, labelled, bad, CASE WHEN grows THEN list_append(s.steps, name) ELSE s.steps END AS steps,
+  CASE WHEN contains(tail, '/') THEN substr(tail, instr(tail, '/') + 1) ELSE '' END AS tail, coalesce(grows, false) AS open
+  FROM tree{k - 1} s LEFT JOIN named{k} f ON s.open AND f.host = s.host AND f.steps = s.steps AND f.seg = split_part(tail, '/', 1))""")
+    ctes.append(f"leaf{_URL_LEVELS + 1} AS (SELECT host, steps, steps AS merged, sum(labelled)::BIGINT AS labelled, "
+                f"sum(bad)::BIGINT AS bad FROM tree{_URL_LEVELS} GROUP BY ALL)")
+    for k in range(_URL_LEVELS, 0, -1):
+        ctes.append(f"""branch{k} AS (SELECT host, merged[1:{k - 1}] AS above, merged[{k}] AS name, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b
+  FROM leaf{k + 1} WHERE len(merged) >= {k} GROUP BY ALL),
+fate{k} AS (SELECT *, sum(n) OVER w AS nn, sum(b) OVER w AS bb FROM branch{k} WINDOW w AS (PARTITION BY host, above)),
+leaf{k} AS (SELECT l.host, steps, labelled, bad, CASE WHEN f.host IS NULL OR
+    (b * nn - bb * n) * (b * nn - bb * n) > {url_templates.DEVIATIONS ** 2} * bb * (nn - bb) * n THEN merged
+  ELSE list_concat(list_append(above, '*'), merged[{k + 1}:]) END AS merged
+  FROM leaf{k + 1} l LEFT JOIN fate{k} f ON len(merged) >= {k} AND f.host = l.host AND f.above = merged[1:{k - 1}] AND f.name = merged[{k}])""")
+    trees = ",\n".join(ctes)
     return rf"""
 WITH page AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1),
@@ -127,22 +125,22 @@ WITH page AS (
     CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
     try_cast(nullif(regexp_extract(url, '{_PAGE_NUMBER}', 1), '') AS BIGINT) AS number FROM pages),
 lab AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
-lp AS (SELECT p.*, lab.bad AS is_bad, regexp_replace(regexp_replace(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/+$', ''), '^/+', '') AS typed
-  FROM page p LEFT JOIN lab ON p.number = lab.doc_id),
-row AS (SELECT *, regexp_extract(typed, '^([^/]*)', 1) AS t1, regexp_extract(typed, '^[^/]*/+([^/]*)', 1) AS t2,
-  regexp_extract(typed, '^[^/]*/+[^/]*/+(.*)$', 1) AS t3 FROM lp),
-shape AS (SELECT host, {t}, count(is_bad) AS labelled, count(*) FILTER (is_bad) AS bad FROM row GROUP BY ALL),
-{", ".join(ctes)},
-tot AS (SELECT sum(labelled)::BIGINT AS a, sum(bad)::BIGINT AS b FROM shape),
-summed AS (SELECT host, {m}, sum(labelled)::BIGINT AS template_labelled, sum(bad)::BIGINT AS template_bad FROM leaf1 GROUP BY ALL),
-judged AS (SELECT w.host, {', '.join(f'w.t{k}' for k in levels)}, template_labelled, template_bad,
-  '/' || regexp_replace({" || '/' || ".join(f's.m{k}' for k in levels)}, '/+$', '') AS template,
+row AS (SELECT p.*, lab.bad AS is_bad, regexp_replace(regexp_replace(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/+', '/', 'g'),
+    '^/|/$', '', 'g') AS shape FROM page p LEFT JOIN lab ON p.number = lab.doc_id),
+shapes AS (SELECT host, shape, count(is_bad) AS labelled, count(*) FILTER (is_bad) AS bad FROM row GROUP BY ALL),
+tot AS (SELECT sum(labelled)::BIGINT AS a, sum(bad)::BIGINT AS b FROM shapes),
+lim AS (SELECT CASE WHEN a > 0 THEN {url_templates.PRIOR} * abs(a - 2 * b) // a + 1 ELSE 1 END AS least FROM tot),
+tree0 AS (SELECT *, []::VARCHAR[] AS steps, shape AS tail, true AS open FROM shapes),
+{trees},
+summed AS (SELECT host, merged, sum(labelled)::BIGINT AS template_labelled, sum(bad)::BIGINT AS template_bad FROM leaf1 GROUP BY ALL),
+judged AS (SELECT s.host, t.shape, template_labelled, template_bad,
+  '/' || regexp_replace(array_to_string(s.merged, '/'), '/+$', '') AS template,
   a > 0 AND 2 * (template_bad * a + {url_templates.PRIOR} * b) > a * (template_labelled + {url_templates.PRIOR}) AS rejected
-  FROM {last} w JOIN leaf1 l ON {on_g} JOIN summed s ON {" AND ".join(f"l.{c} = s.{c}" for c in ["host", *m.split(", ")])}, tot)
-SELECT page_id, r.host, path, {rule.replace("host", "r.host")} AS rule,
-  coalesce({verdict.replace("host", "r.host")}, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict,
+  FROM tree{_URL_LEVELS} t JOIN leaf1 l ON l.host = t.host AND l.steps = t.steps
+  JOIN summed s ON s.host = l.host AND s.merged = l.merged, tot)
+SELECT page_id, r.host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict,
   template, template_labelled, template_bad
-FROM row r JOIN judged j ON r.host = j.host AND {" AND ".join(f"r.t{k} = j.t{k}" for k in levels)}"""
+FROM row r JOIN judged j ON r.host = j.host AND r.shape = j.shape"""
 
 
 @query("op3_url_templates", _url_sql())

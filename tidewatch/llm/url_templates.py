@@ -1,16 +1,16 @@
 """URL filter: a path-template tree per host, judged by smoothed purity.
 
-The path of a url becomes template segments, as many as the deepest path has (LEVELS at
-least): digits turn into ``{n}``, and where
-a node has more than BRANCHES different segments with fewer than SUPPORT labels each, those
-become ``*``; a segment with more labels stays a branch, however many there are. From the
+The path of a url becomes a path of template segments: digits turn into ``{n}``, and from the host down
+each segment with too few labels to be judged alone becomes ``*``. Too few means that they could
+not turn the verdict even if all of them were of one kind; neither siblings nor depth have a part in it. A node
+whose labels are too few, or whose pages share one path, has no branches below. From the
 leaves up, branches of a node whose share of bad labels does not differ
 significantly from the node's own merge into ``*``. A template is rejected if its
 smoothed purity (bad labels, with PRIOR more rows of the overall share) is above one
 half. Written rules go before: of those that fit, the longest decides.
 
-Everything is DataFrame operations, and after the first aggregation the tables
-hold distinct templates only.
+Everything is DataFrame operations. The tree is a table of (host, steps) nodes that grows by a
+level a round, as long as a node has labels to tell its branches apart, so unlabelled depth costs nothing.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -20,12 +20,8 @@ from tidewatch.session import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict): a host, with all its subdomains, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Levels of templates on tables without deeper paths.
-LEVELS = 3
-BRANCHES = 32
+#: Rows of the overall share that every template's labels are smoothed with.
 PRIOR = 10
-#: Labels from which on a segment is judged by its own: as many as the prior weighs.
-SUPPORT = PRIOR
 DEVIATIONS = 3
 
 
@@ -57,65 +53,74 @@ def with_shape(pages: DataFrame) -> DataFrame:
     return pages.withColumn("shape", F.regexp_replace(typed, "^/|/$", ""))
 
 
-def with_steps(shapes: DataFrame) -> tuple[DataFrame, int]:
-    """``shapes`` with the segments t1.. of column shape, missing ones empty, and the number of levels."""
-    parts = F.split("shape", "/")
-    depth = max(LEVELS, shapes.agg(F.max(F.size(parts))).first()[0] or 0)
-    return shapes.select("*", *[F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(f"t{k + 1}") for k in range(depth)]), depth
-
-
-def generalised(shapes: DataFrame, depth: int) -> DataFrame:
-    """Distinct shapes (host, t1.., n, labelled, bad) with ``g1..``: ``*`` for segments of little support where a node has many."""
-    now = shapes
-    for k in range(depth):
-        name = f"t{k + 1}"
-        above = ["host", *[f"g{j}" for j in range(1, k + 1)]]
-        rare = materialize(now.groupBy(*above, name).agg(F.sum("labelled").alias("_support"))
-                           .where(F.col("_support") < SUPPORT).select(*above, name), "rare-segments")
-        many = rare.groupBy(*above).agg(F.count(F.lit(1)).alias("_branches")).where(F.col("_branches") > BRANCHES)
-        variable = rare.join(many, above).select(*above, name, F.lit(True).alias("_variable"))
-        # Joined by segment without a grouping on top: a host with very many shapes may be split by AQE.
-        now = materialize(now.join(variable, [*above, name], "left")
-                          .withColumn(f"g{k + 1}", F.when(F.col("_variable"), "*").otherwise(F.col(name))).drop("_variable"), "generalised")
-    return now
+def least_labels(labelled: int, bad: int) -> int:
+    """Labels from which on a template can be judged against the prior: all bad where that allows, all good where not."""
+    return PRIOR * abs(labelled - 2 * bad) // labelled + 1
+
+
+def grown(shapes: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """Distinct shapes (host, shape, labelled, bad) with ``steps``, their leaf of the tree, and its number of levels."""
+    rest = F.when(F.locate("/", F.col("_tail")) > 0, F.expr("substring(_tail, locate('/', _tail) + 1)")).otherwise("")
+    node, done, level = ["host", "steps"], None, 0
+    growing = shapes.withColumn("steps", F.array().cast("array<string>")).withColumn("_tail", F.col("shape"))
+    while True:
+        cut = growing.withColumn("_segment", F.substring_index("_tail", "/", 1))
+        branches = cut.groupBy(*node, "_segment").agg(
+            F.sum("labelled").alias("_n"), F.min("_tail").alias("_low"), F.max("_tail").alias("_high"))
+        nodes = branches.groupBy(*node).agg(
+            ((F.sum("_n") >= least) & (F.min("_low") != F.max("_high"))).alias("_grows"))
+        named = branches.join(nodes, node).select(
+            *node, "_segment", "_grows", F.when(F.col("_n") >= least, F.col("_segment")).otherwise("*").alias("_name"))
+        # One row for each branch on the right, without a grouping on top: AQE may split a host of very many shapes.
+        now = materialize(cut.join(named, [*node, "_segment"]).select(
+            "host", "shape", "labelled", "bad",
+            F.when(F.col("_grows"), F.concat("steps", F.array("_name"))).otherwise(F.col("steps")).alias("steps"),
+            rest.alias("_tail"), "_grows"), "template-tree")
+        leaf = now.where(~F.col("_grows")).drop("_tail", "_grows")
+        done = leaf if done is None else done.unionByName(leaf)
+        growing = now.where("_grows").drop("_grows")
+        if growing.isEmpty():
+            return done, level
+        level += 1
 
 
 def merged(leaves: DataFrame, level: int) -> DataFrame:
-    """Leaves (host, m1.., labelled, bad, at) with the branches at ``level`` that differ from no sibling as ``*``.
+    """Leaves (host, steps, merged, labelled, bad) with the branches at ``level`` that differ from no sibling as ``*``.
 
     A branch differs if the square of its distance from the node's share of bad labels
-    exceeds DEVIATIONS squared times the binomial variance.
+    exceeds DEVIATIONS squared times the binomial variance. Leaves above the level stay.
     """
-    above, name = ["host", *[f"m{j}" for j in range(1, level)]], f"m{level}"
-    branches = leaves.groupBy(*above, name).agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_b"))
-    nodes = branches.groupBy(*above).agg(F.sum("_n").alias("_nn"), F.sum("_b").alias("_bb"))
+    above, name = F.slice("merged", 1, level - 1), F.get("merged", F.lit(level - 1))
+    cut = leaves.withColumn("_above", above).withColumn("_name", name)
+    branches = (cut.where(F.col("_name").isNotNull()).groupBy("host", "_above", "_name")
+                .agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_b")))
+    nodes = branches.groupBy("host", "_above").agg(F.sum("_n").alias("_nn"), F.sum("_b").alias("_bb"))
     number = {c: F.col(c).cast("double") for c in ("_n", "_b", "_nn", "_bb")}
     gap = number["_b"] * number["_nn"] - number["_bb"] * number["_n"]
     differs = gap * gap > DEVIATIONS**2 * number["_bb"] * (number["_nn"] - number["_bb"]) * number["_n"]
-    fate = branches.join(nodes, above).select(*above, name, F.coalesce(differs, F.lit(False)).alias("_differs"))
-    return (leaves.join(fate, [*above, name])
-            .withColumn(name, F.when(F.col("_differs"), F.col(name)).otherwise(F.lit("*"))).drop("_differs"))
+    same = branches.join(nodes, ["host", "_above"]).where(~differs).select("host", "_above", "_name", F.lit(True).alias("_same"))
+    below = F.slice(F.col("merged"), F.lit(level + 1), F.size("merged"))
+    return cut.join(same, ["host", "_above", "_name"], "left").select(
+        "host", "steps", "labelled", "bad",
+        F.when(F.col("_same"), F.concat("_above", F.array(F.lit("*")), below)).otherwise(F.col("merged")).alias("merged"))
 
 
 def templates(shapes: DataFrame) -> DataFrame:
     """Distinct shapes (host, shape, labelled, bad) with template, template_labelled, template_bad, rejected."""
     labelled, bad = shapes.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    stepped, depth = with_steps(shapes)
-    wide = generalised(stepped, depth)
-    steps = [f"g{k}" for k in range(1, depth + 1)]
-    # Beyond this aggregation a node has BRANCHES + 1 branches at most, and one for each SUPPORT labels.
-    nodes = materialize(wide.groupBy("host", *steps).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "template-nodes")
-    leaves = nodes.select("*", *[F.col(s).alias(f"m{k}") for k, s in enumerate(steps, 1)])
+    # Without labels no node reaches one label, and none grows.
+    tree, depth = grown(shapes, least_labels(labelled, bad) if labelled else 1)
+    leaves = materialize(tree.groupBy("host", "steps").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+                         .withColumn("merged", F.col("steps")), "template-leaves")
     for level in range(depth, 0, -1):
         leaves = materialize(merged(leaves, level), "template-level")
-    final = ["host", *[f"m{k}" for k in range(1, depth + 1)]]
-    sums = leaves.groupBy(*final).agg(F.sum("labelled").alias("template_labelled"), F.sum("bad").alias("template_bad"))
+    sums = leaves.groupBy("host", "merged").agg(F.sum("labelled").alias("template_labelled"), F.sum("bad").alias("template_bad"))
     # Purity (bad + PRIOR * overall share) / (labelled + PRIOR) over one half, in whole numbers.
     judged = sums.withColumn("rejected", F.lit(labelled > 0) & (
         2 * (F.col("template_bad") * labelled + PRIOR * bad) > labelled * (F.col("template_labelled") + PRIOR)))
-    name = F.concat(F.lit("/"), F.regexp_replace(F.concat_ws("/", *final[1:]), "/+$", ""))
-    named = leaves.select("host", *steps, *final[1:]).join(judged, final).withColumn("template", name)
-    return wide.join(named, ["host", *steps]).select(
+    name = F.concat(F.lit("/"), F.regexp_replace(F.array_join("merged", "/"), "/+$", ""))
+    named = leaves.select("host", "steps", "merged").join(judged, ["host", "merged"]).withColumn("template", name)
+    return tree.join(named, ["host", "steps"]).select(
         "host", "shape", "template", "template_labelled", "template_bad", "rejected")
 
 
