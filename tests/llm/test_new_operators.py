@@ -336,3 +336,35 @@ def test_blocks_are_found_where_their_run_stands():
         covered = {j + k for j in range(len(b) - 2) if tuple(b[j:j + 3]) in runs for k in range(3)}
         assert set(found) <= covered
         assert not any(tuple(b[j:j + 3]) in runs and not set(range(j, j + 3)) & set(found) for j in range(len(b) - 2))
+
+
+def test_lookup_by_bands_against_brute_force(spark):
+    """Texts with a few to many edited characters, copies and strangers: no false pair, at least 0.9 found, any block size."""
+    rng, texts = np.random.default_rng(11), []
+    for base in range(40):
+        text = "".join(rng.choice(list("abcdefgh "), 900))
+        texts += [text, text]
+        for edits in (1, 3, 8, 20):
+            changed = list(text)
+            for at in rng.choice(len(changed), edits, replace=False):
+                changed[at] = "" if rng.random() < 0.5 else "zé"
+            texts.append("".join(changed))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "x"])], "doc_id long, text string")
+    prints = edit_embedding.fingerprints(docs)
+    rows = prints.collect()
+    all_prints = sorted({r.fingerprint for r in rows})
+    asked = sorted({r.fingerprint for r in rows if r.doc_id % 50 == 0} | {rows[2].fingerprint})
+    queries = prints.where(F.col("fingerprint").isin(asked))
+    want = {(a, b): near for a in asked for b in all_prints
+            if a != b and (near := edit_embedding.likeness(a, b)) >= 0.5}
+    for block in (4096, 3):
+        got = edit_embedding.lookup(queries, prints, 0.5, block).collect()
+        told = {(r.fingerprint, r.other): r.likeness for r in got}
+        assert len(told) == len(got) and set(told) <= set(want)
+        assert all(abs(told[k] - want[k]) < 1e-12 for k in told)
+        surely = [k for k in want if want[k] >= 0.8]
+        assert len(surely) > 5 and len(set(surely) & set(told)) >= 0.9 * len(surely)
+        # Exactly the pairs that share a band, of those alike enough.
+        assert set(told) == {k for k in want if edit_embedding.shared_bands(*k)}
+    assert edit_embedding.lookup(queries.limit(0), prints).count() == 0
+    assert edit_embedding.lookup(queries, prints.limit(0)).count() == 0
