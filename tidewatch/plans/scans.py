@@ -203,3 +203,55 @@ def page_text_extract(spark, folder):
 SELECT page_id, url, CASE WHEN length(body) > length(title) THEN title || ' - ' || body ELSE title END AS text FROM t""")
 def page_title_body(spark, folder):
     return payloads.page_title_body(table(spark, folder, "pages"), "html")
+
+
+def _pages_of_events(spark, folder, item):
+    """Twenty events a page, in order of their ids: (page, html)."""
+    items = F.array_sort(F.collect_list(F.struct("event_id", item.alias("html"))))
+    return (table(spark, folder, "events").groupBy(F.floor(F.col("event_id") / 20).alias("page"))
+            .agg(F.array_join(F.transform(items, lambda i: i["html"]), "").alias("html")))
+
+
+_NUMBERED = """e AS (SELECT *, event_id // 20 AS page, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1 AS nth FROM events)"""
+
+
+@query("message_pages_parse", f"""WITH {_NUMBERED}
+SELECT page, nth::INT AS node_no, 'Telegram' AS platform, '@channel' || page % 10 AS source_target,
+  CASE WHEN user_id % 3 = 0 THEN '@channel' || page % 10 ELSE 'User & ' || user_id END AS author,
+  event_type || ' <' || props || '>' AS text, 100 AS views,
+  CASE WHEN user_id % 4 = 0 THEN 'Recent' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') END AS published_at
+FROM e WHERE event_id % 7 > 0""")
+def message_pages_parse(spark, folder):
+    """Channel pages made of events; some messages lack a text, an author or a time."""
+    user = F.col("user_id")
+    message = F.concat(
+        F.lit('<div class="tgme_widget_message_wrap js-widget">'),
+        F.when(user % 3 == 0, "").otherwise(F.concat(
+            F.lit('<a class="tgme_widget_message_owner_name" href="#"><span>User &amp; '), user.cast("string"), F.lit("</span></a>"))),
+        F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(
+            F.lit('<div class="tgme_widget_message_text js">'), "event_type", F.lit("<br/>&lt;"), "props", F.lit("&gt;</div>"))),
+        F.when(user % 4 == 0, "").otherwise(F.concat(
+            F.lit('<time datetime="'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+00:00">x</time>'))),
+        F.lit("</div>"))
+    pages = _pages_of_events(spark, folder, message).withColumn(
+        "handle", F.concat(F.lit("https://t.me/channel"), (F.col("page") % 10).cast("string")))
+    return payloads.parse_message_pages(pages, "html", "handle")
+
+
+@query("feeds_parse", f"""WITH {_NUMBERED}
+SELECT page, nth::INT AS entry_no, 'Reddit' AS platform, 'r/feed' || page % 5 AS source_target,
+  CASE WHEN user_id % 3 = 0 THEN 'Reddit User' ELSE '/u/' || user_id END AS author,
+  CASE WHEN user_id % 4 = 0 THEN event_type || ' &' ELSE event_type || ' & - ' || props || ' & more' END AS text,
+  10 AS score, 'Live Feed' AS published_at FROM e""")
+def feeds_parse(spark, folder):
+    """Syndication feeds made of events; some entries lack an author or have a content shorter than the title."""
+    user = F.col("user_id")
+    entry = F.concat(
+        F.lit("<entry>"),
+        F.when(user % 3 == 0, "").otherwise(F.concat(F.lit("<author><name>/u/"), user.cast("string"), F.lit("</name></author>"))),
+        F.lit("<title>"), "event_type", F.lit(' &amp;</title><content type="html">'),
+        F.when(user % 4 == 0, "x").otherwise(F.concat(F.lit("&lt;p&gt;"), "props", F.lit(" &amp;amp; more&lt;/p&gt;"))),
+        F.lit("</content></entry>"))
+    feeds = _pages_of_events(spark, folder, entry).withColumn(
+        "target", F.concat(F.lit("r/feed"), (F.col("page") % 5).cast("string")))
+    return payloads.parse_feeds(feeds, "html", "target")

@@ -93,15 +93,20 @@ def parse_feeds(df: DataFrame, xml: str, target: str, n: int | None = None) -> D
     """Syndication feeds to one row per entry with text."""
     entries = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1))
     entry = F.col("entry")
-    title = F.coalesce(strip(html_unescape(inner_html(entry, "title"))), F.lit(""))
-    content = element_text(html_unescape(inner_html(entry, "content")), "")
-    author = html_unescape(inner_html(inner_html(entry, "author"), "name"))
-    return (df.select(*df.columns, F.posexplode(entries if n is None else F.slice(entries, 1, n)).alias("entry_no", "entry"))
-            .select(*[c for c in df.columns if c not in (xml, target)], "entry_no",
-                    F.lit("Reddit").alias("platform"), F.col(target).alias("source_target"),
-                    F.coalesce(author, F.lit("Reddit User")).alias("author"),
-                    title_and_content(title, F.coalesce(content, F.lit(""))).alias("text"),
-                    F.lit(10).alias("score"), F.lit("Live Feed").alias("published_at"))
+    kept = [c for c in df.columns if c not in (xml, target)]
+    # Each step is a projection of its own, so that no step is worked out again for every use of it.
+    rows = df.select(*df.columns, F.posexplode(entries if n is None else F.slice(entries, 1, n)).alias("entry_no", "entry"))
+    parts = rows.select(*kept, F.col(target).alias("source_target"), "entry_no", inner_html(entry, "title").alias("_title"),
+                        inner_html(entry, "content").alias("_content"), inner_html(entry, "author").alias("_author"))
+    plain = parts.withColumns({"_title": html_unescape(F.col("_title")), "_content": html_unescape(F.col("_content")),
+                               "_author": inner_html(F.col("_author"), "name")})
+    texts = plain.withColumns({"_title": F.coalesce(strip(F.col("_title")), F.lit("")),
+                               "_content": F.coalesce(element_text(F.col("_content"), ""), F.lit("")),
+                               "_author": html_unescape(F.col("_author"))})
+    return (texts.select(*kept, "entry_no", F.lit("Reddit").alias("platform"), "source_target",
+                         F.coalesce("_author", F.lit("Reddit User")).alias("author"),
+                         title_and_content(F.col("_title"), F.col("_content")).alias("text"),
+                         F.lit(10).alias("score"), F.lit("Live Feed").alias("published_at"))
             .where("text <> ''"))
 
 
