@@ -26,7 +26,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: that with the smallest id."""
+    """One document of each component of the SimHash operator (3-word shingles, 2 bits) stays: that with the smallest id."""
     return simhash.keep_one(docs)
 
 

@@ -62,7 +62,7 @@ def vocabulary():
 def test_every_operator_takes_odd_and_empty_tables(spark, odd, none):
     calls = [
         lambda d: repetition.repetition(d), lambda d: mixing.mix(d), lambda d: quality.classify(d, labels(spark)),
-        lambda d: simhash.near_duplicates(d), lambda d: simhash.near_copies(d), lambda d: edit_embedding.compare_edits(d),
+        lambda d: simhash.near_duplicates(d), lambda d: edit_embedding.compare_edits(d),
         lambda d: edit_embedding.fingerprints(d), lambda d: extendible.shard_documents(d), lambda d: line_alignment.report(d),
     ]
     for call in calls:
@@ -239,76 +239,32 @@ def test_shards_are_split_exactly(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
-def test_near_copies_meet():
-    """Texts with scattered edits, similarity 0.8 to 0.86 over five words, share a shard key and lie within the radius."""
-    rng = np.random.default_rng(11)
-    total = met = 0
-    while total < 60:
-        words = [f"w{i}" for i in rng.zipf(1.3, 300) % 5000]
-        edited = list(words)
-        for at in rng.choice(300, rng.integers(5, 7), replace=False):
-            edited[at] = f"new{at}"
-        grams = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (words, edited)]
-        if not 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.86:
-            continue
-        (h, low, keys), (h2, low2, keys2) = (simhash.copy_print(" ".join(w)) for w in (words, edited))
-        apart = ((h ^ h2) & simhash.ALL_BITS).bit_count() + ((low ^ low2) & simhash.ALL_BITS).bit_count()
-        total, met = total + 1, met + (bool(set(keys) & set(keys2)) and apart <= simhash.COPY_RADIUS)
-        assert max(keys) < 1 << 31
-    assert met >= 57
-
-
-def edited_pairs():
-    """Texts of random words with scattered edits, in pairs of similarity 0.5 to 0.9, and texts of one print but unlike words."""
+def test_keep_one_against_all_pairs(spark):
+    """Texts of fingerprints within two bits, copies in other case and white space, empty texts and a hot group: one of each stays."""
     rng = np.random.default_rng(5)
     texts = []
-    for k in range(60):
-        words = [f"w{i}" for i in rng.integers(0, 100000, 120 if k % 2 else 300)]
-        edited = list(words)
-        for at in rng.choice(len(words), max(1, len(words) * (1 + k % 8) // 100), replace=False):
-            edited[at] = f"new{at}"
-        texts += [" ".join(words), " ".join(edited)]
-    repeated = "again " * 200
-    texts += [repeated + " ".join(f"{side}{i}" for i in range(60)) for side in "ab"]
-    texts += [texts[0].upper(), "one two", "one two", "", None]
-    return texts
-
-
-def shingle_links(texts, links):
-    grams = [{tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for t in texts]
-    parent, below = list(range(len(texts))), 0
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(grams):
-        for j, b in enumerate(grams[:i]):
-            if a == b or len(a & b) >= 0.8 * len(a | b):
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-            below += bool(a & b) and 0.5 <= len(a & b) / len(a | b) < 0.8
-    assert below >= links
-    return [find(i) for i in range(len(texts))]
-
-
-@pytest.mark.parametrize("limit", [simhash.SHARD_LIMIT, 1])
-def test_near_copies_against_all_pairs(spark, limit):
-    """Texts below similarity 0.8 stay apart although their prints lie within the radius, whatever the blocks."""
-    texts = edited_pairs()
-    roots = shingle_links(texts, 15)
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.near_copies(frame, limit=limit).collect()}
-    assert [found[i] for i in range(len(texts))] == roots
-    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(set(roots))
-
-
-def test_confirmed_links_connect():
-    """A member whose first hit is not alike is linked through its next one."""
-    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 30, 22, 11, 500)]
-    assert simhash.alike_parts(sets).tolist() == [0, 0, 0, 0, 4]
-    assert simhash.alike_parts(sets[:3]).tolist() == [0, 1, 1]
+    for k in range(40):
+        words = [f"w{i}" for i in rng.integers(0, 100000, 900)]
+        texts.append(" ".join(words))
+        for at in rng.choice(900, 1 + k % 4, replace=False):
+            words[at] = f"new{at}"
+        texts += [" ".join(words), "\n".join(words).upper()]
+    texts += ["hot copy"] * 200 + ["one two", " one\ttwo ", "", None, " \n"]
+    roots = components([plain_simhash(t) for t in texts], 2)
+    order = rng.permutation(len(texts)).tolist()
+    frame = spark.createDataFrame([(i, texts[i], f"extra{i}") for i in order], "doc_id long, text string, component string").repartition(7)
+    kept = {r.doc_id: r for r in simhash.keep_one(frame).collect()}
+    assert sorted(kept) == sorted(set(roots)) and 40 < len(kept) < 120
+    assert all(r.text == texts[i] and r.component == f"extra{i}" for i, r in kept.items())
+
+
+def test_pipeline_near_dedup_is_the_simhash_operator(spark, odd):
+    """The stage keeps the smallest id of each component that the operator finds with the contract's shingles and radius."""
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    found = simhash.near_duplicates(odd).where("component_id is not null").groupBy("component").agg(F.min("doc_id").alias("i"))
+    assert (simhash.SHINGLE_WORDS, simhash.RADIUS) == (3, 2)
+    kept = [r.doc_id for r in stage(spark, odd, "").collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(r.i for r in found.collect())
 
 
 @needs_tables

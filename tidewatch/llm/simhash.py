@@ -19,7 +19,6 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.common import connected_components, map_rows, row_key, utf8
-from tidewatch.llm.repetition import mixed
 from tidewatch.session import materialize
 
 SHINGLE_WORDS = 3
@@ -30,34 +29,21 @@ LEVELS = 4
 ALL_BITS = (1 << 64) - 1
 
 
-def bit_counts(text: str | None, words_each: int, digest, size: int, doubled: bool = False) -> tuple[int, np.ndarray]:
-    """Shingles of a text, and in how many of their ``size``-byte hashes each bit is set.
-
-    With ``doubled``, every hash is followed by its remixed 64-bit words, which gives twice the bits for one digest.
-    """
+def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of the word shingles of a text, repeats included; 0 without words."""
     words = utf8(text).lower().split()
-    wide = size * 2 if doubled else size
-    counts = np.zeros(wide * 8, dtype=np.int64)
     if not words:
-        return 0, counts
+        return 0
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts, ends = [0, *(ends + 1).tolist()], ends.tolist()
     n, width = max(len(words) - words_each, 0) + 1, min(words_each, len(words)) - 1
-    offsets = np.arange(wide, dtype=np.int64) * 256
+    counts, offsets = np.zeros(64, dtype=np.int64), np.arange(8, dtype=np.int64) * 256
     for low in range(0, n, 1 << 16):
-        raw = b"".join(digest(joined[starts[i]:ends[i + width]], SEED) for i in range(low, min(low + (1 << 16), n)))
-        block = np.frombuffer(raw, dtype=np.uint8).reshape(-1, size)
-        if doubled:
-            block = np.hstack([block, mixed(block.view("<u8")).view(np.uint8)])
-        tally = np.bincount((block + offsets).ravel(), minlength=256 * wide).reshape(wide, 256)
-        counts += (tally @ BITS_OF_BYTE).ravel()
-    return n, counts
-
-
-def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats included; 0 without words."""
-    n, counts = bit_counts(text, words_each, lambda raw, seed: xxhash.xxh64_digest(raw, seed)[::-1], 8)
+        raw = b"".join(xxhash.xxh64_digest(joined[starts[i]:ends[i + width]], SEED)[::-1]
+                       for i in range(low, min(low + (1 << 16), n)))
+        block = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8)
+        counts += (np.bincount((block + offsets).ravel(), minlength=256 * 8).reshape(8, 256) @ BITS_OF_BYTE).ravel()
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
@@ -195,193 +181,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
     return rows.join(members, "fp").select("doc_id", "_hash", "fp", "component_id", "component")
 
 
-COPY_WORDS = 5
-COPY_BITS = 128
-#: Shingle sets of similarity 0.8 differ on about 19 of 128 bits, unrelated texts on 64 (deviation 5.7).
-COPY_RADIUS = 28
-#: Least Jaccard similarity of the shingle sets of linked texts, as a fraction, and characters of a block of texts.
-SIMILARITY = (4, 5)
-BLOCK_CHARS = 16 << 20
-#: Shard keys come from a 256-bit print over shorter shingles, of which an edit touches fewer. So many key bits keep
-#: chance meetings rare up to some forty million documents; take more, and fewer bands, for larger tables.
-KEY_WORDS, BAND_BITS, BANDS, WEAK_BITS = 3, 27, 9, 8
-
-
-def copy_print(text: str | None) -> tuple[int, int, list[int]]:
-    """128-bit SimHash over COPY_WORDS words, as two signed halves, and the shard keys.
-
-    A key is a band of BAND_BITS bits of the KEY_WORDS print, as it is or with one of its
-    WEAK_BITS closest votes turned. Edits turn close votes first, so near copies share a key
-    even where two bits of the band differ.
-    """
-    size = COPY_BITS // 8
-    n, counts = bit_counts(text, COPY_WORDS, xxhash.xxh3_128_digest, size)
-    value = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
-    n, counts = bit_counts(text, KEY_WORDS, xxhash.xxh3_128_digest, size, doubled=True)
-    margin = np.abs(counts * 2 - n)
-    probe = int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
-    keys = []
-    for band in range(BANDS):
-        low = band * BAND_BITS
-        base = band << BAND_BITS | (probe >> low) & ((1 << BAND_BITS) - 1)
-        weak = np.argsort(margin[low:low + BAND_BITS], kind="stable")[:WEAK_BITS] if n > 1 else []
-        keys += [base, *(base ^ (1 << int(bit)) for bit in weak)]
-    return signed(value >> 64), signed(value & ALL_BITS), keys
-
-
-def _link_copies(rows: Iterator[tuple], radius: int) -> Iterator[tuple]:
-    """Rows (key, i, j, high, low, node) sorted by shard to edges between nodes."""
-    def flush():
-        if len(held) > 1:
-            values = list(held)
-            yield from ((held[a], held[b]) for a, b in shard_parts(values, radius))
-
-    key, held = None, {}
-    for shard, i, j, high, low, node in rows:
-        if (shard, i, j) != key:
-            yield from flush()
-            key, held = (shard, i, j), {}
-        held[(high & ALL_BITS) << 64 | low & ALL_BITS] = node
-    yield from flush()
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct 64-bit hashes of the COPY_WORDS-word shingles of a text, sorted; a shorter text is one shingle."""
-    words = utf8(text).lower().split()
-    found = {xxhash.xxh3_64_intdigest(b" ".join(words[i:i + COPY_WORDS]), SEED)
-             for i in range(max(len(words) - COPY_WORDS, 0) + 1)} if words else ()
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
-
-
-def words_hash(text: str | None) -> int:
-    """Signed 64-bit hash of the words of a text: equal for texts that differ in case and white space only."""
-    return signed(xxhash.xxh3_64_intdigest(b" ".join(utf8(text).lower().split()), SEED))
-
-
-def alike_parts(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the first member of its component, where sets of Jaccard similarity SIMILARITY or more are linked.
-
-    All pairs are counted, by the shingles they share, so no link depends on another one.
-    """
-    sizes, n = np.array([len(s) for s in sets]), len(sets)
-    _, ids, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    holders = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
-    cuts, at, first = np.append(0, np.cumsum(held)), np.append(0, np.cumsum(sizes)), np.arange(n)
-    above, below = SIMILARITY
-    for x in range(1, n):
-        mine = ids[at[x]:at[x + 1]]
-        lists = [holders[cuts[t]:cuts[t + 1]] for t in mine[held[mine] > 1]]
-        if not lists:
-            continue
-        shared = np.bincount(np.concatenate(lists), minlength=n)[:x]
-        # shared / (a + b - shared) >= above / below, in whole numbers.
-        near = (shared > 0) & ((above + below) * shared >= above * (sizes[:x] + sizes[x]))
-        for root in np.unique(first[:x][near]).tolist():
-            low, high = sorted((root, int(first[x])))
-            first[first == high] = low
-    return first
-
-
-def _confirm_copies(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows (family, i, j, unit, text) sorted by block to edges between units of confirmed similarity."""
-    def flush():
-        if len(units) > 1:
-            yield from ((units[x], units[root]) for x, root in enumerate(alike_parts(sets).tolist()) if root != x)
-
-    key, units, sets = None, [], []
-    for family, i, j, unit, text in rows:
-        if (family, i, j) != key:
-            yield from flush()
-            key, units, sets = (family, i, j), [], []
-        if not units or units[-1] != unit:
-            units.append(unit)
-            sets.append(shingles(text))
-    yield from flush()
-
-
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = COPY_RADIUS,
-                limit: int = SHARD_LIMIT) -> DataFrame:
-    """Component of every row: (doc_id, _hash, component_id, component), for copies of similarity 0.8 or more.
-
-    Wider than :func:`near_duplicates`: 128 bits over five words at ``radius`` bits make candidates.
-    Shards come from probed bands (see :func:`copy_print`) as no exact split exists for so many bits.
-    A shard of more than ``limit`` fingerprints is compared block by block.
-
-    Prints only propose: texts that candidates connect are a *family*, and inside a family
-    every pair is compared by its sets of five-word shingles. Only pairs of SIMILARITY
-    or more are linked, so a component holds no link below it. Texts of equal words are one unit.
-    """
-    kind = docs.schema[id].dataType.simpleString()
-    narrow = docs.select(F.col(id).alias("doc_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
-    rows = materialize(map_rows(narrow, lambda batch: ((i, h, len(t or ""), words_hash(t), *copy_print(t)) for i, h, t in batch),
-                                f"doc_id {kind}, _hash long, size long, unit long, high long, low long, keys array<int>")
-                       .withColumn("node", F.xxhash64("high", "low")), "copy-prints")
-    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    # Prints and keys follow from the words: those of any row of a unit will do.
-    units = materialize(rows.groupBy("unit").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("_hash", id_key.alias("_id"), "size")).alias("r"),
-        F.any_value(F.struct("node", "high", "low", "keys")).alias("p")), "units")
-    classes = materialize(units.groupBy("p.node").agg(F.any_value("p").alias("p")), "classes")
-    keyed = classes.select("node", F.explode("p.keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    met = _in_blocks(keyed.join(sizes, "key"), "node", F.ceil(F.col("_n") / limit))
-    # Most keys meet no other: prints are sent for those that do.
-    prints = classes.select("node", F.col("p.high").alias("high"), F.col("p.low").alias("low"))
-    dealt = (met.select("key", "i", "j", "node")
-             .join(prints, "node").select("key", "i", "j", "high", "low", "node")
-             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "high", "low"))
-    candidates = connected_components(map_rows(dealt, lambda batch: _link_copies(batch, radius), "a long, b long"))
-    roots = connected_components(_confirmed(docs, id, text, units, candidates, limit))
-    joined = materialize(units.select("unit", "least").join(roots, units.unit == roots.node, "left")
-                         .select("unit", "least", F.coalesce("root", "unit").alias("component")), "members")
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    members = materialize(joined.select("unit", "component").join(least, "component"), "components")
-    return rows.join(members, "unit").select("doc_id", "_hash", "component_id", "component")
-
-
-def _in_blocks(rows: DataFrame, by: str, blocks) -> DataFrame:
-    """Each row once for every pair (i, j) of blocks that its own block, dealt by column ``by``, is part of."""
-    return (rows.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(by, "_blocks").cast("int"))
-            .withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_blocks") - 1).cast("int"))))
-            .withColumn("i", F.least("_mine", "_other")).withColumn("j", F.greatest("_mine", "_other")))
-
-
-def _confirmed(docs: DataFrame, id: str, text: str, units: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
-    """Edges (a, b) between the units of each family that are alike by their shingle sets.
-
-    Only texts of families of two or more units are sent, once for each block of their family; a
-    block has about ``limit`` units or BLOCK_CHARS characters.
-    """
-    placed = (units.select("unit", "r.*", "p.node").join(candidates, "node", "left")
-              .select("unit", "_id", "_hash", "size", F.coalesce("root", "node").alias("family")))
-    placed = materialize(placed, "families")
-    large = (placed.groupBy("family").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_chars"))
-             .where(F.col("_n") > 1))
-    wanted = materialize(placed.join(large, "family").select("family", "unit", "_id", "_hash", F.ceil(F.greatest(
-        F.col("_n") / limit, F.col("_chars") / BLOCK_CHARS)).alias("_blocks")), "family-members")
-    id_key, hash_key = row_key(id, text)
-    texts = (docs.select(F.col(text).alias("text"), id_key, hash_key).join(wanted, ["_id", "_hash"])
-             # Repeated rows of one id and text are one unit.
-             .groupBy("unit", "family", "_blocks").agg(F.any_value("text").alias("text")))
-    dealt = (_in_blocks(texts, "unit", F.col("_blocks")).select("family", "i", "j", "unit", "text")
-             .repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "unit"))
-    return map_rows(dealt, _confirm_copies, "a long, b long")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of :func:`near_copies`: that with its smallest id.
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each component of :func:`near_duplicates`: that with its smallest id.
 
     Ties (the id on several texts, repeated rows, all ids null) keep the least
-    (text hash, row). Columns stay as they are.
+    (text hash, row). Null and empty texts are one component. Columns stay as they are.
     """
-    found = materialize(near_copies(docs), "near-copies")
-    stays = found.groupBy("component").agg(F.min(F.struct(
-        F.col("doc_id").isNull(), F.col("doc_id"), F.col("_hash"))).alias("_s"))
-    picked = found.join(stays, "component").where(
-        F.col("doc_id").eqNullSafe(F.col("_s.doc_id")) & (F.col("_hash") == F.col("_s._hash")))
-    kept = materialize(picked.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_hash")
-                       .agg(F.count(F.lit(1)).alias("_copies")), "kept-documents")
-    id_key, hash_key = row_key()
+    found = materialize(near_duplicates(docs, id, text, radius), "near-duplicates")
+    # Rows are merged inside tasks before both shuffles, so a component of any size sends one row a task.
+    each = found.groupBy("component", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_hash").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_copies"))
+    stays = each.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_id", "_copies")).alias("_s"))
+    kept = materialize(stays.select("_s._id", "_s._hash", "_s._copies"), "kept-documents")
+    id_key, hash_key = row_key(id, text)
     rows = docs.select(F.struct("*").alias("_row"), id_key, hash_key).join(kept.hint("merge"), ["_id", "_hash"])
     single = rows.where(F.col("_copies") == 1).select("_row.*")
     if kept.where(F.col("_copies") > 1).isEmpty():
