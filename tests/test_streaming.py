@@ -149,3 +149,27 @@ def test_repeats_are_dropped(spark):
     everything = jobs.event_time(jobs.read_folder(spark, folder, batch.schema), "created_at")
     got = drain(spark, jobs.drop_repeats(everything))
     assert sorted(r.raw_text for r in got.collect()) == sorted(r.raw_text for r in batch.select("raw_text").distinct().collect())
+
+
+def test_first_texts_of_all_batches(spark):
+    """One row of each text, of its first batch and there the first by id, whatever was replayed; a missing text is one text."""
+    root, folder = scratch_path(spark, "kept"), scratch_path(spark, "landing")
+    schema = "id bigint, raw_text string, created_at timestamp, batch_name string"
+    rng, want, parts = random.Random(3), {}, []
+    for n in range(4):
+        texts = ["hot"] * 60 + [rng.choice([f"t{rng.randrange(40)}", "", None]) for _ in range(60)]
+        # Ids fall from batch to batch, so the least id of a text is not the one that stays.
+        part = [(1000 * (4 - n) + i, text, dt.datetime(2024, 1, 1), "x") for i, text in enumerate(texts)]
+        for row in part:
+            want.setdefault(row[1], (n, row[0]))
+        rng.shuffle(part)
+        parts.append(spark.createDataFrame(part, schema).repartition(3))
+    for n, part in enumerate(parts):
+        part.write.mode("append").parquet(folder)
+        posts = jobs.read_folder(spark, folder, part.schema)
+        jobs.keep_first_texts(posts, root, f"{root}-cp").awaitTermination()
+        if n == 2:  # the batch's commit is lost with the driver: the next run replays it
+            Folder(spark, f"{root}-cp/commits").remove("2")
+            jobs.keep_first_texts(posts, root, f"{root}-cp").awaitTermination()
+    got = [(r.raw_text, (r.batch, r.id)) for r in jobs.kept_texts(spark, root, parts[0].schema).collect()]
+    assert len(got) == len(want) and dict(got) == want

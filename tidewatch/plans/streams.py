@@ -182,3 +182,16 @@ def stream_dedup(spark, folder):
     posts = table(_Landed(spark), folder, "documents").select(
         F.md5("text").alias("text_md5"), time.alias("created_at"))
     return drained(spark, jobs.drop_repeats(posts, "text_md5"), "distinct").select("text_md5")
+
+
+@query("stream_dedup_batches", f"""WITH p AS (SELECT *, ((doc_id - min(doc_id) OVER ()) * {PARTS}) // (max(doc_id) OVER () - min(doc_id) OVER () + 1) AS part
+  FROM documents)
+SELECT min(part) AS batch, arg_max(doc_id, (-part, doc_id)) AS id, md5(text) AS text_md5 FROM p GROUP BY text""")
+def stream_dedup_batches(spark, folder):
+    """The first post of each text over several batches: of one batch, that with the largest id stays here."""
+    posts = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), (-F.col("doc_id")).alias("newest"), F.col("text").alias("raw_text"),
+        F.timestamp_seconds(F.col("doc_id") + F.lit(1_700_000_000)).alias("created_at"))
+    root = scratch_path(spark, "kept")
+    _by_id(spark, posts, lambda stream: jobs.keep_first_texts(stream, root, f"{root}-checkpoint", order="newest"))
+    return jobs.kept_texts(spark, root, posts.schema).select("batch", "id", F.md5("raw_text").alias("text_md5"))

@@ -43,8 +43,9 @@ class VersionedTable:
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
         return newest.select(*self.keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(self._versioned().names)
 
-    def read(self) -> DataFrame:
-        return self._state().drop("batch")
+    def read(self, upto: int | None = None) -> DataFrame:
+        """Newest row of each key, or the newest that batches up to ``upto`` wrote: what a replay of the next one saw."""
+        return self._state(upto).drop("batch")
 
     def put(self, rows: DataFrame, batch: int) -> None:
         """Rows that ``batch`` changed, one for each key. Replaces what an earlier run of the batch wrote."""

@@ -1,12 +1,12 @@
 """Structured Streaming jobs built from the batch operators."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch.contracts import EWMA_ROWS, WINDOW_ROWS
 from tidewatch.functions.linear import LinearScorer
 from tidewatch.operators.anomaly import evaluate_window, is_negative
 from tidewatch.operators.enrich import enrich_comments
-from tidewatch.operators.ordering import ID_SLICE, ewma_over, id_bucket, latest, rolling_over, with_position
+from tidewatch.operators.ordering import ID_SLICE, ewma_over, id_bucket, keep_first, latest, rolling_over, with_position
 from tidewatch.operators.profile import attach
 from tidewatch.sources.folders import Folder
 from tidewatch.sources.store import alert_rows, append_alerts, append_comments
@@ -186,3 +186,33 @@ def drop_repeats(stream: DataFrame, text: str = "raw_text", time: str = "created
                  watermark: str = WATERMARK) -> DataFrame:
     """Drop texts repeated within the watermark, which also bounds the state."""
     return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark([text])
+
+
+def keep_first_texts(stream: DataFrame, root: str, checkpoint: str, text: str = "raw_text", order="id", **trigger):
+    """Keep one row of each text of the whole stream, in ``root/kept/batch=N``.
+
+    The row that stays is of the first batch that holds the text, and there the first by
+    ``order``; missing texts are one text. Nothing depends on a watermark: the keys of all texts so far are a
+    versioned table below ``root/seen``, 32 bytes a text. Copies are merged inside every
+    task before the shuffle, so a text that makes up a third of a batch sends one row a task.
+    A replayed batch looks at the keys of the batches before it and replaces its own folders.
+    """
+    key = F.sha2(F.concat(F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(text, F.lit(""))), 256)
+    key_schema = T.StructType([T.StructField("_key", T.BinaryType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = VersionedTable(spark, f"{root}/seen", key_schema, ["_key"])
+        first = keep_first(batch.withColumn("_key", F.unhex(key)), "_key", order)
+        path = _batch_folder(f"{root}/kept", number)
+        fresh = first.join(seen.read(number - 1), "_key", "left_anti")
+        fresh.write.mode("overwrite").parquet(path)
+        seen.put(spark.read.schema(key_schema).parquet(path), number)
+
+    return _for_each(stream, write, checkpoint, trigger)
+
+
+def kept_texts(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The rows that :func:`keep_first_texts` kept, with their batch number."""
+    batch = T.StructField("batch", T.LongType())
+    return spark.read.schema(T.StructType([*schema.fields, batch])).parquet(f"{root}/kept")
