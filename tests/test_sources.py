@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.session import scratch_path, scratch_root
-from tidewatch.sources import files, ledger, payloads, store
+from tidewatch.sources import files, ledger, payloads, store, upload
 
 
 def test_csv_keeps_odd_text(spark):
@@ -230,3 +230,27 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     session.conf = Conf(None)
     with pytest.raises(ValueError):
         scratch_root(session)
+
+
+def test_upload_is_cleaned_scored_and_appended(spark):
+    """Copies, blanks and what cleans to nothing go; absent fields take defaults; a repeated run adds nothing; all rows are read."""
+    root = scratch_path(spark, "upload")
+    path = f"{root}/mine.csv"
+    rows = [(9, "same, \"text\"", "Forum", "a"), (3, "same, \"text\"", "Blog", None), (1, "", "Blog", "b"), (2, None, "Blog", "b"),
+            (4, "http://only.link", "Blog", "b"), (5, "a terrible\nscam", None, "c")]
+    rows += [(100 + i, f"post number {i}", "Forum", "d") for i in range(300)]
+    df = spark.createDataFrame(rows, "nr int, Tweet_Text string, platform string, author string")
+    files.write_csv(df, path)
+    for _ in range(2):
+        upload.import_csv(spark, path, root, df.schema, order=["nr"], writer="import", batch=0)
+    upload.import_csv(spark, path, root, name="again")
+    stored = store.read_table(spark, root, "comments").collect()
+    first = {r.raw_text: r for r in stored if r.source_target == "mine.csv"}
+    assert len(stored) == 604 and len(first) == 302 and sorted(r.id for r in stored) == list(range(604))
+    copy, scam = first["same, \"text\""], first["a terrible\nscam"]
+    assert (copy.platform, copy.author) == ("Blog", "User") and (scam.platform, scam.author) == ("External CSV", "c")
+    assert scam.clean_text == "a terrible scam" and scam.sentiment == "NEGATIVE" and scam.created_at is not None
+    with pytest.raises(ValueError):
+        upload.comments_of_upload(df.select("nr", "author"), "none")
+    only = upload.comments_of_upload(df.select("Tweet_Text"), "texts").collect()
+    assert len(only) == 302 and {r.platform for r in only} == {"External CSV"}

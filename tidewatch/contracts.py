@@ -63,6 +63,7 @@ PROFANE_WORDS = (
 CRISIS_KEYWORDS = ("down", "outage", "scam", "boycott", "broken", "bug", "crash", "leak")
 TEXT_COLUMN_HINTS = ("text", "comment", "tweet", "content")
 UPLOAD_TEXT_COLUMN_HINTS = TEXT_COLUMN_HINTS + ("body",)
+UPLOAD_DEFAULTS = {"platform": "External CSV", "author": "User"}
 
 DOMAIN_STOP_WORDS = (
     "video", "post", "comment", "channel", "people", "really", "just", "like", "get", "make",

@@ -15,7 +15,8 @@ from tidewatch.plans.sql import (
     clean_sql, content_tokens_sql, has_word_sql, regex_remove, strip_sql, terms_cte, tfidf_cte,
     tokens_sql, unescape_sql,
 )
-from tidewatch.session import materialize
+from tidewatch.session import materialize, scratch_path
+from tidewatch.sources import files, store, upload
 
 PLATFORM = ["platform"]
 CLEAN = f"{CDOC},\nclean AS (SELECT *, {clean_sql('raw_text')} AS clean_text FROM cdoc)"
@@ -482,3 +483,23 @@ SELECT platform, term, round(score, 3) AS tfidf_score, contains(term, ' ') AS is
 def top_culprits_by_platform(spark, folder):
     negatives = _clean_documents(spark, folder).where("sentiment = 'NEGATIVE'")
     return terms.top_culprits(_stored(negatives, "platform"), n=5, keys=PLATFORM)
+
+
+@query("upload_import", f"""WITH first AS (SELECT text, min(doc_id) AS id, arg_min(lang, doc_id) AS platform FROM documents
+  WHERE text IS NOT NULL AND {strip_sql('text')} <> '' GROUP BY text),
+clean AS (SELECT id, text, platform, {clean_sql('text')} AS clean_text FROM first), {sentiment_sql('clean', 'clean_text')}, {TOXIC}
+SELECT 'upload.csv' AS source_target, coalesce(c.platform, 'External CSV') AS platform, 'User' AS author, md5(c.text) AS text_md5,
+  md5(c.clean_text) AS clean_md5, coalesce(s.label, 'NEUTRAL') AS sentiment, coalesce(s.score, 0.1) AS sentiment_score,
+  t.is_toxic::INT AS is_toxic, t.toxicity_score, (SELECT count(*) FROM clean WHERE clean_text <> '') AS ids
+FROM clean c JOIN toxic t USING (id) LEFT JOIN scored s USING (id) WHERE c.clean_text <> ''""")
+def upload_import(spark, folder):
+    """Documents as an uploaded file: found text column, cleaned, scored and appended with consecutive ids."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("platform"), F.col("text").alias("Post_Body"))
+    root = scratch_path(spark, "upload")
+    path = f"{root}/upload.csv"
+    files.write_csv(docs, path)
+    upload.import_csv(spark, path, root, docs.schema, order=["doc_id"])
+    stored = store.read_table(spark, root, "comments")
+    ids = stored.agg((F.max("id") - F.min("id") + 1).alias("ids")).scalar()
+    return stored.select("source_target", "platform", "author", F.md5("raw_text").alias("text_md5"), F.md5("clean_text").alias("clean_md5"),
+                         "sentiment", "sentiment_score", "is_toxic", "toxicity_score", ids.alias("ids"))
