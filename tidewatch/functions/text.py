@@ -7,6 +7,7 @@ Patterns spell out Unicode word and whitespace classes, because ``\\w`` and
 from functools import reduce
 from html.entities import html5
 import json
+import zlib
 
 from pyspark.sql import Column, functions as F
 
@@ -40,9 +41,22 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _literal_map(entries: dict, key_type: str) -> Column:
-    """A map constant that stays one node in the plan until it is folded."""
-    return F.from_json(F.lit(json.dumps(entries)), f"map<{key_type},string>")
+def constant(value, kind: str) -> Column:
+    """A nested constant that is one node in the plan and folded before tasks start."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def lookup(entries: dict, kind: str):
+    """Function from a text to its value of SQL type ``kind`` in ``entries``, NULL for others.
+
+    Keys lie in buckets by CRC-32: a map looks its keys up one by one, a bucket holds about one.
+    """
+    size = 1 << max(len(entries) - 1, 1).bit_length()
+    buckets: list[dict] = [{} for _ in range(size)]
+    for key, value in entries.items():
+        buckets[zlib.crc32(key.encode()) % size][key] = value
+    held = constant(buckets, f"array<map<string,{kind}>>")
+    return lambda key: F.element_at(F.element_at(held, (F.crc32(key) % size + 1).cast("int")), key)
 
 
 def _code_point(ref: Column) -> Column:
@@ -58,46 +72,49 @@ def _code_point(ref: Column) -> Column:
 
 
 def _numeric_reference(ref: Column) -> Column:
-    code = _code_point(ref)
-    surrogate = code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
-    control = (
-        code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | (code == 0x7F)
-        | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE)
-    )
-    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    special = F.element_at(_literal_map({str(k): v for k, v in _C1.items()}, "string"),
-                           code.cast("string"))
-    return (F.when(special.isNotNull(), special)
-            .when(surrogate, "�")
-            .when(control, "")
-            .otherwise(character))
+    special = lookup({str(k): v for k, v in _C1.items()}, "string")
+
+    def character(code):
+        surrogate = code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        control = (
+            code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | (code == 0x7F)
+            | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE)
+        )
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(special(code.cast("string")),
+                          F.when(surrogate, "�").when(control, "").otherwise(plain))
+
+    return bind(_code_point(ref), character)
 
 
 def _named_reference(ref: Column) -> Column:
     """The whole name, else its longest known prefix, else the reference itself."""
-    names = _literal_map(html5, "string")
+    meaning = lookup(html5, "string")
     name = F.substr(ref, F.lit(2))
     prefixes = [F.substr(name, F.lit(1), F.lit(n)) for n in range(_MAX_LEGACY_NAME, 1, -1)]
-    known = F.filter(F.array(name, *prefixes), lambda key: F.element_at(names, key).isNotNull())
-    return bind(
-        F.try_element_at(known, F.lit(1)),
+    cut = bind(
+        F.try_element_at(F.filter(F.array(*prefixes), lambda key: meaning(key).isNotNull()), F.lit(1)),
         lambda key: F.when(key.isNull(), ref).otherwise(
-            F.concat(F.element_at(names, key), F.substr(name, F.length(key) + 1))))
+            F.concat(meaning(key), F.substr(name, F.length(key) + 1))))
+    return F.coalesce(meaning(name), cut)
 
 
 def html_unescape(text: Column) -> Column:
     """Decode HTML character references; rows without ``&`` skip the work."""
     refs = F.regexp_extract_all(text, F.lit(f"({CHARACTER_REFERENCE})"), F.lit(1))
     gaps = F.split(text, CHARACTER_REFERENCE, -1)
-    decoded = F.transform(
-        refs,
-        lambda ref: F.when(ref.startswith("&#"), _numeric_reference(ref))
-        .otherwise(_named_reference(ref)),
-    )
-    tail = F.zip_with(decoded, F.slice(gaps, F.lit(2), F.size(refs)), lambda d, g: F.concat(d, g))
-    return (F.when(text.contains("&"),
-                   F.concat(F.element_at(gaps, 1), F.array_join(tail, "")))
-            .otherwise(text))
+
+    def joined(found):
+        decoded = F.transform(
+            found["refs"],
+            lambda ref: F.when(ref.startswith("&#"), _numeric_reference(ref))
+            .otherwise(_named_reference(ref)),
+        )
+        tail = F.zip_with(decoded, F.slice(found["gaps"], F.lit(2), F.size(found["refs"])), lambda d, g: F.concat(d, g))
+        return F.concat(F.element_at(found["gaps"], 1), F.array_join(tail, ""))
+
+    found = F.struct(refs.alias("refs"), gaps.alias("gaps"))
+    return F.when(text.contains("&"), bind(found, joined)).otherwise(text)
 
 
 def emoji_to_words(text: Column) -> Column:

@@ -1,29 +1,13 @@
 """Term vectors of one text as column expressions: counts and TF-IDF weights inside the row."""
 
-import json
-import zlib
-
 from pyspark.sql import Column, functions as F
 
-from tidewatch.functions.text import bind, terms
-
-
-def constant(value, kind: str) -> Column:
-    """A nested constant that is one node in the plan and folded before tasks start."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+from tidewatch.functions.text import bind, constant, lookup, terms
 
 
 def places(vocabulary):
-    """Function from a term to its 1-based number, NULL for others.
-
-    Terms lie in buckets by CRC-32: a map looks its keys up one by one, a bucket holds about one.
-    """
-    size = 1 << max(len(vocabulary) - 1, 1).bit_length()
-    buckets: list[dict[str, int]] = [{} for _ in range(size)]
-    for number, term in enumerate(vocabulary, start=1):
-        buckets[zlib.crc32(term.encode()) % size][term] = number
-    held = constant(buckets, "array<map<string,int>>")
-    return lambda term: F.element_at(F.element_at(held, (F.crc32(term) % size + 1).cast("int")), term)
+    """Function from a term to its 1-based number, NULL for others."""
+    return lookup({term: number for number, term in enumerate(vocabulary, start=1)}, "int")
 
 
 def sorted_terms(text: Column, stop_words) -> Column:
