@@ -7,6 +7,7 @@ Patterns spell out Unicode word and whitespace classes, because ``\\w`` and
 from functools import reduce
 from html.entities import html5
 import json
+import string
 import zlib
 
 from pyspark.sql import Column, functions as F
@@ -27,8 +28,14 @@ SPACES = rf"[{SPACE}]+"
 EDGE_SPACE = rf"^[{SPACE}]+|[{SPACE}]+$"
 TOKEN = rf"[{WORD}]+"
 LONG_TOKEN = rf"[{WORD}]{{2,}}"
+# Java looks listed ASCII characters up in one table, but tries Unicode classes one by one: the forms for
+# the scans of whole texts name the common characters first. They match the same.
+_ASCII_WORD = string.ascii_letters + string.digits + "_"
+_FAST_LONG_TOKEN = rf"[{_ASCII_WORD}{WORD}]{{2,}}+"
+_SYMBOL_OR_SPACE = rf"(?![{_ASCII_WORD} .,!?\-'\"])[^{WORD} .,!?\-'\"]"
 CHARACTER_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
+_EMOJI = f"[{''.join(sorted({emoji[0] for emoji, _ in EMOJI_WORDS}))}]"  # one of these starts each
 _MAX_LEGACY_NAME = max(len(name) for name in html5 if not name.endswith(";"))
 # What browsers show for numeric references into the C1 range.
 _C1 = {0: "�", 13: "\r"} | {
@@ -118,20 +125,27 @@ def html_unescape(text: Column) -> Column:
 
 
 def emoji_to_words(text: Column) -> Column:
-    return reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])),
-                  EMOJI_WORDS, text)
+    """Emoji as words; texts of ASCII characters alone skip the work."""
+    replaced = lambda t: reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), EMOJI_WORDS, t)
+    return bind(text, lambda t: F.when(F.octet_length(t) == F.char_length(t), t).when(~t.rlike(_EMOJI), t).otherwise(replaced(t)))
+
+
+def _remove(text: Column, marks, pattern: str, new: str = "") -> Column:
+    """Replace a pattern, each match of which holds one of ``marks``; texts without them are not scanned."""
+    return bind(text, lambda t: F.when(reduce(lambda a, b: a | b, [t.contains(mark) for mark in marks]),
+                                       F.regexp_replace(t, pattern, new)).otherwise(t))
 
 
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, "")
+    return _remove(text, ("://", "www."), URL)
 
 
 def strip_mentions(text: Column) -> Column:
-    return F.regexp_replace(text, MENTION, "")
+    return _remove(text, ("@",), MENTION)
 
 
 def unwrap_hashtags(text: Column) -> Column:
-    return F.regexp_replace(text, HASHTAG, "$1")
+    return _remove(text, ("#",), HASHTAG, "$1")
 
 
 def drop_symbols(text: Column) -> Column:
@@ -147,6 +161,17 @@ def squeeze_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def _blank_symbols_and_spaces(text: Column) -> Column:
+    """Symbols and every kind of whitespace as plain spaces, in one scan."""
+    return F.regexp_replace(text, _SYMBOL_OR_SPACE, " ")
+
+
+def _squeeze_plain_spaces(text: Column) -> Column:
+    """:func:`squeeze_spaces` for texts without other whitespace: a pattern only for runs that replacing leaves."""
+    short = reduce(lambda acc, run: F.replace(acc, F.lit(" " * run), F.lit(" ")), (4, 2, 2), text)
+    return F.trim(bind(short, lambda t: F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode whitespace."""
     return F.regexp_replace(text, EDGE_SPACE, "")
@@ -158,7 +183,7 @@ def is_blank(text: Column) -> Column:
 
 CLEANING_STEPS = (
     html_unescape, emoji_to_words, strip_urls, strip_mentions,
-    unwrap_hashtags, drop_symbols, squeeze_punctuation, squeeze_spaces,
+    unwrap_hashtags, _blank_symbols_and_spaces, squeeze_punctuation, _squeeze_plain_spaces,
 )
 
 
@@ -187,12 +212,14 @@ def whole_word(words) -> str:
     The words of a phrase may be separated by anything that is not a word.
     """
     alternatives = "|".join(word.replace(" ", rf"[^{WORD}]+") for word in words)
-    return rf"(?<![{WORD}])(?:{alternatives})(?![{WORD}])"
+    firsts = "".join(sorted({word[:1] for word in words}))
+    ahead = f"(?=[{firsts}])" if firsts.isalnum() and all(words) else ""
+    return rf"{ahead}(?<![{WORD}])(?:{alternatives})(?![{WORD}])"
 
 
 def content_tokens(text: Column, stop_words=STOP_WORDS) -> Column:
     """Lower-cased words of two or more characters that are not stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(LONG_TOKEN), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(_FAST_LONG_TOKEN), F.lit(0))
     return F.filter(words, lambda word: ~word.isin(*stop_words))
 
 
