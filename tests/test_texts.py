@@ -1,11 +1,15 @@
 import math
+import random
+import re
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.contracts import SENTIMENT_WEIGHTS, STOP_WORDS
 from tidewatch.functions import scoring
+from tidewatch.functions.linear import LinearScorer
 from tidewatch.operators import enrich, terms
 
 TEXTS = ["battery drain is terrible battery drain again", "refund refused after battery drain",
@@ -131,3 +135,30 @@ def test_lexicon_filters_split_the_table(spark):
     df = frame(spark, ["you idiot", "fine", None, "dies"])
     assert [r.id for r in enrich.containing(df, ["idiot", "die"]).collect()] == [0]
     assert sorted(r.id for r in enrich.not_containing(df, ["idiot", "die"]).collect()) == [1, 2, 3]
+
+
+def test_terms_are_counted_as_by_plain_python(spark, tmp_path):
+    """Pairs below the floor of the words are left out, repeated words, ties and missing texts are not."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("aa bb cc dd ee ff éé gg x the".split()) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    texts += [None, "", "aa", "zz zz zz zz", "the, the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    words = terms._stored_words(df, ["id"], "t", ("the",))
+    listed = {i: [w for w in re.findall(r"\w{2,}", t or "") if w != "the"] for i, t in enumerate(texts)}
+    found = {i: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for i, w in listed.items()}
+    total = sum(found.values(), Counter())
+    ranked = sorted(total, key=lambda term: (-total[term], term))
+    for size in (1, 9, 12, 40, 500):
+        vocabulary = sorted(ranked[:size])
+        assert terms.frequent_terms(words, size) == vocabulary
+        got = {r.id: {vocabulary[c.place - 1]: c.n for c in r._counts} for r in terms._vocabulary_counts(words, vocabulary).collect()}
+        assert got == {i: {term: n for term, n in counts.items() if term in vocabulary} for i, counts in found.items()}
+
+
+def test_models_of_the_same_terms_share_one_count(spark):
+    scorer = LinearScorer(("0", "1"), (0.1, -0.1), ("bad", "bad day", "day"), (1.0, 2.0, 1.5), ((0.1, 0.2), (0.3, -0.4), (0.5, 0.6)))
+    df = spark.createDataFrame([(1, "bad day bad"), (2, ""), (3, None)], "id int, clean_text string")
+    both = enrich.score_texts(df, sentiment=scorer, toxicity=scorer)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("AS _counts") == 1
+    alone = enrich.score_texts(df, sentiment=scorer, toxicity=replace(scorer, stop_words=scorer.stop_words + ("unused",)))
+    assert both.orderBy("id").collect() == alone.orderBy("id").collect()

@@ -1,14 +1,24 @@
-"""TF-IDF term mining: one counting shuffle for the vocabulary, weights inside each document's row."""
+"""TF-IDF term mining: words split once, pairs counted as numbers in Arrow batches, weights inside each document's row."""
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.contracts import MAX_TERMS, STOP_WORDS
-from tidewatch.functions.text import bigrams, bind, content_tokens, terms
-from tidewatch.functions.vectors import constant, places, sorted_terms, term_counts, tfidf_vector
+from tidewatch.functions.text import bigrams, bind, constant, content_tokens, terms
+from tidewatch.functions.vectors import sorted_terms, term_counts, tfidf_vector
 from tidewatch.operators.profile import attach, with_stats
+from tidewatch.session import materialize
 
 MAX_BROADCAST_TERMS = 1 << 18
 
+# Executors need not have this package: functions of tasks travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def term_rows(df: DataFrame, text: str, id: str = "id", keys=(),
               stop_words=STOP_WORDS) -> DataFrame:
@@ -47,12 +57,108 @@ def _idf(documents, df):
     return F.ln((1 + documents) / (1 + df)) + 1
 
 
+def _stored_words(df: DataFrame, columns, text: str, stop_words) -> DataFrame:
+    """``columns`` and ``_words``, the content words of each text: read by several passes, so split once."""
+    return materialize(df.select(*columns, content_tokens(F.col(text), stop_words).alias("_words")), "words")
+
+
+def _numbers(words: pa.ListArray, known: pa.Array):
+    """Row of every word of a batch, and its number in ``known`` or -1."""
+    numbers = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1)
+    return pc.list_parent_indices(words).to_numpy(), numbers.to_numpy().astype(np.int64)
+
+
+def _pairs(rows, numbers, size: int):
+    """Row and code of every two neighbours that have numbers."""
+    fits = (rows[1:] == rows[:-1]) & (numbers[1:] >= 0) & (numbers[:-1] >= 0)
+    return rows[1:][fits], (numbers[:-1] * size + numbers[1:])[fits]
+
+
+def _pair_counts(words: DataFrame, listed: list[str]) -> DataFrame:
+    """(code, term_count) of neighbours that are both in ``listed``: left number * size + right number."""
+    size = len(listed)
+
+    def count(batches):
+        known = pa.array(listed, pa.string())
+        for batch in batches:
+            codes, n = np.unique(_pairs(*_numbers(batch.column(0), known), size)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+
+    return words.select("_words").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("term_count"))
+
+
+def frequent_terms(words: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
+    """The most frequent terms of :func:`_stored_words`, ties in term order, as a list in term order.
+
+    A pair is no more frequent than either of its words. Words are counted first; with the count of the
+    ``max_terms``-th of them as a floor, only pairs of words at or above it need counting, as numbers.
+    """
+    counts = materialize(words.select(F.explode("_words").alias("term")).groupBy("term")
+                         .agg(F.count(F.lit(1)).alias("term_count")), "counts")
+    best = counts.orderBy(F.desc("term_count"), "term").limit(max_terms).collect()
+    floor = best[-1].term_count if best and len(best) == max_terms else 1
+    common = counts.where(F.col("term_count") >= floor)
+    # Ties at the floor are not bounded by max_terms.
+    listed = [r.term for r in common.select("term").limit(MAX_BROADCAST_TERMS + 1).collect()]
+    if len(listed) > MAX_BROADCAST_TERMS:
+        rows = words.select(F.explode(F.concat("_words", bigrams(F.col("_words")))).alias("term"))
+        return sorted(r.term for r in vocabulary(rows, max_terms).collect())
+    names, size = constant(listed, "array<string>"), max(len(listed), 1)
+    named = lambda code: F.element_at(names, (code + 1).cast("int"))
+    frequent = _pair_counts(words, listed).where(F.col("term_count") >= floor)
+    left, right = F.floor(F.col("code") / size), F.col("code") % size
+    pairs = frequent.select(F.concat_ws(" ", named(left), named(right)).alias("term"), "term_count")
+    chosen = common.unionByName(pairs).orderBy(F.desc("term_count"), "term").limit(max_terms)
+    return sorted(r.term for r in chosen.collect())
+
+
+def _vocabulary_counts(words: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``_counts`` in place of ``_words``: (place, n) of the terms found, in the order of their 1-based places."""
+    places = {term: place for place, term in enumerate(vocabulary, start=1)}
+    singles = sorted({part for term in vocabulary for part in term.split(" ")})
+    number, size, step = {word: i for i, word in enumerate(singles)}, len(singles), len(vocabulary) + 1
+    coded = sorted((number[left] * size + number[right], places[term]) for term in vocabulary
+                   for left, pair, right in [term.partition(" ")] if pair)
+    kept = [c for c in words.columns if c != "_words"]
+
+    def count(batches):
+        known = pa.array(singles, pa.string())
+        place = np.array([places.get(word, 0) for word in singles], np.int64)
+        codes = np.array([code for code, _ in coded], np.int64)
+        paired = np.array([found for _, found in coded], np.int64)
+        for batch in batches:
+            rows, numbers = _numbers(batch.column("_words"), known)
+            pair_rows, pairs = _pairs(rows, numbers, size)
+            fits = np.isin(pairs, codes)
+            rows, found = rows[numbers >= 0], place[numbers[numbers >= 0]]
+            cells, n = np.unique(np.concatenate([
+                rows[found > 0] * step + found[found > 0],
+                pair_rows[fits] * step + paired[np.searchsorted(codes, pairs[fits])]]), return_counts=True)
+            ends = np.searchsorted(cells, np.arange(batch.num_rows + 1) * step)
+            held = pa.StructArray.from_arrays([pa.array(cells % step, pa.int32()), pa.array(n, pa.int32())], ["place", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "_counts"])
+
+    schema = words.select(*kept, F.lit(None).cast("array<struct<place:int,n:int>>").alias("_counts")).schema
+    return words.mapInArrow(count, schema)
+
+
+def _inverse_frequencies(counted: DataFrame, found: list[str], documents: int) -> list[float]:
+    """idf of each term, from the ``_counts`` of every document."""
+    sizes = (counted.select(F.explode("_counts.place").alias("place")).groupBy("place")
+             .agg(_idf(F.lit(documents), F.count(F.lit(1))).alias("idf")).collect())
+    held = {r.place: r.idf for r in sizes}
+    return [held[place] for place in range(1, len(found) + 1)]
+
+
 def vocabulary_idf(df: DataFrame, text: str, max_terms: int = MAX_TERMS, stop_words=STOP_WORDS) -> tuple[list[str], list[float], int]:
-    """Terms in order, their idf, and the number of documents; at most ``max_terms`` rows come to the driver."""
-    documents = df.count()
-    found = (counted_vocabulary(df, text, max_terms, (), stop_words)
-             .select("term", _idf(F.lit(documents), F.col("df")).alias("idf")).orderBy("term").collect())
-    return [r.term for r in found], [r.idf for r in found], documents
+    """Terms in order, their idf, and the number of documents.
+
+    To the driver come ``max_terms`` rows, and the words tied with the last of them, up to MAX_BROADCAST_TERMS.
+    """
+    words = _stored_words(df, [], text, stop_words)
+    documents, found = words.count(), frequent_terms(words, max_terms)
+    return found, _inverse_frequencies(_vocabulary_counts(words, found), found, documents), documents
 
 
 def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
@@ -62,7 +168,7 @@ def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
 
     idf = ln((1 + n) / (1 + df)) + 1. The vocabulary is a literal of the plan, or with keys
     one small row for each key, and a document is counted and weighted inside its row: nothing but
-    the counts of :func:`counted_vocabulary` is shuffled. Vocabularies beyond MAX_BROADCAST_TERMS are joined.
+    the counts of terms is shuffled. Vocabularies beyond MAX_BROADCAST_TERMS are joined.
     """
     keys = list(keys)
     if max_terms > MAX_BROADCAST_TERMS:
@@ -76,12 +182,15 @@ def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
         held = held.select(*keys, "documents", F.col("_v.term").alias("_terms"), numbers.alias("_places"),
                            F.transform("_v", lambda v: _idf(F.col("documents"), v["df"])).alias("_idf"))
         narrow = attach(narrow, held, keys, "inner")
-        place, idf, names, documents = (lambda term: F.element_at(F.col("_places"), term)), F.col("_idf"), F.col("_terms"), F.col("documents")
+        counted = narrow.withColumn("_counts", term_counts(
+            F.col("_text"), lambda term: F.element_at(F.col("_places"), term), stop_words))
+        idf, names, documents = F.col("_idf"), F.col("_terms"), F.col("documents")
     else:
-        found, weights, size = vocabulary_idf(df, text, max_terms, stop_words)
-        place, names, documents = places(found), constant(found, "array<string>"), F.lit(size)
-        idf = constant(weights, "array<double>")
-    counted = narrow.withColumn("_counts", term_counts(F.col("_text"), place, stop_words))
+        words = _stored_words(narrow, [id], "_text", stop_words)
+        size, found = words.count(), frequent_terms(words, max_terms)
+        counted = materialize(_vocabulary_counts(words, found), "counted")
+        names, documents = constant(found, "array<string>"), F.lit(size)
+        idf = constant(_inverse_frequencies(counted, found, size), "array<double>")
     cells = counted.select(*keys, id, documents.alias("documents"), idf.alias("_weights"), names.alias("_words"),
                            F.explode(tfidf_vector(F.col("_counts"), idf, sublinear)).alias("_c"))
     return cells.select(*keys, id, F.element_at("_words", F.col("_c.place")).alias("term"), F.col("_c.n").cast("bigint").alias("tf"),
