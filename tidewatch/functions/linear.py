@@ -35,7 +35,11 @@ class LinearScorer:
         if len(self.terms) > MAX_SCORER_TERMS:
             raise ValueError(f"more than {MAX_SCORER_TERMS} terms")
 
-    def margins(self, text: Column) -> Column:
+    def counts(self, text: Column) -> Column:
+        """(place, n) of the model's terms in a text: the same for all models of the same terms."""
+        return term_counts(text, places(self.terms), self.stop_words)
+
+    def margins(self, text: Column, counts: Column | None = None) -> Column:
         """One number for each label: the bias plus the weights of the normalised TF-IDF vector."""
         idf, weights = constant(self.idf, "array<double>"), constant(self.weights, "array<array<double>>")
         start = F.struct(F.lit(0.0).alias("square"), constant([0.0] * len(self.labels), "array<double>").alias("sums"))
@@ -49,22 +53,22 @@ class LinearScorer:
             size = F.when(held["square"] > 0, F.sqrt(held["square"])).otherwise(1.0)
             return F.zip_with(held["sums"], constant(self.bias, "array<double>"), lambda s, b: s / size + b)
 
-        return F.aggregate(term_counts(text, places(self.terms), self.stop_words), start, add, finish)
+        return F.aggregate(self.counts(text) if counts is None else counts, start, add, finish)
 
-    def probabilities(self, text: Column) -> Column:
-        return softmax(self.margins(text))
+    def probabilities(self, text: Column, counts: Column | None = None) -> Column:
+        return softmax(self.margins(text, counts))
 
-    def probability(self, text: Column, label: str) -> Column:
-        return F.element_at(self.probabilities(text), self.labels.index(label) + 1)
+    def probability(self, text: Column, label: str, counts: Column | None = None) -> Column:
+        return F.element_at(self.probabilities(text, counts), self.labels.index(label) + 1)
 
-    def prediction(self, text: Column) -> Column:
+    def prediction(self, text: Column, counts: Column | None = None) -> Column:
         """(label, score): the most likely label, the first of equals, and its probability."""
         names = F.array(*[F.lit(x) for x in self.labels])
-        return bind(self.probabilities(text), lambda p: bind(F.array_max(p), lambda best: F.struct(
+        return bind(self.probabilities(text, counts), lambda p: bind(F.array_max(p), lambda best: F.struct(
             F.element_at(names, F.array_position(p, best).cast("int")).alias("label"), best.alias("score"))))
 
 
-def model_sentiment(text: Column, scorer: LinearScorer | None) -> Column:
+def model_sentiment(text: Column, scorer: LinearScorer | None, counts: Column | None = None) -> Column:
     """Label, score and compound of the trained model and the lexicon in consensus.
 
     Blank and missing texts are neutral; without a model the lexicon alone decides.
@@ -72,6 +76,6 @@ def model_sentiment(text: Column, scorer: LinearScorer | None) -> Column:
     polarity = lexicon_sentiment(text)
     if scorer is None:
         return polarity
-    both = F.struct(scorer.prediction(text).alias("model"), polarity["compound"].alias("compound"))
+    both = F.struct(scorer.prediction(text, counts).alias("model"), polarity["compound"].alias("compound"))
     blended = bind(both, lambda x: consensus(x["model"]["label"], x["model"]["score"], x["compound"]))
     return F.when(is_blank(text), neutral_result()).otherwise(blended)

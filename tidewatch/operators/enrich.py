@@ -31,14 +31,18 @@ def score_texts(df: DataFrame, text: str = "clean_text", sentiment: LinearScorer
 
     Trained models blend with the lexicon and the word rules; without them, those alone decide.
     """
-    ml = toxicity.probability(F.col(text), toxic_label) if toxicity else None
-    scored = (df.withColumn("_sentiment", model_sentiment(F.col(text), sentiment))
-              .withColumn("_toxicity", toxicity_rules(F.col(text), ml)))
+    # Models of the same terms share one count of them; a column of its own, so that it is made once.
+    shared = sentiment and toxicity and (sentiment.terms, sentiment.stop_words) == (toxicity.terms, toxicity.stop_words)
+    counted = df.withColumn("_counts", sentiment.counts(F.col(text))) if shared else df
+    counts = F.col("_counts") if shared else None
+    ml = toxicity.probability(F.col(text), toxic_label, counts) if toxicity else None
+    scored = counted.withColumns({"_sentiment": model_sentiment(F.col(text), sentiment, counts),
+                                  "_toxicity": toxicity_rules(F.col(text), ml)})
     return (scored.withColumn("sentiment", F.col("_sentiment.label"))
             .withColumn("sentiment_score", F.col("_sentiment.score"))
             .withColumn("is_toxic", F.col("_toxicity.is_toxic").cast("int"))
             .withColumn("toxicity_score", F.col("_toxicity.toxicity_score"))
-            .drop("_sentiment", "_toxicity"))
+            .drop("_sentiment", "_toxicity", "_counts"))
 
 
 def enrich_comments(df: DataFrame, text: str = "raw_text", sentiment: LinearScorer | None = None,

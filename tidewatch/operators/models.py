@@ -92,9 +92,12 @@ def logistic_regression(rows: int, c: float = 1.0, max_iter: int = 200) -> Logis
 def fit_classifier(train: DataFrame, text: str, label: str, kind: str = "logistic_regression",
                    id: str = "id", max_terms: int = 2500, sublinear: bool = True, c: float = 1.5,
                    smoothing: float = 0.1, max_iter: int = 500,
-                   stop_words=ENGLISH_STOP_WORDS) -> PipelineModel:
-    """Vectorizer, label index, classifier and label names as one saved pipeline."""
-    vectorizer = fit_tfidf(train, text, id, max_terms, sublinear, stop_words)
+                   stop_words=ENGLISH_STOP_WORDS, vectorizer: PipelineModel | None = None) -> PipelineModel:
+    """Vectorizer, label index, classifier and label names as one saved pipeline.
+
+    A vectorizer already fitted to ``train`` serves several labels.
+    """
+    vectorizer = vectorizer or fit_tfidf(train, text, id, max_terms, sublinear, stop_words)
     features = (vectorizer.transform(train).select(F.col(label).cast("string").alias(label),
                                                    "features")
                 .persist(StorageLevel.MEMORY_AND_DISK))

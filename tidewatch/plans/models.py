@@ -3,6 +3,7 @@ iterative solvers depend on the solver and are tested on small data instead."""
 
 from pyspark.sql import functions as F
 
+from tidewatch.contracts import ENGLISH_STOP_WORDS
 from tidewatch.operators import enrich, models
 from tidewatch.plans.registry import CDOC, comment_documents, query, table
 from tidewatch.plans.sql import clean_sql, naive_bayes_cte
@@ -102,8 +103,9 @@ SELECT id, md5(clean_text) AS clean_md5, CASE WHEN abs(c) <= 0.05 THEN 'NEUTRAL'
 def _scorers(spark, folder):
     """Sentiment and toxicity models of the labelled documents, saved and loaded as a job would do."""
     rows, path = _labelled(spark, folder), scratch_path(spark, "scorers")
+    vectorizer = models.fit_tfidf(rows, "clean_text", max_terms=500, sublinear=True, stop_words=ENGLISH_STOP_WORDS)
     for label in ("sentiment", "toxic"):
-        fitted = models.fit_classifier(rows, "clean_text", label, "naive_bayes", max_terms=500)
+        fitted = models.fit_classifier(rows, "clean_text", label, "naive_bayes", max_terms=500, vectorizer=vectorizer)
         models.save_scorer(spark, models.linear_scorer(fitted), f"{path}/{label}")
     return [models.load_scorer(spark, f"{path}/{label}") for label in ("sentiment", "toxic")]
 
