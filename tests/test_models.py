@@ -99,6 +99,18 @@ def test_scorer_by_hand(spark):
         LinearScorer(("a",), (0.0,), ("t",) * ((1 << 18) + 1), (), ())
 
 
+@pytest.mark.parametrize("sublinear", [True, False])
+def test_features_equal_the_stages_of_the_pipeline(spark, posts, sublinear):
+    vectorizer = M.fit_tfidf(posts, "clean_text", max_terms=30, sublinear=sublinear, stop_words=("the", "of"))
+    rows = posts.select("id", "clean_text").unionByName(odd_texts(spark).where("clean_text is not null")).drop("id")
+    _, fitted = M._fit_features(posts, ["id"], "clean_text", 30, sublinear, ("the", "of"))
+    for df, key, got in ((rows, "clean_text", M.with_features(rows, vectorizer)), (posts, "id", fitted)):
+        found = {r[key]: r.features for r in got.collect()}
+        for r in vectorizer.transform(df).collect():
+            assert found[r[key]].size == r.features.size == 30
+            assert found[r[key]].toArray() == pytest.approx(r.features.toArray(), abs=1e-15)
+
+
 def test_logistic_weights_are_the_optimum(spark, posts):
     """The gradient of the penalised log-likelihood vanishes at the fitted weights."""
     c = 1.5

@@ -21,7 +21,7 @@ from tidewatch.functions.text import LONG_TOKEN, title_case_theme
 from tidewatch.operators.evaluation import accuracy, class_scores, weighted_scores
 from tidewatch.operators.ordering import stratified_split, union_all
 from tidewatch.operators.profile import beside
-from tidewatch.operators.terms import vocabulary_idf
+from tidewatch.operators.terms import count_vectors, counted_terms, text_vectors
 from tidewatch.session import materialize
 
 MAX_VOCABULARY = 1 << 18
@@ -35,50 +35,7 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         super().__init__()
         self._set(**{k: v for k, v in (("inputCol", inputCol), ("outputCol", outputCol)) if v})
 
-    def _transform(self, dataset):
-        damped = F.transform(vector_to_array(self.getInputCol()),
-                             lambda x: F.when(x > 0, 1 + F.ln(x)).otherwise(0.0))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(damped))
-
-
-def fit_tfidf(df: DataFrame, text: str, id: str = "id", max_terms: int = MAX_TERMS,
-              sublinear: bool = False, stop_words=STOP_WORDS) -> PipelineModel:
-    """Fit a vectorizer: vocabulary and idf are counted by Spark and kept as stages.
-
-    Only the vocabulary comes back to the driver; ``max_terms`` bounds it.
-    """
-    if max_terms > MAX_VOCABULARY:
-        raise ValueError(f"max_terms above {MAX_VOCABULARY}")
-    found, idf, _ = vocabulary_idf(df, text, max_terms, stop_words)
-    if not found:
-        raise ValueError("empty vocabulary")
-    counts = CountVectorizerModel.from_vocabulary(found, inputCol="_terms", outputCol="_tf")
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=LONG_TOKEN, gaps=False),
-        StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stop_words),
-                         locale="en_US"),
-        NGram(n=2, inputCol="_kept", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
-        counts,
-    ]
-    tf = "_tf"
-    if sublinear:
-        stages += [SublinearTf(inputCol="_tf", outputCol="_damped"),
-                   VectorAssembler(inputCols=["_damped"], outputCol="_sparse")]
-        tf = "_sparse"
-    stages += [
-        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=tf,
-                           outputCol="_weighted"),
-        Normalizer(p=2.0, inputCol="_weighted", outputCol="features"),
-    ]
-    return PipelineModel(stages)
-
-
-def vocabulary_of(vectorizer: PipelineModel) -> list[str]:
-    return next(s for s in vectorizer.stages if isinstance(s, CountVectorizerModel)).vocabulary
-
-
-def naive_bayes(smoothing: float = 1.0) -> NaiveBayes:
+    def naive_bayes(smoothing: float = 1.0) -> NaiveBayes:
     return NaiveBayes(modelType="multinomial", smoothing=smoothing, labelCol="_label")
 
 
@@ -97,10 +54,12 @@ def fit_classifier(train: DataFrame, text: str, label: str, kind: str = "logisti
 
     A vectorizer already fitted to ``train`` serves several labels.
     """
-    vectorizer = vectorizer or fit_tfidf(train, text, id, max_terms, sublinear, stop_words)
-    features = (vectorizer.transform(train).select(F.col(label).cast("string").alias(label),
-                                                   "features")
-                .persist(StorageLevel.MEMORY_AND_DISK))
+    named = train.select(F.col(label).cast("string").alias(label), text)
+    if vectorizer:
+        features = with_features(named, vectorizer).select(label, "features")
+    else:
+        vectorizer, features = _fit_features(named, [label], text, max_terms, sublinear, stop_words)
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = features.count()
         indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc",
@@ -152,17 +111,16 @@ def linear_scorer(model: PipelineModel | None) -> LinearScorer | None:
     """
     if model is None:
         return None
-    stage = lambda kind: next((s for s in model.stages if isinstance(s, kind)), None)
-    naive, logistic = stage(NaiveBayesModel), stage(LogisticRegressionModel)
+    naive, logistic = _stage(model, NaiveBayesModel), _stage(model, LogisticRegressionModel)
     if naive:
         matrix, bias = naive.theta, naive.pi
     else:
         matrix, bias = logistic.coefficientMatrix, logistic.interceptVector
     return LinearScorer(
-        tuple(stage(IndexToString).getLabels()), tuple(bias.toArray().tolist()), tuple(vocabulary_of(model)),
-        tuple(stage(ElementwiseProduct).getScalingVec().toArray().tolist()),
-        tuple(map(tuple, matrix.toArray().T.tolist())), stage(SublinearTf) is not None,
-        tuple(stage(StopWordsRemover).getStopWords()))
+        tuple(_stage(model, IndexToString).getLabels()), tuple(bias.toArray().tolist()), tuple(vocabulary_of(model)),
+        tuple(_stage(model, ElementwiseProduct).getScalingVec().toArray().tolist()),
+        tuple(map(tuple, matrix.toArray().T.tolist())), _stage(model, SublinearTf) is not None,
+        tuple(_stage(model, StopWordsRemover).getStopWords()))
 
 
 def scorer_table(spark, scorer: LinearScorer) -> DataFrame:
@@ -245,10 +203,9 @@ def root_cause_clusters(df: DataFrame, text: str = "clean_text", id: str = "id",
     schema = "cluster_id int, theme string, comment_count bigint, top_keywords string"
     if df.limit(k).count() < k:
         return spark.createDataFrame([], schema)
-    vectorizer = fit_tfidf(df, text, id, max_terms)
+    vectorizer, features = _fit_features(df, [], text, max_terms, False, STOP_WORDS)
     terms = vocabulary_of(vectorizer)
-    features = (vectorizer.transform(df).select("features")
-                .persist(StorageLevel.MEMORY_AND_DISK))
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         runs = [KMeans(k=k, seed=SEED + start, maxIter=300).fit(features)
                 for start in range(starts)]

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.contracts import MAX_TERMS, STOP_WORDS
 from tidewatch.functions.text import bigrams, bind, constant, content_tokens, terms
@@ -112,35 +113,83 @@ def frequent_terms(words: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     return sorted(r.term for r in chosen.collect())
 
 
-def _vocabulary_counts(words: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``_counts`` in place of ``_words``: (place, n) of the terms found, in the order of their 1-based places."""
+def _counter(vocabulary: list[str]):
+    """Function from the words of a batch's texts to (place, n) of the terms found, in the order of their 1-based places."""
     places = {term: place for place, term in enumerate(vocabulary, start=1)}
     singles = sorted({part for term in vocabulary for part in term.split(" ")})
     number, size, step = {word: i for i, word in enumerate(singles)}, len(singles), len(vocabulary) + 1
     coded = sorted((number[left] * size + number[right], places[term]) for term in vocabulary
                    for left, pair, right in [term.partition(" ")] if pair)
-    kept = [c for c in words.columns if c != "_words"]
+    known = pa.array(singles, pa.string())
+    place = np.array([places.get(word, 0) for word in singles], np.int64)
+    codes = np.array([code for code, _ in coded], np.int64)
+    paired = np.array([found for _, found in coded], np.int64)
+
+    def count(words: pa.ListArray) -> pa.ListArray:
+        rows, numbers = _numbers(words, known)
+        pair_rows, pairs = _pairs(rows, numbers, size)
+        fits = np.isin(pairs, codes)
+        rows, found = rows[numbers >= 0], place[numbers[numbers >= 0]]
+        cells, n = np.unique(np.concatenate([
+            rows[found > 0] * step + found[found > 0],
+            pair_rows[fits] * step + paired[np.searchsorted(codes, pairs[fits])]]), return_counts=True)
+        ends = np.searchsorted(cells, np.arange(len(words) + 1) * step)
+        held = pa.StructArray.from_arrays([pa.array(cells % step, pa.int32()), pa.array(n, pa.int32())], ["place", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
+
+    return count
 
-    def count(batches):
-        known = pa.array(singles, pa.string())
-        place = np.array([places.get(word, 0) for word in singles], np.int64)
-        codes = np.array([code for code, _ in coded], np.int64)
-        paired = np.array([found for _, found in coded], np.int64)
+
+def _vocabulary_counts(words: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``_counts`` in place of ``_words``: (place, n) of the terms found, in the order of their 1-based places."""
+    count, kept = _counter(vocabulary), [c for c in words.columns if c != "_words"]
+
+    def counted(batches):
         for batch in batches:
-            rows, numbers = _numbers(batch.column("_words"), known)
-            pair_rows, pairs = _pairs(rows, numbers, size)
-            fits = np.isin(pairs, codes)
-            rows, found = rows[numbers >= 0], place[numbers[numbers >= 0]]
-            cells, n = np.unique(np.concatenate([
-                rows[found > 0] * step + found[found > 0],
-                pair_rows[fits] * step + paired[np.searchsorted(codes, pairs[fits])]]), return_counts=True)
-            ends = np.searchsorted(cells, np.arange(batch.num_rows + 1) * step)
-            held = pa.StructArray.from_arrays([pa.array(cells % step, pa.int32()), pa.array(n, pa.int32())], ["place", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "_counts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), count(batch.column("_words"))], [*kept, "_counts"])
 
     schema = words.select(*kept, F.lit(None).cast("array<struct<place:int,n:int>>").alias("_counts")).schema
-    return words.mapInArrow(count, schema)
+    return words.mapInArrow(counted, schema)
+
+
+def _weigher(idf: list[float], sublinear: bool):
+    """Function from the (place, n) of a batch's texts to the fields of their sparse, L2-normalised TF-IDF vectors."""
+    weight_of = np.array(idf, np.float64)
+
+    def weigh(counts: pa.ListArray) -> pa.StructArray:
+        rows, cells, texts = pc.list_parent_indices(counts).to_numpy(), counts.flatten(), len(counts)
+        places, n = (pc.struct_field(cells, name).to_numpy() for name in ("place", "n"))
+        weights = (1 + np.log(n) if sublinear else n) * weight_of[places - 1]
+        values = weights / np.sqrt(np.bincount(rows, weights * weights, texts))[rows]
+        ends = pa.array(np.searchsorted(rows, np.arange(texts + 1)), pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.array(np.zeros(texts), pa.int8()), pa.array(np.full(texts, len(weight_of)), pa.int32()),
+             pa.ListArray.from_arrays(ends, pa.array(places - 1, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(values))],
+            ["type", "size", "indices", "values"])
+
+    return weigh
+
+
+def count_vectors(counts: Column, idf: list[float], sublinear: bool = False) -> Column:
+    """Sparse TF-IDF vectors of the ``_counts`` of texts."""
+    weigh = _weigher(idf, sublinear)
+
+    @F.arrow_udf(VectorUDT())
+    def vectors(counts: pa.Array) -> pa.Array:
+        return weigh(counts)
+
+    return vectors(counts)
+
+
+def text_vectors(text: Column, vocabulary: list[str], idf: list[float], sublinear: bool = False, stop_words=STOP_WORDS) -> Column:
+    """Sparse TF-IDF vectors of texts: Spark splits the words, which are counted and weighted in Arrow batches."""
+    count, weigh = _counter(vocabulary), _weigher(idf, sublinear)
+
+    @F.arrow_udf(VectorUDT())
+    def vectors(words: pa.Array) -> pa.Array:
+        return weigh(count(words))
+
+    return vectors(content_tokens(text, stop_words))
 
 
 def _inverse_frequencies(counted: DataFrame, found: list[str], documents: int) -> list[float]:
@@ -151,14 +200,15 @@ def _inverse_frequencies(counted: DataFrame, found: list[str], documents: int) -
     return [held[place] for place in range(1, len(found) + 1)]
 
 
-def vocabulary_idf(df: DataFrame, text: str, max_terms: int = MAX_TERMS, stop_words=STOP_WORDS) -> tuple[list[str], list[float], int]:
-    """Terms in order, their idf, and the number of documents.
+def counted_terms(df: DataFrame, columns, text: str, max_terms: int = MAX_TERMS, stop_words=STOP_WORDS):
+    """``columns`` and ``_counts`` of each document as a stored table, the terms in order, their idf, and the number of documents.
 
     To the driver come ``max_terms`` rows, and the words tied with the last of them, up to MAX_BROADCAST_TERMS.
     """
-    words = _stored_words(df, [], text, stop_words)
+    words = _stored_words(df, columns, text, stop_words)
     documents, found = words.count(), frequent_terms(words, max_terms)
-    return found, _inverse_frequencies(_vocabulary_counts(words, found), found, documents), documents
+    counted = materialize(_vocabulary_counts(words, found), "counted")
+    return counted, found, _inverse_frequencies(counted, found, documents), documents
 
 
 def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
@@ -186,11 +236,8 @@ def tfidf(df: DataFrame, text: str = "clean_text", id: str = "id", keys=(),
             F.col("_text"), lambda term: F.element_at(F.col("_places"), term), stop_words))
         idf, names, documents = F.col("_idf"), F.col("_terms"), F.col("documents")
     else:
-        words = _stored_words(narrow, [id], "_text", stop_words)
-        size, found = words.count(), frequent_terms(words, max_terms)
-        counted = materialize(_vocabulary_counts(words, found), "counted")
-        names, documents = constant(found, "array<string>"), F.lit(size)
-        idf = constant(_inverse_frequencies(counted, found, size), "array<double>")
+        counted, found, held, size = counted_terms(narrow, [id], "_text", max_terms, stop_words)
+        names, documents, idf = constant(found, "array<string>"), F.lit(size), constant(held, "array<double>")
     cells = counted.select(*keys, id, documents.alias("documents"), idf.alias("_weights"), names.alias("_words"),
                            F.explode(tfidf_vector(F.col("_counts"), idf, sublinear)).alias("_c"))
     return cells.select(*keys, id, F.element_at("_words", F.col("_c.place")).alias("term"), F.col("_c.n").cast("bigint").alias("tf"),
