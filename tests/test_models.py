@@ -111,6 +111,21 @@ def test_features_equal_the_stages_of_the_pipeline(spark, posts, sublinear):
             assert found[r[key]].toArray() == pytest.approx(r.features.toArray(), abs=1e-15)
 
 
+def test_training_and_scoring_skip_the_row_stages(spark, posts, monkeypatch):
+    """Neither makes a dense array of the vocabulary for each row."""
+    def never(self, dataset):
+        raise AssertionError("dense")
+
+    monkeypatch.setattr(M.SublinearTf, "_transform", never)
+    vectorizer = M.fit_tfidf(posts, "clean_text", max_terms=40, sublinear=True, stop_words=M.ENGLISH_STOP_WORDS)
+    fresh, shared = (M.fit_classifier(posts, "clean_text", "sentiment", "naive_bayes", max_terms=40, vectorizer=v) for v in (None, vectorizer))
+    assert M.linear_scorer(fresh).weights == pytest.approx(np.array(M.linear_scorer(shared).weights), abs=1e-12)
+    told = M.predict(fresh, posts).collect()
+    assert [r.predicted for r in told] == [r.sentiment for r in told]
+    both = M.class_probabilities(fresh, posts).join(M.predict(fresh, posts).select("id", F.col("score").alias("best")), "id").collect()
+    assert len(both) == 60 and all(r.score == pytest.approx(r.best, abs=1e-4) for r in both)
+
+
 def test_logistic_weights_are_the_optimum(spark, posts):
     """The gradient of the penalised log-likelihood vanishes at the fitted weights."""
     c = 1.5

@@ -35,7 +35,73 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         super().__init__()
         self._set(**{k: v for k, v in (("inputCol", inputCol), ("outputCol", outputCol)) if v})
 
-    def naive_bayes(smoothing: float = 1.0) -> NaiveBayes:
+    def _transform(self, dataset):
+        damped = F.transform(vector_to_array(self.getInputCol()),
+                             lambda x: F.when(x > 0, 1 + F.ln(x)).otherwise(0.0))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(damped))
+
+
+def fit_tfidf(df: DataFrame, text: str, id: str = "id", max_terms: int = MAX_TERMS,
+              sublinear: bool = False, stop_words=STOP_WORDS) -> PipelineModel:
+    """Fit a vectorizer: vocabulary and idf are counted by Spark and kept as stages.
+
+    Only the vocabulary comes back to the driver; ``max_terms`` bounds it.
+    """
+    return _fit_features(df, [], text, max_terms, sublinear, stop_words)[0]
+
+
+def _fit_features(df: DataFrame, columns, text: str, max_terms: int, sublinear: bool,
+                  stop_words) -> tuple[PipelineModel, DataFrame]:
+    """A vectorizer fitted to ``df``, and ``columns`` with its ``features``: texts are split and counted once for both."""
+    if max_terms > MAX_VOCABULARY:
+        raise ValueError(f"max_terms above {MAX_VOCABULARY}")
+    counted, found, idf, _ = counted_terms(df, columns, text, max_terms, stop_words)
+    if not found:
+        raise ValueError("empty vocabulary")
+    counts = CountVectorizerModel.from_vocabulary(found, inputCol="_terms", outputCol="_tf")
+    stages = [
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=LONG_TOKEN, gaps=False),
+        StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=list(stop_words),
+                         locale="en_US"),
+        NGram(n=2, inputCol="_kept", outputCol="_pairs"),
+        SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
+        counts,
+    ]
+    tf = "_tf"
+    if sublinear:
+        stages += [SublinearTf(inputCol="_tf", outputCol="_damped"),
+                   VectorAssembler(inputCols=["_damped"], outputCol="_sparse")]
+        tf = "_sparse"
+    stages += [
+        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=tf,
+                           outputCol="_weighted"),
+        Normalizer(p=2.0, inputCol="_weighted", outputCol="features"),
+    ]
+    return PipelineModel(stages), counted.select(*columns, count_vectors(F.col("_counts"), idf, sublinear).alias("features"))
+
+
+def _stage(model: PipelineModel, kind):
+    return next((s for s in model.stages if isinstance(s, kind)), None)
+
+
+def vocabulary_of(vectorizer: PipelineModel) -> list[str]:
+    return _stage(vectorizer, CountVectorizerModel).vocabulary
+
+
+def with_features(df: DataFrame, vectorizer: PipelineModel) -> DataFrame:
+    """Add the ``features`` of the vectorizer's stages, without their row by row work on lists and dense vectors."""
+    idf = _stage(vectorizer, ElementwiseProduct).getScalingVec().toArray().tolist()
+    return df.withColumn("features", text_vectors(
+        F.col(_stage(vectorizer, RegexTokenizer).getInputCol()), vocabulary_of(vectorizer), idf,
+        _stage(vectorizer, SublinearTf) is not None, _stage(vectorizer, StopWordsRemover).getStopWords()))
+
+
+def _transform(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """What the classifier and the label names of a :func:`fit_classifier` pipeline add to ``df``."""
+    return PipelineModel(model.stages[-2:]).transform(with_features(df, model))
+
+
+def naive_bayes(smoothing: float = 1.0) -> NaiveBayes:
     return NaiveBayes(modelType="multinomial", smoothing=smoothing, labelCol="_label")
 
 
@@ -78,14 +144,14 @@ def predict(model: PipelineModel | None, df: DataFrame) -> DataFrame:
     if model is None:
         return df.withColumn("predicted", F.lit("NEUTRAL")).withColumn("score", F.lit(0.5))
     best = F.array_max(vector_to_array("probability"))
-    return (model.transform(df).withColumn("score", F.round(best, 4))
+    return (_transform(model, df).withColumn("score", F.round(best, 4))
             .select(*df.columns, "predicted", "score"))
 
 
 def class_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add the label, score and compound derived from the class probabilities."""
     labels = model.stages[-1].getLabels()
-    return (model.transform(df)
+    return (_transform(model, df)
             .withColumn("result", label_from_probabilities(vector_to_array("probability"), labels))
             .select(*df.columns, "result.*"))
 
