@@ -269,9 +269,10 @@ def root_cause_clusters(df: DataFrame, text: str = "clean_text", id: str = "id",
     schema = "cluster_id int, theme string, comment_count bigint, top_keywords string"
     if df.limit(k).count() < k:
         return spark.createDataFrame([], schema)
-    vectorizer, features = _fit_features(df, [], text, max_terms, False, STOP_WORDS)
+    vectorizer = fit_tfidf(df, text, id, max_terms)
     terms = vocabulary_of(vectorizer)
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)
+    # The random starts depend on the order of rows: features are made of ``df``, not of the stored counts.
+    features = with_features(df, vectorizer).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         runs = [KMeans(k=k, seed=SEED + start, maxIter=300).fit(features)
                 for start in range(starts)]
